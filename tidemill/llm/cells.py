@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.textvec import row_chunks
+
 CELLS = "bucket int, cell binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("cell", pa.binary())])
 
@@ -69,9 +71,9 @@ def cell_bytes(array) -> list[bytes]:
     return [x.as_buffer() for x in array if x.is_valid]
 
 
-def dealt(spark: SparkSession) -> int:
-    """How many buckets to deal to: several per partition, so that partitions are even."""
-    return 8 * partitions(spark)
+def dealt(spark: SparkSession) -> tuple[int, int]:
+    """How many buckets keys are dealt to (one per partition), and how many groups documents form (two per partition)."""
+    return partitions(spark), 2 * partitions(spark)
 
 
 def gathered(cells: DataFrame, fold, out: str = CELLS) -> DataFrame:
@@ -83,7 +85,7 @@ def gathered(cells: DataFrame, fold, out: str = CELLS) -> DataFrame:
             table = pa.Table.from_batches(held)
             yield from fold(table.column("bucket"), table.column("cell"))
 
-    return cells.repartition(partitions(cells.sparkSession), "bucket").mapInArrow(run, out)
+    return cells.repartitionById(partitions(cells.sparkSession), "bucket").mapInArrow(run, out)
 
 
 def with_buckets(bucket, column, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +100,14 @@ def with_buckets(bucket, column, dtype: np.dtype) -> tuple[np.ndarray, np.ndarra
 
 
 def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Whole input rows as struct ``row`` beside ``uid`` (a hash of id and text) and ``doc_id``: no column names can clash."""
-    return docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"))
+    """Each row as struct ``row`` (all columns but the text) beside uid (a hash of id and text), doc_id and text: no names can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only uid, doc_id and text, for a pass that makes cells."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Only uid and text, for a pass that makes cells."""
+    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).cast("string").alias("text"))
 
 
 NULL_ID = np.iinfo(np.int64).min
@@ -124,13 +127,43 @@ def with_home(docs: DataFrame, groups: int) -> DataFrame:
     return docs.withColumn("bucket", (F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF)) % F.lit(groups)).cast("int"))
 
 
-def beside(docs: DataFrame, cells: DataFrame, work, schema) -> DataFrame:
-    """``work(docs table, cell column)`` on each document group and the cells addressed to it."""
-    return docs.groupBy("bucket").cogroup(cells.groupBy("bucket")).applyInArrow(lambda left, right: work(left, right.column("cell")) , schema)
+#: Text bytes that a task's numpy steps hold at once.
+CHUNK = 4 << 20
+
+
+def beside(docs: DataFrame, cells: DataFrame, work, schema, dtype: np.dtype) -> DataFrame:
+    """``work(docs chunk, records)`` on each document group and the records addressed to it, chunk by chunk.
+
+    Records are sorted, so ``located`` finds those of a chunk's documents.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        records = np.sort(unpacked(right.column("cell"), dtype))
+        return pa.concat_tables([work(t, records) for t in row_chunks(left.to_batches(), CHUNK)] or [work(left, records)])
+
+    return docs.groupBy("bucket").cogroup(cells.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def located(own: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records of each document: the document's index, and the record's, for each match.
+
+    ``own`` has a document's key fields, in the order in which they lead the sorted records.
+    """
+    lead = records[list(own.dtype.names)] if own.dtype.names else records["uid"]
+    names, start, count = np.unique(np.ascontiguousarray(lead).astype(own.dtype), return_index=True, return_counts=True)
+    if not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    reps = np.where(names[i] == own, count[i], 0)
+    at = np.repeat(start[i], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    return np.repeat(np.arange(len(own)), reps), at
+
+
+def once(uid: np.ndarray) -> np.ndarray:
+    """True where a uid is first: a row listed twice in a chunk counts there once."""
+    first = np.zeros(len(uid), bool)
+    first[np.unique(uid, return_index=True)[1]] = True
+    return first
 
 
-def field(table: pa.Table, name: str):
-    """A field of the struct column ``row``, as one array."""
-    rows = table.column("row")
-    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-    return pc.struct_field(rows, name)
+EMPTY = pa.Table.from_batches([], schema=ARROW)

@@ -66,19 +66,26 @@ def _anchors(batches, window: int, buckets: int):
         if not len(at):
             continue
         key = SEQ.ranges(_sequence(buf, words), at, at + sub)
-        order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        again = np.r_[~fresh[1:], False]
+        fresh, again = _folded(key)
         out = np.empty(len(at), ANCHOR)
         out["k"], out["uid"], out["pos"] = key & np.uint64(0xFFFFFFFF), C.ids(t.column("uid"))[doc[at]], index[at]
-        out["pos"][fresh & again] |= KNOWN
+        out["pos"][again] |= KNOWN
         out["pos"][~fresh] |= PASSED
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
         bucket[~fresh] = C.home(out["uid"][~fresh], buckets)
         yield C.packed(bucket, out)
 
 
+def _folded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each record in its place: is it the first of its key, and is it the first of several."""
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]] if len(key) else np.zeros(0, bool)
+    fresh, again = np.empty(len(key), bool), np.empty(len(key), bool)
+    fresh[order] = new
+    again[order] = new & np.r_[~new[1:], False] if len(key) else new
+    return fresh, again
+
+
 def _repeated(bucket, column, groups: int):
     ids, a = C.with_buckets(bucket, column, ANCHOR)
     passed = a["pos"] & PASSED > 0
@@ -94,31 +101,27 @@ def _repeated(bucket, column, groups: int):
     yield C.packed(C.home(out["uid"], groups), out)
 
 
-def _at(words, uid: np.ndarray, wanted_uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Flat word indices of (uid, pos); a uid listed twice counts where it is first."""
-    first, where = np.unique(uid, return_index=True)
-    i = np.searchsorted(first, wanted_uid)
-    return words.bounds[where[i]] + pos
-
-
-def _windows(left: pa.Table, column, window: int, buckets: int, text_col: str) -> pa.Table:
+def _windows(t: pa.Table, found: np.ndarray, window: int, buckets: int) -> pa.Table:
     v = period(window)
-    buf, offs = text_buffer(C.field(left, text_col))
+    buf, offs = text_buffer(t.column("text"))
     words = Words(buf, offs)
-    found = C.unpacked(column, CANDIDATE)
+    uid = C.ids(t.column("uid"))
+    own, at = C.located(uid, found)
     near = np.zeros(len(words.start) + 1, np.int64)
-    if len(found):
-        near[_at(words, C.ids(left.column("uid")), found["uid"], found["pos"])] = 1
+    near[words.bounds[own] + found["pos"][at]] = 1
     near = np.r_[0, np.cumsum(near)]
     at = window_starts(words.bounds, window)
     at = at[near[np.minimum(at + v, len(near) - 1)] > near[at]]
+    doc = words.doc()[at]
+    first = C.once(uid)[doc]
+    at, doc = at[first], doc[first]
     if not len(at):
-        return pa.Table.from_batches([], schema=C.ARROW)
-    key = SEQ.ranges(_sequence(buf, words), at, at + window)
-    doc, index = words.doc()[at], words.index()[at]
+        return C.EMPTY
     out = np.empty(len(at), WINDOW)
-    out["k"], out["doc"], out["low"], out["pos"] = key, C.ids(left.column("doc_id"))[doc], C.ids(left.column("uid"))[doc] & 0xFFFFFFFF, index
-    out, late = _ordered(out)
+    out["k"], out["doc"], out["low"], out["pos"] = SEQ.ranges(_sequence(buf, words), at, at + window), C.ids(t.column("doc_id"))[doc], uid[doc] & 0xFFFFFFFF, words.index()[at]
+    order = np.lexsort((out["pos"], out["low"], out["doc"], out["k"]))
+    late = np.zeros(len(out), bool)
+    late[order[1:]] = out["k"][order[1:]] == out["k"][order[:-1]]
     out["pos"][late] |= PASSED
     bucket = ((out["k"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     bucket[late] = C.home(out["low"][late], buckets)
@@ -141,21 +144,13 @@ def _later(_, column, groups: int):
     yield C.packed(C.home(out["low"], groups), out)
 
 
-def _kept(left: pa.Table, column, window: int, text_col: str) -> pa.Table:
-    buf, offs = text_buffer(C.field(left, text_col))
+def _kept(t: pa.Table, found: np.ndarray, window: int) -> pa.Table:
+    buf, offs = text_buffer(t.column("text"))
     words = Words(buf, offs)
-    found = np.unique(C.unpacked(column, MARK))
-    n_docs, drop = left.num_rows, np.zeros(len(words.start), bool)
-    if len(found):
-        own = np.empty(n_docs, [("doc", "<i8"), ("low", "<u4")])
-        own["doc"], own["low"] = C.ids(left.column("doc_id")), C.ids(left.column("uid")) & 0xFFFFFFFF
-        by = found[["doc", "low"]].copy()
-        names, start, count = np.unique(by, return_index=True, return_counts=True)
-        i = np.minimum(np.searchsorted(names, own), len(names) - 1)
-        mine = names[i] == own
-        reps = np.where(mine, count[i], 0)
-        at = np.repeat(start[i], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        drop = covered(len(words.start), np.repeat(words.bounds[:-1], reps) + found["pos"][at], window)
+    own = np.empty(t.num_rows, [("doc", "<i8"), ("low", "<u4")])
+    own["doc"], own["low"] = C.ids(t.column("doc_id")), C.ids(t.column("uid")) & 0xFFFFFFFF
+    doc, at = C.located(own, found)
+    drop = covered(len(words.start), words.bounds[doc] + found["pos"][at], window)
     keep = ~drop
     kept_before = np.r_[0, np.cumsum(keep)]
     n_kept = kept_before[words.bounds[1:]] - kept_before[words.bounds[:-1]]
@@ -170,7 +165,7 @@ def _kept(left: pa.Table, column, window: int, text_col: str) -> pa.Table:
     data = out[take].tobytes()
     texts = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return pa.table({
-        "row": left.column("row"),
+        "row": t.column("row"),
         "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
         "n_words": pa.array(words.counts, pa.int64()),
         "n_removed": pa.array(words.counts - n_kept, pa.int64()),
@@ -179,17 +174,15 @@ def _kept(left: pa.Table, column, window: int, text_col: str) -> pa.Table:
 
 
 def cover_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """Each input row as ``row`` with kept_text, n_words, n_removed and kept_sha256."""
-    spark = docs.sparkSession
-    groups = C.dealt(spark)
-    rows = C.addressed(docs, id_col, text_col)
-    anchors = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _anchors(b, window, groups), C.CELLS)
+    """Each input row as ``row`` (without its text) with kept_text, n_words, n_removed and kept_sha256."""
+    buckets, groups = C.dealt(docs.sparkSession)
+    rows = C.with_home(C.addressed(docs, id_col, text_col), groups)
+    anchors = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _anchors(b, window, buckets), C.CELLS)
     candidates = C.save(C.gathered(anchors, lambda b, c: _repeated(b, c, groups)), "cover-candidates")
-    homed = C.with_home(rows, groups)
-    windows = C.beside(homed, candidates, lambda left, c: _windows(left, c, window, groups, text_col), C.CELLS)
+    windows = C.beside(rows, candidates, lambda t, found: _windows(t, found, window, buckets), C.CELLS, CANDIDATE)
     marks = C.gathered(windows, lambda b, c: _later(b, c, groups))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    return C.beside(homed, marks, lambda left, c: _kept(left, c, window, text_col), schema)
+    schema = T.StructType([rows.schema["row"]]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    return C.beside(rows, marks, lambda t, found: _kept(t, found, window), schema, MARK)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidemill.llm.bwt_dedup import op1
 from tidemill.llm.cover_dedup import op8
+from tidemill.llm.piece_codec import op2
 
 QUERIES = {
+    "op1_suffix_dedup": op1,
+    "op2_piece_codec": op2,
     "op8_cover_dedup": op8,
 }
 
