@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Entries of each worker's caches; the caches start anew beyond it.
-CACHE_UNITS = 300_000
+#: Entries of each worker's caches; two such generations are held.
+CACHE_UNITS = 500_000
 LONG_UNIT = 64
 
 
@@ -69,14 +70,20 @@ class PieceModel:
         self.trie = trie
         self.end = next((i for i, p in enumerate(proto.pieces) if p.piece == "</s>"), -1)
         held = set("".join(self.id))
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("a piece holds a space mark after another character")
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in held)
-        self.units = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+|[{lone}]" if lone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        coarse = f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + f"|[{lone}]" * bool(lone)
+        fine = f"{MARK}*[^\\W\\d_]+|{MARK}*(?:[^\\w{MARK}{lone}]|[\\d_])+|{MARK}+" + f"|[{lone}]" * bool(lone)
+        # A cut is safe if no piece has one inside; letters and other characters part if the vocabulary allows it.
+        safe = (re.compile(x).findall for x in (fine, coarse, r"(?s).+"))
+        self.units = next(f for f in safe if all(len(f(p)) == 1 for p in self.id))
+        self.plain = [b""] * len(proto.pieces)
+        for i, piece in self.text.items():
+            self.plain[i] = piece.replace(MARK, " ").encode()
+        for i, value in self.raw.items():
+            self.plain[i] = value
         self._pairs: dict[tuple, bool] = {}
         self._splits: dict[str, tuple[str, str] | None] = {}
         self.ids = _Cache(self.encode_unit)
-        self.back = _Cache(self._raw_of)
 
     def merged(self, text: str, trace: list[int] | None = None) -> list[str]:
         """The pieces that merging in score order leaves, the leftmost of equal scores first; trace gets each border that went."""
@@ -147,45 +154,48 @@ class PieceModel:
         lengths: list[list[int]] = [[] for _ in range(n)]
         for end, (_, size) in self.trie.iter(unit):
             lengths[end - size + 1].append(size)
+        for options in lengths:
+            if not options or options[0] != 1:
+                options.insert(0, 1)
         failed = bytearray((n >> 3) + 1)
-        out, left = [""], [lengths[0] or [1]] if n else []
-        at = 0
+        pairs, compatible = self._pairs.get, self.compatible
+        out, at, last = [], 0, ""
+        tried = [lengths[0]] if n else []
         while at < n:
-            options = left[-1]
+            options = tried[-1]
             while options:
-                size = options[-1]
-                to = at + size
-                if not failed[to >> 3] >> (to & 7) & 1 and self.compatible(out[-1], unit[at:to]):
-                    break
+                to = at + options[-1]
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    piece = unit[at:to]
+                    known = pairs((last, piece))
+                    if known or known is None and compatible(last, piece):
+                        break
                 options.pop()
             if options:
-                out.append(unit[at:to])
-                at = to
+                out.append(piece)
+                at, last = to, piece
                 if at < n:
-                    left.append(list(lengths[at]) if lengths[at] and lengths[at][0] == 1 else [1, *lengths[at]])
+                    tried.append(lengths[at])
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                left.pop()
+                tried.pop()
                 at -= len(out.pop())
-                left[-1].pop()
-        return out[1:]
+                last = out[-1] if out else ""
+                tried[-1].pop()
+        return out
 
     def encode_unit(self, unit: str) -> bytes:
         out = []
         for piece in self.pieces(unit):
             found = self.id.get(piece)
             out += [found] if found is not None else [self.byte[b] for b in piece.encode()]
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str, end: bool = True) -> bytes:
         """Ids as little-endian int32."""
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
         return b"".join(map(self.ids.__getitem__, self.units(marked))) + (np.array([self.end], "<i4").tobytes() if end else b"")
 
-    def _raw_of(self, ids: bytes) -> bytes:
-        raw, text = self.raw, self.text
-        return b"".join(raw[i] if i in raw else text[i].replace(MARK, " ").encode() for i in np.frombuffer(ids, "<i4").tolist())
-
     def decode(self, ids) -> str:
         """Text of any ids: control ids vanish, runs of byte pieces are read as UTF-8, the space before the text goes."""
         out, run, begun = [], b"", False
@@ -221,27 +231,28 @@ class PieceModel:
         return "".join(out)
 
     def round_trip(self, text: str) -> tuple[bytes, str]:
-        """Ids with the end id, and their decoding; both through the caches."""
-        if not text:
-            return self.encode(""), ""
-        marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        parts = [*map(self.ids.__getitem__, self.units(marked))]
-        raw = b"".join(map(self.back.__getitem__, parts))
+        """Ids with the end id, and their decoding.  What encoding gives never breaks a character, so its bytes can be joined."""
+        ids = self.encode(text)
+        raw = b"".join(map(self.plain.__getitem__, array("i", ids)))
         if self.prefix and raw[:1] == b" ":
             raw = raw[1:]
-        parts.append(np.array([self.end], "<i4").tobytes())
-        return b"".join(parts), raw.decode("utf-8", "replace")
+        return ids, raw.decode()
 
 
 class _Cache(dict):
+    """Results by unit; when full, the older half goes, but for units that were met again since."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        made = self.make(key)
-        if len(key) <= 4 * LONG_UNIT:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= LONG_UNIT:
             if len(self) >= CACHE_UNITS:
+                self.old = dict(self)
                 self.clear()
             self[key] = made
         return made
