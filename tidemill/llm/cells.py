@@ -128,7 +128,7 @@ def with_home(docs: DataFrame, groups: int) -> DataFrame:
 
 
 #: Text bytes that a task's numpy steps hold at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def beside(docs: DataFrame, cells: DataFrame, work, schema, dtype: np.dtype) -> DataFrame:
