@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 is clean; rows labelled toxic get 1, 2 or 3 by how thickly marked words stand in
-them (thirds of the training rows).  The model shares one weight vector over all thresholds:
+Grades are ordered: 0 is clean; rows labelled toxic get 1, 2 or 3 by how much marked text they hold (thirds
+of the training rows).  The model shares one weight vector over all thresholds:
 P(grade >= k) = sigmoid(x w - c_k) with c_1 < c_2 < c_3, and a text's severity is its expected grade,
 the sum of these probabilities.
 
@@ -30,6 +30,8 @@ WORD = Rolling(51)
 #: Rows of each label that the fit may use; most features; their largest hash.
 TOXIC_ROWS, CLEAN_ROWS, MAX_FEATURES, BITS = 4000, 12000, 4096, 26
 STARTS = (4, 5, 6)
+#: A feature is used if its log odds and its likelihood ratio statistic exceed these.
+MIN_ODDS, MIN_SURPRISE = 2.5, 20.0
 GRADES = 3
 TALLY = np.dtype([("f", "<u4"), ("toxic", "<u4"), ("clean", "<u4")])
 
@@ -96,18 +98,18 @@ class Lookup:
         i = np.searchsorted(self.chosen, f)
         hit = self.chosen[np.minimum(i, len(self.chosen) - 1)] == f if len(self.chosen) else np.zeros(len(f), bool)
         both, n = np.unique(doc[hit] * len(self.chosen) + i[hit], return_counts=True)
-        return both // max(1, len(self.chosen)), both % max(1, len(self.chosen)), n, words.counts
+        return both // max(1, len(self.chosen)), both % max(1, len(self.chosen)), n
 
 
 def train(doc, column, value, grade: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and rising thresholds by full-batch likelihood; clean and toxic rows weigh alike."""
+    """Shared weights and rising thresholds by full-batch likelihood."""
     n = len(grade)
-    w8 = np.where(grade > 0, 0.5 / max(1, (grade > 0).sum()), 0.5 / max(1, (grade == 0).sum()))
+    w8 = np.full(n, 1 / n)
     p = {"w": np.zeros(size), "c": np.array([1.0, 0.0, 0.0])}
-    adam = Adam(p, 0.05)
+    adam = Adam(p, 0.1)
     over = np.arange(1, GRADES + 1)[None, :] <= grade[:, None]
     cuts = lambda c: c[0] + np.r_[0, np.cumsum(np.exp(c[1:]))]
-    for _ in range(250):
+    for _ in range(300):
         z = np.bincount(doc, p["w"][column] * value, n)
         c = cuts(p["c"])
         up = np.c_[np.ones(n), sigmoid(z[:, None] - c), np.zeros(n)]
@@ -133,26 +135,29 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         return None
     buckets, _ = C.dealt(spark)
     tally = C.gathered(sample.mapInArrow(lambda b: _tally(b, buckets), C.CELLS), _summed, "f int, toxic long, clean long")
-    odds = F.log((F.col("toxic") + 0.1) / n_toxic) - F.log((F.col("clean") + 0.1) / (n_all - n_toxic))
-    best = tally.withColumn("odds", odds).where((F.col("odds") > 2.5) & (F.col("toxic") >= 2)).orderBy(F.desc(F.col("toxic") * F.col("odds")), "f").limit(MAX_FEATURES)
+    n_clean = n_all - n_toxic
+    seen = F.col("toxic") + F.col("clean")
+    odds = F.log((F.col("toxic") + 0.1) / n_toxic) - F.log((F.col("clean") + 0.1) / n_clean)
+    surprise = 2 * (F.col("toxic") * F.log((F.col("toxic") + 1e-9) / (seen * n_toxic / n_all)) + F.col("clean") * F.log((F.col("clean") + 1e-9) / (seen * n_clean / n_all)))
+    best = tally.withColumn("surprise", surprise).where((odds > MIN_ODDS) & (F.col("surprise") > MIN_SURPRISE)).orderBy(F.desc("surprise"), "f").limit(MAX_FEATURES)
     chosen = np.array([r.f for r in best.select("f").collect()], np.int64)  # at most MAX_FEATURES
     look = spark.sparkContext.broadcast(Lookup(chosen))
 
     def reduced(batches):
         for t in row_chunks(batches):
-            doc, column, n, words = look.value.counts(*text_buffer(t.column("text")))
+            doc, column, n = look.value.counts(*text_buffer(t.column("text")))
             bounds = np.searchsorted(doc, np.arange(t.num_rows + 1))
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (column, n)]
-            yield pa.RecordBatch.from_arrays([t.column("y").combine_chunks(), pa.array(words, pa.int64()), *lists], ["y", "words", "f", "n"])
+            yield pa.RecordBatch.from_arrays([t.column("y").combine_chunks(), *lists], ["y", "f", "n"])
 
-    got = sample.mapInArrow(reduced, "y int, words long, f array<int>, n array<int>").toArrow()  # at most the sample's rows
-    y, words = got.column("y").to_numpy(), np.maximum(got.column("words").to_numpy(), 1)
+    got = sample.mapInArrow(reduced, "y int, f array<int>, n array<int>").toArrow()  # at most the sample's rows
+    y = got.column("y").to_numpy()
     f, n = got.column("f").combine_chunks(), got.column("n").combine_chunks()
     doc = np.repeat(np.arange(len(y)), np.diff(f.offsets.to_numpy()))
     column, count = f.flatten().to_numpy(), n.flatten().to_numpy().astype(float)
-    thick = np.bincount(doc, count, len(y)) / words
-    thirds = np.quantile(thick[y > 0], [1 / 3, 2 / 3])
-    grade = np.where(y > 0, 1 + np.searchsorted(thirds, thick, "left"), 0)
+    marked = np.bincount(doc, np.log1p(count), len(y))
+    thirds = np.quantile(marked[y > 0], [1 / 3, 2 / 3])
+    grade = np.where(y > 0, 1 + np.searchsorted(thirds, marked, "left"), 0)
     weights, cuts = train(doc, column, np.log1p(count), grade, len(chosen))
     return look, weights, cuts
 
@@ -168,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
             up = np.zeros((t.num_rows, GRADES))
             if fitted:
                 look, weights, cuts = fitted
-                doc, column, n, _ = look.value.counts(*text_buffer(t.column("text")))
+                doc, column, n = look.value.counts(*text_buffer(t.column("text")))
                 up = sigmoid(np.bincount(doc, weights[column] * np.log1p(n), t.num_rows)[:, None] - cuts)
             grades = np.c_[1 - up[:, 0], up[:, :-1] - up[:, 1:], up[:, -1]]
             out = t.append_column("severity", pa.array(up.sum(1))).append_column("grade", pa.array(grades.argmax(1), pa.int32()))
