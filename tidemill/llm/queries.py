@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from tidemill.llm.bwt_dedup import op1
+from tidemill.llm.config_packing import op6
 from tidemill.llm.cover_dedup import op8
 from tidemill.llm.piece_codec import op2
 from tidemill.llm.quality_net import op10
 from tidemill.llm.quality_rules import op9
+from tidemill.llm.simhash_mih import op5
 from tidemill.llm.toxicity import op7
 
 QUERIES = {
     "op1_suffix_dedup": op1,
     "op2_piece_codec": op2,
+    "op5_simhash": op5,
+    "op6_config_packing": op6,
     "op7_toxicity": op7,
     "op8_cover_dedup": op8,
     "op9_quality_rules": op9,
