@@ -37,6 +37,8 @@ from tidemill.llm.cells import save
 CAPACITY, END_ID = 1024, 2
 #: Rounds of the linear program, and the share of its scarcest length that a round covers.
 ROUNDS, STEP = 400, 0.25
+#: A price starts as the share of a sequence, slightly in favour of long pieces, and falls so fast with coverage.
+LONG_FIRST, PACE = 1.1, 0.05
 #: Offsets by (task, length) are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -126,7 +128,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         if not len(open_):
             break
         share = covered[open_]
-        prices = sizes[open_] * np.exp(2 * (share.mean() - share))
+        prices = (sizes[open_] / capacity) ** LONG_FIRST * np.exp(PACE * (share.mean() - share))
         config = knapsack(sizes[open_], prices, np.maximum(counts[open_], 1), capacity)
         key = tuple(sorted((int(open_[i]), n) for i, n in config.items()))
         amount = min(max(STEP, 1 / counts[i]) * counts[i] / n for i, n in key)
