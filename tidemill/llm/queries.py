@@ -5,7 +5,9 @@ from __future__ import annotations
 from tidemill.llm.bwt_dedup import op1
 from tidemill.llm.config_packing import op6
 from tidemill.llm.cover_dedup import op8
+from tidemill.llm.hilbert_shard import op4
 from tidemill.llm.piece_codec import op2
+from tidemill.llm.pq_neardup import op3
 from tidemill.llm.quality_net import op10
 from tidemill.llm.quality_rules import op9
 from tidemill.llm.simhash_mih import op5
@@ -14,6 +16,8 @@ from tidemill.llm.toxicity import op7
 QUERIES = {
     "op1_suffix_dedup": op1,
     "op2_piece_codec": op2,
+    "op3_pq_neardup": op3,
+    "op4_hilbert_shard": op4,
     "op5_simhash": op5,
     "op6_config_packing": op6,
     "op7_toxicity": op7,
