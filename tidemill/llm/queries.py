@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemill.llm.bwt_dedup import op1
 from tidemill.llm.config_packing import op6
 from tidemill.llm.cover_dedup import op8
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_cover_dedup": op8,
     "op9_quality_rules": op9,
     "op10_quality_net": op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemill.llm.cells import partitions, save
 from tidemill.llm.graph import components, spanning
-from tidemill.llm.textvec import Words, row_chunks, text_buffer
+from tidemill.llm.textvec import Words, mix, row_chunks, text_buffer
 
 #: Members of a segment value that one task compares with each other, or with as many others.
 BLOCK = 256
@@ -64,29 +64,37 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     return found, out_bounds
 
 
-def fingerprint(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 majority bits of each text's hashes; zero without any."""
-    out = np.zeros(len(bounds) - 1, np.uint64)
+def fingerprint(hashes: np.ndarray, bounds: np.ndarray, words: int = 1) -> np.ndarray:
+    """(texts, words) of 64 majority bits each; zero without any hash.  Words after the first use mixed hashes."""
+    out = np.zeros((len(bounds) - 1, words), np.uint64)
     n = np.diff(bounds)
     full = np.flatnonzero(n)
-    if len(full):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, bounds[full], axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    for w in range(words if len(full) else 0):
+        h = mix(hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if w else hashes
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, bounds[full], axis=0, dtype=np.int32)
+        out[full, w] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text") -> DataFrame:
-    """Each input row as ``row`` (without its text) with ``fp`` (long)."""
+def names(words: int) -> list[str]:
+    return [f"fp{w}" for w in range(words)]
+
+
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str = "text") -> DataFrame:
+    """Each input row as ``row`` (without its text) with ``fp0``, ``fp1``, ... (long)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for t in row_chunks(batches):
-            fp = fingerprint(*shingles(*text_buffer(t.column("text")), size))
-            yield from pa.table({"row": t.column("row"), "fp": pa.array(fp.view(np.int64))}).to_batches()
+            fp = fingerprint(*shingles(*text_buffer(t.column("text")), size), words).view(np.int64)
+            yield from pa.table({"row": t.column("row"), **{k: pa.array(np.ascontiguousarray(fp[:, w])) for w, k in enumerate(names(words))}}).to_batches()
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("fp", "long"))
+    schema = T.StructType([rows.schema["row"]])
+    for k in names(words):
+        schema = schema.add(k, "long")
+    return rows.mapInArrow(run, schema)
 
 
 def _ball(segment, width: int, radius: int) -> list:
@@ -101,68 +109,125 @@ def _ball(segment, width: int, radius: int) -> list:
     return found
 
 
-def near_pairs(distinct: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
-    """Edges (a, b) that span the groups of fingerprints within ``radius`` bits; ``distinct`` has fp once each.
+def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tuple[int, int, int]]) -> DataFrame:
+    """Edges (a, b) that span the groups of fingerprints within ``radius`` bits, nearest pairs first.
 
-    With radius // segments over 1 a difference can have flips both ways; then both sides' balls are
-    entered and meet halfway.
+    ``distinct`` has node (long) and the fingerprint's words.  A segment is (word, first bit, bits); the
+    table is searched with balls of radius 1.  If the segments cover all bits and are more than half of
+    radius + 1, no pair is missed; other choices find a pair if one of its segments differs in a bit at most.
     """
-    width, reach = 64 // segments, radius // segments
-    if reach > 1:
-        raise ValueError("segments must leave balls of radius 0 or 1")
-    members = []
-    for s in range(segments):
-        bits = width if s < segments - 1 else 64 - width * (segments - 1)
-        segment = F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else F.col("fp")
-        keys = F.array(*[F.struct(F.lit(i == 0).alias("table"), k.alias("key")) for i, k in enumerate(_ball(segment, bits, reach))])
-        members.append(distinct.select("fp", F.lit(s).alias("seg"), F.explode(keys).alias("m")).where("m.key is not null").select("seg", "m.key", "m.table", "fp"))
-    all_ = members[0]
-    for m in members[1:]:
-        all_ = all_.union(m)
+    fp = names(words)
+    parts = []
+    for number, (word, shift, bits) in enumerate(segments):
+        segment = F.shiftrightunsigned(fp[word], shift).bitwiseAND(F.lit((1 << bits) - 1))
+        keys = F.array(*[F.struct(F.lit(i == 0).alias("table"), k.alias("key")) for i, k in enumerate(_ball(segment, bits, 1))])
+        parts.append(distinct.select("node", *fp, F.lit(number).alias("seg"), F.explode(keys).alias("m")).where("m.key is not null").select("seg", "m.key", "m.table", "node", *fp))
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.union(p)
     size = all_.groupBy("seg", "key").agg(F.count("*").alias("n"), F.max("table").alias("held")).where("n > 1 and held")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    met = save(all_.join(size, ["seg", "key"]).select("seg", "key", "fp", blocks.alias("blocks")), "mih-members")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pair = met.select("seg", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "fp")
+    met = save(all_.join(size, ["seg", "key"]).select("seg", "key", "node", *fp, blocks.alias("blocks")), "mih-members")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = met.select("seg", "key", "node", *fp, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", *fp)
 
     def compare(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        group, fp = t.column("task").to_numpy(), t.column("fp").to_numpy()
-        order = np.lexsort((fp, group))
-        group, fp = group[order], fp[order].view(np.uint64)
-
-        def linked():
-            at = np.arange(len(fp))
-            for step in range(1, len(fp)):
-                at = at[at < len(fp) - step]
-                at = at[group[at] == group[at + step]]
-                if not len(at):
-                    return
-                hit = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-                yield hit, hit + step
-
-        a, b = spanning(len(fp), linked())
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+        group, node = t.column("task").to_numpy(), t.column("node").to_numpy()
+        order = np.lexsort((node, group))
+        group, node = group[order], node[order]
+        bits = np.stack([t.column(k).to_numpy()[order].view(np.uint64) for k in fp], axis=1)
+        left, right, far = [], [], []
+        at = np.arange(len(node))
+        for step in range(1, len(node)):
+            at = at[at < len(node) - step]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            distance = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
+            hit = distance <= radius
+            left.append(at[hit])
+            right.append(at[hit] + step)
+            far.append(distance[hit])
+        if not left:
+            return
+        left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        all_nodes, place = np.unique(node, return_inverse=True)
+        a, b = spanning(len(all_nodes), ((place[left[far == d]], place[right[far == d]]) for d in np.unique(far)))
+        yield pa.RecordBatch.from_arrays([pa.array(all_nodes[a]), pa.array(all_nodes[b])], ["a", "b"])
 
     return task.repartition(partitions(distinct.sparkSession), "task").mapInArrow(compare, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each input row as ``row`` (without its text) with fp and ``component``: the least id of its group."""
-    rows = save(fingerprints(docs, size, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min(F.col("row").getField(id_col).cast("long")).alias("least"))
-    roots = components(near_pairs(nodes.select("fp"), radius, segments))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def simhash_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each input row as ``row`` (without its text) with fp0 and ``component``: the least id of its group.
+
+    Fingerprints of 64 bits link at 3 bits or fewer; two segments of 32 bits miss no pair.
+    """
+    rows = save(fingerprints(docs, size, 1, text_col), "fingerprints")
+    nodes = rows.groupBy("fp0").agg(F.min(F.col("row").getField(id_col).cast("long")).alias("least"))
+    edges = near_pairs(nodes.select(F.col("fp0").alias("node"), "fp0"), 1, 3, [(0, 0, 32), (0, 32, 32)])
+    roots = components(edges)
+    joined = nodes.join(roots.withColumnRenamed("node", "fp0"), "fp0", "left").select("fp0", "least", F.coalesce("root", "fp0").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    found = joined.join(least, "root").select("fp", "component")
-    return rows.join(found, "fp").select("row", "fp", "component")
+    return rows.join(joined.join(least, "root").select("fp0", "component"), "fp0").select("row", "fp0", "component")
+
+
+#: Words of the long fingerprint, its radius, and segments of 16 bits, two from each word.
+LONG_WORDS, LONG_RADIUS = 4, 56
+LONG_SEGMENTS = [(w, shift, 16) for w in range(LONG_WORDS) for shift in (0, 32)]
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """Each input row as ``row`` (with its text) with ``root``: equal for texts of one near-duplicate group, and ``first``: true for the one to keep.
+
+    Texts link if their sets of word shingles have at least that similarity (Jaccard).  64 bits cannot
+    tell 0.8 from less, so the fingerprint has 256 bits: 0.8 is some 39 differing bits, 56 misses about
+    one in a thousand.  One of eight 16-bit segments is then within a bit for 93 % of pairs at 0.8, and
+    over 99 % at 0.9.  The nearest pairs that span each group are checked exactly before they link.
+    The row to keep has the longest text, then the least row hash; rows equal in all columns come back once.
+    """
+    fp = names(LONG_WORDS)
+    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(text_col).cast("string").alias("text"))
+    made = fingerprints(key.select(F.xxhash64("all").alias("uid"), F.length("text").alias("size"), "text"), size, LONG_WORDS)
+    rows = save(made.select(F.col("row.uid").alias("uid"), F.col("row.size").alias("size"), *fp), "fingerprints")
+    nodes = rows.groupBy(*fp).agg(F.min("uid").alias("node"))
+    edges = save(near_pairs(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS).distinct(), "near-edges")
+    asked = edges.select(F.col("a").alias("uid")).union(edges.select(F.col("b").alias("uid"))).distinct()
+
+    def sets(batches):
+        for t in row_chunks(batches):
+            h, bounds = shingles(*text_buffer(t.column("text")), size)
+            made = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), pa.array(made, pa.binary())], ["uid", "set"])
+
+    wanted = key.select(F.xxhash64("all").alias("uid"), "text").join(asked, "uid").mapInArrow(sets, "uid long, set binary")
+    held = save(wanted.groupBy("uid").agg(F.first("set").alias("set")), "shingle-sets")
+    both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
+
+    def checked(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    roots = components(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
+    grouped = nodes.join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("root"))
+    best = F.max(F.struct("size", (-F.col("uid").cast("decimal(20,0)")).alias("low"))).alias("best")
+    member = save(rows.select("uid", F.coalesce("size", F.lit(0)).alias("size"), *fp).join(grouped, fp).select("uid", "size", "root"), "groups")
+    kept = member.groupBy("root").agg(best).select("root", (-F.col("best.low")).cast("long").alias("kept"))
+    chosen = member.join(kept, "root").groupBy("uid").agg(F.first("root").alias("root"), F.first(F.col("uid") == F.col("kept")).alias("first"))
+    return docs.withColumn("_uid", F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))).join(chosen.withColumnRenamed("uid", "_uid"), "_uid").dropDuplicates(["_uid"]).drop("_uid")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = simhash_groups(docs)
-    return done.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
