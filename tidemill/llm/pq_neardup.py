@@ -139,30 +139,33 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
             return
         t = pa.Table.from_batches(held)
         key, asked = t.column("task").to_numpy(), t.column("asked").to_numpy(zero_copy_only=False)
-        node, weight, home, which = (t.column(k).to_numpy() for k in ("node", "weight", "home", "list"))
-        order = np.lexsort((node, asked, key))
-        cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        order = np.lexsort((t.column("node").to_numpy(), asked, key))
+        key, asked = key[order], asked[order]
+        node, weight, home, which, error = (t.column(k).to_numpy()[order] for k in ("node", "weight", "home", "list", "error"))
+        vector = _matrix(t.column("vector"))
+        # codes and probes belong to data rows; place says which of them a sorted row has
+        coded = ~t.column("asked").to_numpy(zero_copy_only=False)
+        place = (np.cumsum(coded) - 1)[order]
+        codes = np.frombuffer(b"".join(x.as_buffer() for c in t.column("codes").chunks for x in c), np.uint8).reshape(int(coded.sum()), -1)
+        probes = t.column("probes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(int(coded.sum()), -1)
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         credit, left, right = [], [], []
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            at = order[a:z]
-            data, ask = at[~asked[at]], at[asked[at]]
-            if not len(data) or not len(ask):
+            m = a + int(np.searchsorted(asked[a:z], True))
+            if m == a or m == z:
                 continue
-            x, y = _matrix(t.column("vector").take(pa.array(ask))), _matrix(t.column("vector").take(pa.array(data)))
-            codes = np.frombuffer(b"".join(t.column("codes").take(pa.array(data)).to_pylist()), np.uint8).reshape(len(data), -1)
-            error = t.column("error").to_numpy()[data]
-            near = shared.value.distances(x, int(which[at[0]]), codes) <= reach + error[None, :] + 1e-9
+            data, ask = slice(a, m), slice(m, z)
+            x, y = vector[order[ask]], vector[order[data]]
+            near = shared.value.distances(x, int(which[a]), codes[place[data]]) <= reach + error[data][None, :] + 1e-9
             q, d = np.nonzero(near & (node[ask][:, None] != node[data][None, :]))
             hit = np.einsum("ij,ij->i", x[q], y[d]) >= threshold
             q, d = q[hit], d[hit]
             if not len(q):
                 continue
-            probes = _matrix(t.column("probes").take(pa.array(data)))
-            back = (probes[d] == home[ask[q]][:, None]).any(1)  # the other side asks on its own
-            credit += [np.stack([node[ask[q]], weight[data[d]]]), np.stack([node[data[d[~back]]], weight[ask[q[~back]]]])]
-            names, place = np.unique(np.r_[node[ask], node[data]], return_inverse=True)
-            one, two = place[: len(ask)][q], place[len(ask) :][d]
-            e, f = spanning(len(names), [(one, two)])
+            back = (probes[place[data][d]] == home[ask][q][:, None]).any(1)  # the other side asks on its own
+            credit += [np.stack([node[ask][q], weight[data][d]]), np.stack([node[data][d[~back]], weight[ask][q[~back]]])]
+            names, number = np.unique(node[a:z], return_inverse=True)
+            e, f = spanning(len(names), [(number[m - a :][q], number[: m - a][d])])
             left.append(names[e])
             right.append(names[f])
         if credit:
