@@ -1,16 +1,6 @@
-"""Registry of the core queries and of the SQL that each must equal."""
+"""All core queries; importing the plan modules fills the registry."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-QUERIES, ORACLES = {}, {}
-
-
-def condition_rollup(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy((F.col("user_id") % 4).alias("condition")).agg(F.count("*").alias("n_events"))
-
-
-QUERIES["condition_rollup"] = condition_rollup
-ORACLES["condition_rollup"] = "SELECT user_id % 4 AS condition, count(*) AS n_events FROM events GROUP BY 1"
+from tidemill.plans import grid, pairing, scoring  # noqa: F401
+from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
