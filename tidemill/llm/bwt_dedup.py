@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from tidemill.llm import cells as C
 from tidemill.llm.textvec import Rolling, mix, row_chunks, text_buffer
 
-BYTES, SECOND = Rolling(21), Rolling(22)
+BYTES, SECOND = Rolling(21), Rolling(22, base=1)
 ANCHOR = np.dtype([("k", "<u8"), ("e", "<u8"), ("uid", "<i8"), ("pos", "<u4"), ("gap", "<u2"), ("last", "<u2"), ("flag", "u1")])
 #: Starts pos - gap to pos - last of a document; flag 1: all repeated, 2: to be told apart byte by byte.
 STARTS = np.dtype([("uid", "<i8"), ("pos", "<u4"), ("gap", "<u2"), ("last", "<u2"), ("flag", "u1")])

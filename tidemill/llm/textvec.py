@@ -26,18 +26,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Rolling:
-    """Polynomial hash modulo 2**64 whose prefix sums give the hash of any range in O(1).
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, grown as needed and shared by all hashes with that base."""
 
-    Values pass through a random table or mixer first, and results through ``mix``.
-    """
+    #: Longer tables serve one very long text and are not kept.
+    KEPT = 1 << 22
 
     def __init__(self, seed: int):
-        self.table = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-        base = int(mix(np.array([seed + 977], dtype=U64))[0])
-        self.base = (base & ~7) | 5
+        self.base = (int(mix(np.array([seed], dtype=U64))[0]) & ~7) | 5
         self.inverse = pow(self.base, -1, 1 << 64)
-        self._up = self._down = np.ones(1, U64)
+        self._tables = np.ones(1, U64), np.ones(1, U64)
 
     @staticmethod
     def _grown(base: int, n: int) -> np.ndarray:
@@ -45,17 +43,34 @@ class Rolling:
         out[0] = 1
         return np.cumprod(out, dtype=U64)
 
-    def _tables(self, n: int) -> None:
-        if len(self._up) < n:
-            n = max(n, 1 << 16)
-            self._up, self._down = self._grown(self.base, n), self._grown(self.inverse, n)
+    def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._tables[0]) >= n:
+            return self._tables
+        made = self._grown(self.base, n), self._grown(self.inverse, n)
+        if n <= self.KEPT:
+            self._tables = made
+        return made
+
+
+_POWERS = _Powers(977), _Powers(1977)
+
+
+class Rolling:
+    """Polynomial hash modulo 2**64 whose prefix sums give the hash of any range in O(1).
+
+    Values pass through a random table or mixer first, and results through ``mix``.  ``base`` picks one
+    of two bases; hashes that must be independent take both.
+    """
+
+    def __init__(self, seed: int, base: int = 0):
+        self.table = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+        self.powers = _POWERS[base]
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of uint64 values; length n + 1."""
         n = len(values)
-        self._tables(n + 1)
         out = np.zeros(n + 1, U64)
-        np.cumsum(values * self._up[:n], out=out[1:])
+        np.cumsum(values * self.powers.tables(n + 1)[0][:n], out=out[1:])
         return out
 
     def of_bytes(self, buf: np.ndarray) -> np.ndarray:
@@ -63,7 +78,7 @@ class Rolling:
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of every range [start, end)."""
-        return mix((prefix[end] - prefix[start]) * self._down[start] + (end - start).astype(U64))
+        return mix((prefix[end] - prefix[start]) * self.powers.tables(len(prefix))[1][start] + (end - start).astype(U64))
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
