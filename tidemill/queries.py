@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemill.plans import grid, pairing, scoring  # noqa: F401
+from tidemill.plans import curation, dialogue, grid, logs, pairing, scoring  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
