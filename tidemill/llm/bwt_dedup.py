@@ -207,7 +207,7 @@ def _kept(t: pa.Table, records: np.ndarray, min_bytes: int) -> pa.Table:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400) -> DataFrame:
     """Each input row as ``row`` (without its text) with the kept bytes, removed spans, n_bytes, n_removed, n_spans and kept_sha256."""
-    buckets, groups = C.dealt(docs.sparkSession)
+    buckets, groups = C.dealt(C.lean(docs.sparkSession))
     rows = C.with_home(C.addressed(docs, id_col, text_col), groups)
     shards = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _shards(b, min_bytes, buckets), C.CELLS)
     merged = C.save(C.gathered(shards, lambda b, c: _merge(b, c, groups)), "bwt-intervals")

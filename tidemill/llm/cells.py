@@ -29,6 +29,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: rows here are whole texts, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -128,7 +136,7 @@ def with_home(docs: DataFrame, groups: int) -> DataFrame:
 
 
 #: Text bytes that a task's numpy steps hold at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def beside(docs: DataFrame, cells: DataFrame, work, schema, dtype: np.dtype) -> DataFrame:

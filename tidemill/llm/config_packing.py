@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.cells import save
+from tidemill.llm.cells import lean, save
 
 CAPACITY, END_ID = 1024, 2
 #: Rounds of the linear program, and the share of its scarcest length that a round covers.
@@ -202,7 +202,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int,
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
     """One row per piece: row (without the text), piece, start, length, ids, sequence_id, offset."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     pieces = save(tokenised(docs, ranks_path, pattern, capacity, text_col), "pieces")
     by_task = pieces.groupBy("task", "length").agg((F.max("rank") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

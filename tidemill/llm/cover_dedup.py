@@ -175,7 +175,7 @@ def _kept(t: pa.Table, found: np.ndarray, window: int) -> pa.Table:
 
 def cover_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """Each input row as ``row`` (without its text) with kept_text, n_words, n_removed and kept_sha256."""
-    buckets, groups = C.dealt(docs.sparkSession)
+    buckets, groups = C.dealt(C.lean(docs.sparkSession))
     rows = C.with_home(C.addressed(docs, id_col, text_col), groups)
     anchors = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _anchors(b, window, buckets), C.CELLS)
     candidates = C.save(C.gathered(anchors, lambda b, c: _repeated(b, c, groups)), "cover-candidates")

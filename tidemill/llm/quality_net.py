@@ -67,7 +67,7 @@ def _sums(batches, buckets: int):
     """Word vectors of one map task: neighbours' index vectors summed by slot."""
     where, sign = index_vectors()
     total, seen = np.zeros(SLOTS * SIZE, np.int64), np.zeros(SLOTS, np.int64)
-    for t in row_chunks(batches, 2 << 20):
+    for t in row_chunks(batches, 1 << 19):
         buf, offs = text_buffer(t.column("text"))
         words = Words(buf, offs)
         word, shape = tokens(buf, words)
@@ -170,6 +170,7 @@ def train(x: np.ndarray, y: np.ndarray, prior: float) -> dict | None:
 
 def quality_net(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", where=None) -> DataFrame:
     """Each input row as ``row`` with its text and ``score``.  ``where`` (on doc_id and y) limits the labels that are learned."""
+    C.lean(docs.sparkSession)
     vectors = word_vectors(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # of fixed size
 
@@ -191,7 +192,7 @@ def quality_net(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
 
     def run(batches):
         p, base = model.value
-        for t in row_chunks(batches, 2 << 20):
+        for t in row_chunks(batches, 1 << 19):
             x = pooled(shared.value, *text_buffer(t.column("text")))
             found = sigmoid(network(p, x) / p["temperature"] + p["offset"]) if p else np.full(len(x), base)
             yield from t.append_column("score", pa.array(found, pa.float64())).to_batches()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.cells import partitions, save
+from tidemill.llm.cells import lean, partitions, save
 from tidemill.llm.graph import components, spanning
 from tidemill.llm.textvec import Words, mix, row_chunks, text_buffer
 
@@ -83,6 +83,7 @@ def names(words: int) -> list[str]:
 
 def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str = "text") -> DataFrame:
     """Each input row as ``row`` (without its text) with ``fp0``, ``fp1``, ... (long)."""
+    lean(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
 

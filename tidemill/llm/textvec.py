@@ -140,7 +140,7 @@ def covered(n: int, starts: np.ndarray, width) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def row_chunks(batches, limit: int = 2 << 20, text: str = "text"):
+def row_chunks(batches, limit: int = 1 << 20, text: str = "text"):
     """Arrow batches regrouped so that each holds about ``limit`` bytes of text (a longer text stands alone)."""
     held, size = [], 0
     for batch in batches:
