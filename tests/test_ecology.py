@@ -88,4 +88,5 @@ def test_experiments(spark, sf):
     assert effect.pairs == 12 and effect.forage_effect > 0.9
     rescue = {r.condition: r for r in QUERIES["rescue_experiment"](spark, sf).collect()}
     assert rescue["normal"].share_rate == rescue["normal"].forage_rate == 1 and rescue["blocked"].forage_rate == rescue["unsafe"].share_rate == 0
-    assert rescue["normal"].boundary_moves == 0
+    assert rescue["blocked"].wait_rate == rescue["blocked"].survival_rate == 1 and rescue["normal"].boundary_moves == 0
+    assert QUERIES["rescue_effects"](spark, sf).first().forage_effect == 1.0
