@@ -90,3 +90,15 @@ def manifest(spark: SparkSession, corpus: str, train: int, test: int, prompt: st
     facts = {"train_records": train, "test_records": test, "python": platform.python_version(), "pyspark": pyspark.__version__, **more}
     out = file_digests(spark, corpus).withColumn("prompt_sha256", F.sha2(F.lit(prompt), 256))
     return out.withColumns({k: F.lit(v) for k, v in facts.items()})
+
+
+def write_run(events: DataFrame, summary: DataFrame, path: str) -> None:
+    """A run's events and its summary side by side."""
+    write_events(events, f"{path}/events")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of a report (audit or evaluation) as JSON under its name."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
