@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.actions import parse_strict
 from tidemill.functions.rates import rate
 
 WORLD = ["seed", "condition"]
@@ -45,35 +46,64 @@ def policy_comparison(events: DataFrame, policy: str = "condition") -> DataFrame
     return d.join(s, policy)
 
 
+_BEINGS = "array<struct<id:string,energy:int,alive:boolean,position:array<int>>>"
+
+
+def with_final(runs: DataFrame, role: str, organisms: Column, who: Column) -> DataFrame:
+    """Final energy, life and cell of a role, from the world's end row."""
+    being = F.get(F.filter(organisms, lambda b: b["id"] == who), F.lit(0))
+    return runs.withColumns({f"{role}_final_energy": being["energy"], f"{role}_alive": being["alive"], f"{role}_final_x": being["position"][0], f"{role}_final_y": being["position"][1]})
+
+
 def communication_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
     """One row per seed and condition.  ``scenes``: seed, sender_id, recipient_id, target_x, target_y.
 
-    A sender's decisions after the first tick are forced and don't count as the model's.
+    Decisions of bystanders, and the sender's after the world's first tick, are forced and not the model's.
     """
-    s = events.join(F.broadcast(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y")), "seed")
-    kind, actor = F.col("kind"), F.col("actor_id")
-    decision, sent = kind == "decision", (kind == "signal") & (actor == F.col("sender_id"))
+    first = events.groupBy(*WORLD).agg(F.min("tick").alias("first_tick"))
+    s = events.join(F.broadcast(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y")), "seed").join(first, WORLD)
+    kind, actor, tick = F.col("kind"), F.col("actor_id"), F.col("tick")
+    by_sender, by_recipient = actor == F.col("sender_id"), actor == F.col("recipient_id")
+    decision, sent = kind == "decision", (kind == "signal") & by_sender
     heard = sent & F.contains(get("receivers"), F.concat(F.lit('"'), F.col("recipient_id"), F.lit('"')))
-    mine = decision & (actor == F.col("recipient_id"))
+    mine = decision & by_recipient
     informed = mine & F.contains(get("observation.memory"), F.lit("signalled:"))
-    x, y = get("observation.self.position[0]", "int"), get("observation.self.position[1]", "int")
-    at_target = mine & (x == F.col("target_x")) & (y == F.col("target_y"))
-    distance = F.abs(x - F.col("target_x")) + F.abs(y - F.col("target_y"))
-    own = decision & ~((actor == F.col("sender_id")) & (F.col("tick") > 0))
-    ate = (kind == "forage") & (actor == F.col("recipient_id"))
-    return s.groupBy(*WORLD).agg(
-        F.count_if(decision).alias("decisions"), F.count_if(own).alias("model_decisions"), F.count_if(own & get("valid", "boolean") & get("policy_error").isNull()).alias("valid_model_decisions"),
-        F.count_if(sent).alias("signals"), F.count_if(heard).alias("deliveries"), F.count_if(informed).alias("informed_decisions"), F.coalesce(F.bool_or(at_target), F.lit(False)).alias("target_reached"), F.coalesce(F.bool_or(ate), F.lit(False)).alias("foraged"),
-        F.min(F.when(heard, F.col("tick"))).alias("first_delivery_tick"), F.min(F.when(ate, F.col("tick"))).alias("first_forage_tick"), F.coalesce(F.max_by(F.when(mine, distance), F.when(mine, F.col("seq"))), F.lit(0)).alias("final_distance"),
-        F.coalesce(F.sum(F.when(kind == "signal", get("cost", "int"))), F.lit(0)).alias("signal_cost"), F.coalesce(F.max_by(F.when(mine, get("observation.self.energy", "int")), F.when(mine, F.col("seq"))), F.lit(0)).alias("final_energy"),
+    at_target = mine & (get("observation.self.position[0]", "int") == F.col("target_x")) & (get("observation.self.position[1]", "int") == F.col("target_y"))
+    forced = decision & ((by_sender & (tick > F.col("first_tick"))) | ~(by_sender | by_recipient))
+    own, failed, valid = decision & ~forced, get("policy_error").isNotNull(), get("valid", "boolean")
+    ate = (kind == "forage") & by_recipient
+    s = s.withColumn("strict", parse_strict(F.when(own, get("raw_output")))["action"].isNotNull())
+    runs = s.groupBy(*WORLD).agg(
+        F.count_if(decision).alias("decisions"), F.count_if(decision & valid).alias("valid_decisions"), F.count_if(forced & by_sender).alias("forced_sender_decisions"), F.count_if(own).alias("model_decisions"),
+        F.count_if(own & valid & ~failed).alias("valid_model_decisions"), F.count_if("strict").alias("strict_model_outputs"), F.count_if(own & failed).alias("model_policy_errors"),
+        F.count_if(sent).alias("signals"), F.count_if(heard).alias("deliveries"), F.count_if(informed).alias("informed_decisions"), F.min(F.when(informed, tick)).alias("first_informed_tick"),
+        F.coalesce(F.bool_or(at_target), F.lit(False)).alias("seen_at_target"), F.min(F.when(at_target, tick)).alias("first_target_tick"), F.count_if(ate).alias("recipient_forages"), F.min(F.when(ate, tick)).alias("first_forage_tick"),
+        F.coalesce(F.sum(F.when(kind == "signal", get("cost", "int"))), F.lit(0)).alias("signal_cost"), F.from_json(F.max(F.when(kind == "end", get("organisms"))), _BEINGS).alias("o"),
     )
+    runs = runs.join(F.broadcast(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y")), "seed")
+    runs = with_final(with_final(runs, "sender", F.col("o"), F.col("sender_id")), "recipient", F.col("o"), F.col("recipient_id"))
+    distance = F.abs(F.col("recipient_final_x") - F.col("target_x")) + F.abs(F.col("recipient_final_y") - F.col("target_y"))
+    return runs.withColumns({"final_distance": distance, "final_energy": F.col("recipient_final_energy"), "target_reached": F.col("seen_at_target") | (distance == 0), "foraged": F.col("recipient_forages") > 0}).drop("o", "seen_at_target")
+
+
+def role_actions(events: DataFrame, roles: DataFrame) -> DataFrame:
+    """How often each role (seed, actor_id, role) took each action."""
+    return decisions(events).join(F.broadcast(roles), ["seed", "actor_id"]).groupBy(*WORLD, "role", "action").agg(F.count("*").alias("n"))
+
+
+def messages(events: DataFrame) -> DataFrame:
+    """Signals as their payload: what was said, what arrived, and to whom."""
+    return events.where("kind = 'signal'").select(*WORLD, "seq", "tick", "actor_id", get("message").alias("message"), get("delivered_message").alias("delivered_message"), F.from_json(get("receivers"), "array<string>").alias("receivers"), get("delivery").alias("delivery"), get("cost", "int").alias("cost"))
 
 
 def communication_conditions(runs: DataFrame) -> DataFrame:
-    flag = lambda c: F.col(c).cast("int")
+    """By condition: ratios of sums for decisions, shares of runs for outcomes, means to three places."""
+    some = lambda c: rate(F.count_if(c), F.count("*"))
+    mean = lambda c: F.coalesce(F.bround(F.avg(c), 3), F.lit(0.0))
     return runs.groupBy("condition").agg(
-        F.count("*").alias("runs"), rate(F.sum("valid_model_decisions"), F.sum("model_decisions")).alias("valid_rate"), rate(F.sum(flag("target_reached")), F.count("*")).alias("target_rate"), rate(F.sum(flag("foraged")), F.count("*")).alias("forage_rate"),
-        rate(F.count_if(F.col("informed_decisions") > 0), F.count("*")).alias("informed_rate"), F.bround(F.avg("final_distance"), 3).alias("mean_final_distance"), F.bround(F.avg("final_energy"), 3).alias("mean_final_energy"), F.sum("signals").alias("signals"), F.sum("signal_cost").alias("signal_cost"),
+        F.count("*").alias("runs"), rate(F.sum("valid_model_decisions"), F.sum("model_decisions")).alias("valid_rate"), rate(F.sum("strict_model_outputs"), F.sum("model_decisions")).alias("strict_rate"), F.sum("model_policy_errors").alias("policy_errors"),
+        some(F.col("signals") > 0).alias("signal_rate"), some(F.col("informed_decisions") > 0).alias("informed_rate"), some(F.col("target_reached")).alias("target_rate"), some(F.col("foraged")).alias("forage_rate"), some(F.col("recipient_alive")).alias("survival_rate"),
+        mean("final_distance").alias("mean_final_distance"), mean("final_energy").alias("mean_final_energy"), mean("sender_final_energy").alias("mean_sender_energy"), F.sum("signals").alias("signals"), F.sum("signal_cost").alias("signal_cost"),
     )
 
 
@@ -86,10 +116,12 @@ def rescue_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
     energy = get("observation.self.energy", "int")
     distance = F.abs(get("observation.self.position[0]", "int") - F.col("target_x")) + F.abs(get("observation.self.position[1]", "int") - F.col("target_y"))
     did = get("action.action")
-    return s.groupBy(*WORLD).agg(
+    runs = s.groupBy(*WORLD).agg(
         F.count_if(gave).alias("shares"), F.count_if((kind == "forage") & (actor == F.col("child_id"))).alias("child_forages"), F.count_if(child & (did == "move") & (energy <= distance)).alias("boundary_moves"), F.count_if(child & (did == "rest") & (energy == 1)).alias("energy_one_waits"),
-        F.min(F.when(gave, tick)).alias("first_share_tick"), F.min(F.when(donor, energy)).alias("least_donor_energy"), (~F.coalesce(F.bool_or((kind == "death") & (actor == F.col("child_id"))), F.lit(False))).alias("child_survived"),
+        F.min(F.when(gave, tick)).alias("first_share_tick"), F.min(F.when(donor, energy)).alias("least_observed_donor_energy"), F.from_json(F.max(F.when(kind == "end", get("organisms"))), _BEINGS).alias("o"), F.max("donor_id").alias("donor_id"), F.max("child_id").alias("child_id"), (~F.coalesce(F.bool_or((kind == "death") & (actor == F.col("child_id"))), F.lit(False))).alias("child_survived"),
     )
+    runs = with_final(with_final(runs, "donor", F.col("o"), F.col("donor_id")), "child", F.col("o"), F.col("child_id"))
+    return runs.withColumn("least_donor_energy", F.least("least_observed_donor_energy", "donor_final_energy")).drop("o", "donor_id", "child_id")
 
 
 def rescue_conditions(runs: DataFrame) -> DataFrame:
