@@ -128,3 +128,24 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq_neardup(none).count() == 0
     assert [tuple(r)[1:] for r in pq_neardup(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("large", [16, 4096])
+def test_cells_find_what_pairs_find(spark, large):
+    """Both searches, with and without crowded segment values, span the same groups."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (25, 4), dtype=np.uint64)
+    rows = [base]
+    for b in base:
+        flips = np.zeros((30, 4), np.uint64)
+        for f in flips:
+            for bit in rng.choice(256, rng.integers(1, 40), replace=False):
+                f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append(b ^ flips)
+    fp = np.concatenate(rows)
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(fp.view(np.int64))], "node long, fp0 long, fp1 long, fp2 long, fp3 long")
+    segments = [(w, shift, 16) for w in range(4) for shift in (0, 32)]
+    from tidemill.llm.simhash_mih import near_cells
+
+    found = [closure(len(fp), [(e.a, e.b) for e in edges.collect()]) for edges in (near_pairs(df, 4, 56, segments), near_cells(df, 4, 56, segments, large))]
+    assert found[0] == found[1] and len(set(found[0])) < 60

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.cells import save
+from tidemill.llm.cells import partitions, save
 
 
 def spanning(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is two aggregations and joins by node; rounds grow with the logarithm of the longest
     path.  The edge table is written to the shared folder after each, so that lineage stays short.
     """
-    e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    few = max(1, partitions(edges.sparkSession) // 8)  # links are far fewer than rows
+    e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(few), "edges")
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
     before = e.select(mark.alias("m")).first().m
     while before.n:
@@ -47,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = save(small, "edges")
+        e = save(small.coalesce(few), "edges")
         now = e.select(mark.alias("m")).first().m
         if now == before:
             break

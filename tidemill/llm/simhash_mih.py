@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm import cells as C
 from tidemill.llm.cells import lean, partitions, save
 from tidemill.llm.graph import components, spanning
 from tidemill.llm.textvec import Words, mix, row_chunks, text_buffer
@@ -129,6 +130,96 @@ def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     size = all_.groupBy("seg", "key").agg(F.count("*").alias("n"), F.max("table").alias("held")).where("n > 1 and held")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     met = save(all_.join(size, ["seg", "key"]).select("seg", "key", "node", *fp, blocks.alias("blocks")), "mih-members")
+    return _blocked(met, words, radius)
+
+
+def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the groups of near fingerprints among rows sorted by ``group``, nearest first."""
+    left, right, far = [], [], []
+    at = np.arange(len(node))
+    for step in range(1, len(node)):
+        at = at[at < len(node) - step]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        distance = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
+        hit = (distance <= radius) & (node[at] != node[at + step])
+        left.append(at[hit])
+        right.append(at[hit] + step)
+        far.append(distance[hit])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+    all_nodes, place = np.unique(node, return_inverse=True)
+    a, b = spanning(len(all_nodes), ((place[left[far == d]], place[right[far == d]]) for d in np.unique(far)))
+    return all_nodes[a], all_nodes[b]
+
+
+#: A segment value with more records than this is dealt to several tasks.
+LARGE = 4096
+
+
+def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tuple[int, int, int]], large: int = LARGE) -> DataFrame:
+    """As ``near_pairs``, for many segments: records travel once, as packed cells, and are compared where they meet.
+
+    Segment values with very many records come out as members and are dealt as pairs of blocks.
+    """
+    buckets, _ = C.dealt(distinct.sparkSession)
+    fp = names(words)
+    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("table", "u1"), ("fp", "<u8", (words,))])
+
+    def spread(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                node = b.column(0).to_numpy()
+                bits = np.stack([b.column(1 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
+                keys, rows, table = [], [], []
+                for number, (word, shift, size) in enumerate(segments):
+                    value = bits[:, word] >> np.uint64(shift) & np.uint64((1 << size) - 1)
+                    base = np.uint64(number << 32)
+                    keys.append(value | base)
+                    rows.append(np.arange(len(node)))
+                    table.append(np.ones(len(node), np.uint8))
+                    for bit in range(size):
+                        zero = np.flatnonzero((value >> np.uint64(bit) & np.uint64(1)) == 0)
+                        keys.append(value[zero] | np.uint64(1 << bit) | base)
+                        rows.append(zero)
+                        table.append(np.zeros(len(zero), np.uint8))
+                at = np.concatenate(rows)
+                out = np.empty(len(at), record)
+                out["k"], out["node"], out["table"], out["fp"] = np.concatenate(keys), node[at], np.concatenate(table), bits[at]
+                if len(out):
+                    yield C.packed((mix(out["k"]) % np.uint64(buckets)).astype(np.int32), out)
+
+    def meet(_, column):
+        a = C.unpacked(column, record)
+        a = a[np.argsort(a["k"], kind="stable")]
+        new = np.r_[True, a["k"][1:] != a["k"][:-1]] if len(a) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        n = np.bincount(group)
+        use = (n > 1) & (np.bincount(group, a["table"]) > 0)
+        crowd = use[group] & (n[group] > large)
+        a, group, crowded = a[use[group] & ~crowd], group[use[group] & ~crowd], a[crowd]
+        left, right = _linked(group, a["node"], a["fp"], radius)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.list_(pa.int64()))], ["a", "b", "key", "fp"])
+        if len(crowded):
+            flat = pa.array(np.ascontiguousarray(crowded["fp"]).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.nulls(len(crowded), pa.int64()), pa.array(crowded["k"].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
+
+    met = save(C.gathered(distinct.select("node", *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
+    edges = met.where("key is null").select("a", "b")
+    crowds = met.where("key is not null")
+    if crowds.isEmpty():
+        return edges
+    size = crowds.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
+    return edges.union(_blocked(members, words, radius))
+
+
+def _blocked(met: DataFrame, words: int, radius: int) -> DataFrame:
+    """Edges among the members of each segment value, dealt as pairs of ``blocks`` blocks."""
+    fp = names(words)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = met.select("seg", "key", "node", *fp, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", *fp)
@@ -142,26 +233,10 @@ def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tupl
         order = np.lexsort((node, group))
         group, node = group[order], node[order]
         bits = np.stack([t.column(k).to_numpy()[order].view(np.uint64) for k in fp], axis=1)
-        left, right, far = [], [], []
-        at = np.arange(len(node))
-        for step in range(1, len(node)):
-            at = at[at < len(node) - step]
-            at = at[group[at] == group[at + step]]
-            if not len(at):
-                break
-            distance = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
-            hit = distance <= radius
-            left.append(at[hit])
-            right.append(at[hit] + step)
-            far.append(distance[hit])
-        if not left:
-            return
-        left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        all_nodes, place = np.unique(node, return_inverse=True)
-        a, b = spanning(len(all_nodes), ((place[left[far == d]], place[right[far == d]]) for d in np.unique(far)))
-        yield pa.RecordBatch.from_arrays([pa.array(all_nodes[a]), pa.array(all_nodes[b])], ["a", "b"])
+        a, b = _linked(group, node, bits, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return task.repartition(partitions(distinct.sparkSession), "task").mapInArrow(compare, "a long, b long")
+    return task.repartition(partitions(met.sparkSession), "task").mapInArrow(compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +272,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
     made = fingerprints(key.select(F.xxhash64("all").alias("uid"), F.length("text").alias("size"), "text"), size, LONG_WORDS)
     rows = save(made.select(F.col("row.uid").alias("uid"), F.col("row.size").alias("size"), *fp), "fingerprints")
     nodes = rows.groupBy(*fp).agg(F.min("uid").alias("node"))
-    edges = save(near_pairs(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS).distinct(), "near-edges")
+    few = max(1, partitions(docs.sparkSession) // 8)  # links are far fewer than texts
+    edges = save(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS).distinct().coalesce(few), "near-edges")
     asked = edges.select(F.col("a").alias("uid")).union(edges.select(F.col("b").alias("uid"))).distinct()
 
     def sets(batches):
