@@ -43,10 +43,14 @@ def fresh(candidates: DataFrame, known: DataFrame, fingerprint: list[str], order
 
 
 def top_up(base: DataFrame, candidates: DataFrame, label: str, order: list[str], minimum: int) -> DataFrame:
-    """Candidates, in order, that bring each class up to ``minimum``."""
-    have = base.groupBy(label).agg(F.count("*").alias("_have"))
+    """Candidates, in order, that bring each class up to ``minimum``.
+
+    The constant bound on the rank lets Spark cut each class to so many rows before the exchange.
+    """
+    have = base.groupBy(label).agg(F.count("*").alias("_have"))  # one row for each class
     rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return candidates.join(F.broadcast(have), label, "left").withColumn("_rank", rank).where(F.col("_rank") <= minimum - F.coalesce("_have", F.lit(0))).drop("_rank", "_have")
+    first = candidates.withColumn("_rank", rank).where(F.col("_rank") <= minimum)
+    return first.join(F.broadcast(have), label, "left").where(F.col("_rank") <= minimum - F.coalesce("_have", F.lit(0))).drop("_rank", "_have")
 
 
 def top_up_stop(candidates: DataFrame, label: str, episode: str, minimum: int, classes: int) -> DataFrame:
