@@ -124,6 +124,24 @@ def test_vectors(spark, vectors):
     assert got[9006] == got[9007] == (1, 9006)
 
 
+@pytest.mark.parametrize("part", [40, 300, 8192])
+def test_vectors_on_many_lists(spark, monkeypatch, part):
+    """A third of the vectors are noisy copies of one, so that a third of a hundred lists lie there: every link counts."""
+    monkeypatch.setattr("tidemill.llm.pq_neardup.LIST_SIZE", 24)
+    monkeypatch.setattr("tidemill.llm.pq_neardup.PART", part, raising=False)
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=32) + rng.normal(size=(800, 32)) * 0.27
+    base = rng.normal(size=(400, 32))
+    x = np.concatenate([hot, base, *(base + rng.normal(size=base.shape) * s for s in (0.2, 0.3, 0.45))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.row.vec_id: (r.n_links, r.component) for r in pq_neardup(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    want = closure(len(x), zip(*np.nonzero(link), strict=True))
+    assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq_neardup(none).count() == 0

@@ -1,18 +1,21 @@
 """Embedding near-dedup by product quantisation.
 
 Distinct vectors are put on coarse inverted lists (spherical k-means), and their residuals coded in
-subspaces.  A query probes the lists of its nearest centroids; on each, table lookups give its
-distance to every coded vector.  A code comes with its own error, so a vector is passed over only if
-the triangle inequality rules it out; all others are compared exactly, by cosine in double precision.
-A pair is found if either side probes the other's list, and no link below the threshold is kept.
-
-Equal vectors are folded first and count by their number.  Lists and their queries are dealt in
-blocks, so no task compares more than BLOCK by BLOCK; tasks add up link counts and send on only links
-that join what was apart, never all pairs.
+subspaces.  A query probes every list that two bounds cannot exclude (``Quantiser.within``): the angle
+to the centroid against the widest angle on the list, and the distance to the border between the
+list and the query's own.  On a list, the codes give the
+query's distance to every coded vector.  A code comes with its own error, so a vector is passed over
+only if the triangle inequality rules it out; all others are compared exactly, by cosine in double
+precision.  No link is missed, and none below the threshold is kept.
+
+Equal vectors are folded first and count by their number.  Lists are grouped (or cut) into parts of
+about PART vectors, which meet in pairs: a vector travels once to each part that it may link with, and
+no task holds more than two parts.  Tasks add up link counts and send on only links that join what was
+apart, never all pairs.
 
 The quantisers are fit on a bounded sample (SAMPLE distinct vectors, least hash first); all vectors
-are indexed.  Lists hold about LIST_SIZE vectors each up to MAX_LISTS lists.  Recall against brute
-force is measured in the tests.
+are indexed.  Lists hold about LIST_SIZE vectors each up to MAX_LISTS lists.  Where vectors lie far
+from their centroids the bounds exclude little, and comparisons grow with the square of the rows.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing
 and stay alone; vectors whose length is not the most frequent one link with equal vectors only; a
@@ -26,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.cells import partitions, save
+from tidemill.llm import cells as C
+from tidemill.llm.cells import save
 from tidemill.llm.graph import components, spanning
+from tidemill.llm.textvec import mix
 
-SAMPLE, LIST_SIZE, MAX_LISTS, PROBES = 16384, 256, 4096, 12
-SUBSPACES, CODES, BLOCK = 8, 256, 256
+SAMPLE, LIST_SIZE, MAX_LISTS = 16384, 256, 4096
+SUBSPACES, CODES = 8, 256
+#: Vectors of a part, vectors that are asked about at once, and records that a map task holds at once.
+PART, BLOCK, SENT = 8192, 2048, 16384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -69,12 +76,22 @@ class Quantiser:
         residual = sample - self.coarse[nearest(sample, self.coarse)]
         self.books = [k_means(residual[:, p], min(CODES, len(sample)), 6) for p in self.parts]
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest lists of each vector, nearest first."""
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest list of each vector, and the cosine to its centroid."""
         score = x @ self.coarse.T
-        n = min(n, self.lists)
-        top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+        home = score.argmax(1)
+        return home, score[np.arange(len(x)), home]
+
+    def within(self, x: np.ndarray, home: np.ndarray, which: np.ndarray, least: np.ndarray, threshold: float) -> np.ndarray:
+        """(vectors, lists): true unless no vector of the list can have that cosine.  ``least`` is the least cosine to the centroid on each list, 2 if it is empty."""
+        score = x @ self.coarse[which].T
+        angle = lambda c: np.arccos(np.clip(c, -1, 1))
+        near = (least[which] <= 1.5) & (angle(score) - angle(least[which]) <= angle(threshold) + 1e-6)
+        # a list's vectors are on its side of the border to the query's own list
+        gap = np.sqrt(np.maximum(2 - 2 * self.coarse[home] @ self.coarse[which].T, 1e-12))
+        own = np.einsum("ij,ij->i", x, self.coarse[home])
+        near &= (own[:, None] - score) / gap <= np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+        return near | (home[:, None] == which)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the error of each."""
@@ -83,14 +100,10 @@ class Quantiser:
         back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], axis=1)
         return codes.astype(np.uint8), np.linalg.norm(r - back, axis=1)
 
-    def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of queries to the coded vectors of a list, by table lookup."""
-        r = queries - self.coarse[which]
-        out = np.zeros((len(queries), len(codes)))
-        for m, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            table = (r[:, p] ** 2).sum(1)[:, None] - 2 * r[:, p] @ b.T + (b * b).sum(1)
-            out += table[:, codes[:, m]]
-        return np.sqrt(np.maximum(out, 0))
+    def squared(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+        """Squared asymmetric distances of unit queries to the coded vectors of a list."""
+        back = self.coarse[which] + np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], axis=1)
+        return (1 + (back * back).sum(1)) - 2 * (queries @ back.T)
 
 
 def _matrix(column) -> np.ndarray:
@@ -98,9 +111,6 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-MEMBER = "list int, asked boolean, node long, weight long, vector array<double>, codes binary, error double, home int, probes array<int>"
-
-
 def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
     """From distinct valid vectors (node, weight, vector): link counts (node, n) and spanning edges (a, b)."""
     spark = classes.sparkSession
@@ -111,72 +121,87 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     shared = spark.sparkContext.broadcast(Quantiser(sample, int(min(MAX_LISTS, max(1, n // LIST_SIZE)))))  # at most MAX_LISTS vectors and the books
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
+    lists = shared.value.lists
+
+    def farthest(batches):
+        for b in batches:
+            home, cosine = shared.value.home(unit(_matrix(b.column(0))))
+            least = np.full(lists, 2.0)
+            np.minimum.at(least, home, cosine)
+            n = np.bincount(home, minlength=lists)
+            held = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(least[held]), pa.array(n[held], pa.int64())], ["list", "least", "n"])
+
+    least, held = np.full(lists, 2.0), np.zeros(lists, np.int64)
+    for r in classes.select("vector").mapInArrow(farthest, "list int, least double, n long").groupBy("list").agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect():  # at most MAX_LISTS rows
+        least[r.list], held[r.list] = r.least - 1e-9, r.n
+    cuts = np.maximum(1, -(-held // PART))  # parts of a list
+    first = np.zeros(lists, np.int64)
+    part, room = -1, -1
+    for i in range(lists):
+        if cuts[i] > 1 or held[i] > room:
+            part, room = part + 1, PART
+        first[i] = part
+        room = room - held[i] if cuts[i] == 1 else 0
+        part += cuts[i] - 1
+    parts = int(part) + 1
+    covers = (first[:, None] <= np.arange(parts)) & (np.arange(parts) < (first + cuts)[:, None])  # lists by parts
+    dims = sample.shape[1]
+    record = np.dtype([("part", "<i4"), ("home", "<i4"), ("node", "<i8"), ("weight", "<i8"), ("error", "<f8"), ("x", "<f8", (dims,)), ("codes", "u1", (len(shared.value.parts),))])
+
     def members(batches):
         q = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            node, weight = b.column(0).to_numpy(), b.column(1).to_numpy()
-            x = unit(_matrix(b.column(2)))
-            probes = q.probes(x, PROBES)
-            codes, error = q.encode(x, probes[:, 0])
-            k = probes.shape[1]
-            for asked, row, which in ((False, np.arange(len(x)), probes[:, 0]), (True, np.repeat(np.arange(len(x)), k), probes.ravel())):
-                lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * a.shape[1], pa.int32()), pa.array(a[row].ravel(), kind))
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.full(len(row), asked)), pa.array(node[row]), pa.array(weight[row]), lists(x, pa.float64()), pa.array([codes[i].tobytes() for i in row] if not asked else [b""] * len(row), pa.binary()), pa.array(error[row]), pa.array(probes[row, 0], pa.int32()), lists(probes, pa.int32()) if not asked else pa.array([[]] * len(row), pa.list_(pa.int32()))], ["list", "asked", "node", "weight", "vector", "codes", "error", "home", "probes"])
-
-    rows = save(classes.select("node", "weight", "vector").mapInArrow(members, MEMBER), "pq-members")
-    sizes = rows.groupBy("list").agg(F.count_if("asked").alias("q"), F.count_if(~F.col("asked")).alias("d"))
-    sizes = sizes.where("d > 0").select("list", F.ceil(F.col("q") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("d") / BLOCK).cast("int").alias("ds"))  # at most MAX_LISTS rows
-    own, other = F.when(F.col("asked"), F.col("qs")).otherwise(F.col("ds")), F.when(F.col("asked"), F.col("ds")).otherwise(F.col("qs"))
-    blocked = rows.join(F.broadcast(sizes), "list").withColumn("mine", F.pmod(F.xxhash64("node"), own)).withColumn("theirs", F.explode(F.sequence(F.lit(0), other - 1)))
-    i, j = F.when(F.col("asked"), F.col("mine")).otherwise(F.col("theirs")), F.when(F.col("asked"), F.col("theirs")).otherwise(F.col("mine"))
-    tasks = blocked.withColumn("task", F.xxhash64("list", i, j)).drop("mine", "theirs", "qs", "ds")
-
-    def compare(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        key, asked = t.column("task").to_numpy(), t.column("asked").to_numpy(zero_copy_only=False)
-        order = np.lexsort((t.column("node").to_numpy(), asked, key))
-        key, asked = key[order], asked[order]
-        node, weight, home, which, error = (t.column(k).to_numpy()[order] for k in ("node", "weight", "home", "list", "error"))
-        vector = _matrix(t.column("vector"))
-        # codes and probes belong to data rows; place says which of them a sorted row has
-        coded = ~t.column("asked").to_numpy(zero_copy_only=False)
-        place = (np.cumsum(coded) - 1)[order]
-        codes = np.frombuffer(b"".join(x.as_buffer() for c in t.column("codes").chunks for x in c), np.uint8).reshape(int(coded.sum()), -1)
-        probes = t.column("probes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(int(coded.sum()), -1)
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        credit, left, right = [], [], []
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            m = a + int(np.searchsorted(asked[a:z], True))
-            if m == a or m == z:
-                continue
-            data, ask = slice(a, m), slice(m, z)
-            x, y = vector[order[ask]], vector[order[data]]
-            near = shared.value.distances(x, int(which[a]), codes[place[data]]) <= reach + error[data][None, :] + 1e-9
-            q, d = np.nonzero(near & (node[ask][:, None] != node[data][None, :]))
-            hit = np.einsum("ij,ij->i", x[q], y[d]) >= threshold
-            q, d = q[hit], d[hit]
-            if not len(q):
-                continue
-            back = (probes[place[data][d]] == home[ask][q][:, None]).any(1)  # the other side asks on its own
-            credit += [np.stack([node[ask][q], weight[data][d]]), np.stack([node[data][d[~back]], weight[ask][q[~back]]])]
-            names, number = np.unique(node[a:z], return_inverse=True)
-            e, f = spanning(len(names), [(number[m - a :][q], number[: m - a][d])])
-            left.append(names[e])
-            right.append(names[f])
-        if credit:
-            both = np.concatenate(credit, axis=1)
-            names, place = np.unique(both[0], return_inverse=True)
-            n = np.bincount(place, both[1].astype(float)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.nulls(len(names), pa.int64())], ["node", "n", "other"])
-            e, f = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.zeros(len(e), np.int64)), pa.array(f)], ["node", "n", "other"])
-
-    found = save(tasks.repartition(partitions(spark), "task").mapInArrow(compare, "node long, n long, other long"), "pq-links")
+        step = max(1, min(1000, SENT // parts))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
+                made = np.zeros(b.num_rows, record)
+                x = made["x"] = unit(_matrix(b.column(2)))
+                made["node"], made["weight"] = b.column(0).to_numpy(), b.column(1).to_numpy()
+                home, _ = q.home(x)
+                made["home"], (made["codes"], made["error"]) = home, q.encode(x, home)
+                own = made["part"] = first[home] + (mix(made["node"].view(np.uint64)) % cuts[home].astype(np.uint64)).astype(np.int64)
+                row, other = np.nonzero(q.within(x, home, np.arange(lists), least, threshold).astype(np.float32) @ covers.astype(np.float32))
+                pair = np.minimum(own[row], other) * parts + np.maximum(own[row], other)
+                yield C.packed(pair.astype(np.int32), made[row])
+
+    def compare(t: pa.Table) -> pa.Table:
+        q_ = shared.value
+        i, j = divmod(t.column("bucket")[0].as_py(), parts)
+        a = C.unpacked(t.column("cell"), record)
+        ask, data = a[a["part"] == i], a[a["part"] == j]
+        data = data[np.lexsort((data["node"], data["home"]))]
+        cut = np.flatnonzero(np.r_[True, data["home"][1:] != data["home"][:-1], True]) if len(data) else np.zeros(1, np.int64)
+        which = data["home"][cut[:-1]]
+        names = np.unique(a["node"])
+        n = np.zeros(len(names), np.int64)
+        at_ask, at_data = np.searchsorted(names, ask["node"]), np.searchsorted(names, data["node"])
+        left, right = [], []
+        for start in range(0, len(ask), BLOCK):
+            x, home = ask["x"][start : start + BLOCK], ask["home"][start : start + BLOCK]
+            near = q_.within(x, home, which, least, threshold)
+            for k, (u, v) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                rows = np.flatnonzero(near[:, k])
+                q, d = np.nonzero(q_.squared(x[rows], int(which[k]), data["codes"][u:v]) <= (reach + data["error"][u:v] + 1e-9) ** 2)
+                q, d = rows[q], d + u
+                e, f = at_ask[start:][q], at_data[d]
+                hit = np.flatnonzero(e != f)
+                hit = hit[np.concatenate([np.einsum("ij,ij->i", x[q[h]], data["x"][d[h]]) for h in np.array_split(hit, len(hit) // 65536 + 1)]) >= threshold]
+                if not len(hit):
+                    continue
+                q, d, e, f = q[hit], d[hit], e[hit], f[hit]
+                np.add.at(n, e, data["weight"][d])
+                if i != j:  # within a part the other side asks too
+                    np.add.at(n, f, ask["weight"][start:][q])
+                e, f = spanning(len(names), [(e, f)])
+                left.append(names[e])
+                right.append(names[f])
+        some = n > 0
+        e, f = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right))
+        return pa.table({"node": np.r_[names[some], e], "n": np.r_[n[some], np.zeros(len(e), np.int64)], "other": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(f)])})
+
+    cells = classes.select("node", "weight", "vector").mapInArrow(members, C.CELLS)
+    found = save(cells.groupBy("bucket").applyInArrow(compare, "node long, n long, other long"), "pq-links")
     return found.where("other is null").groupBy("node").agg(F.sum("n").alias("n")), found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
