@@ -142,6 +142,21 @@ def test_vectors_on_many_lists(spark, monkeypatch, part):
     assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
 
 
+def test_vectors_of_two_lengths(spark):
+    """Near but unequal vectors link within each length."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for n, dims in ((60, 8), (20, 5)):
+        base = rng.normal(size=(n // 2, dims))
+        rows += np.concatenate([base, base + rng.normal(size=base.shape) * 0.05]).tolist()
+    got = {r.row.vec_id: (r.n_links, r.component) for r in pq_neardup(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    near = lambda x, y: len(x) == len(y) and np.dot(x, y) >= 0.9 * np.linalg.norm(x) * np.linalg.norm(y)
+    pairs = [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if i != j and near(x, y)]
+    want = closure(len(rows), pairs)
+    assert got == {i: (sum(a == i for a, _ in pairs), want[i]) for i in range(len(rows))}
+    assert {i for i, _ in pairs} >= set(range(60, 80))
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq_neardup(none).count() == 0

@@ -18,7 +18,7 @@ are indexed.  Lists hold about LIST_SIZE vectors each up to MAX_LISTS lists.  Wh
 from their centroids the bounds exclude little, and comparisons grow with the square of the rows.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing
-and stay alone; vectors whose length is not the most frequent one link with equal vectors only; a
+and stay alone; vectors of different lengths never link, and each length is searched by itself; a
 null vec_id has component null unless it links to others; other input columns travel in ``row``.
 """
 
@@ -111,12 +111,10 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """From distinct valid vectors (node, weight, vector): link counts (node, n) and spanning edges (a, b)."""
     spark = classes.sparkSession
     sample = unit(_matrix(classes.orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).select("vector").toArrow().column("vector")))
-    if not len(sample):
-        return None
     n = classes.count()
     shared = spark.sparkContext.broadcast(Quantiser(sample, int(min(MAX_LISTS, max(1, n // LIST_SIZE)))))  # at most MAX_LISTS vectors and the books
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
@@ -213,11 +211,13 @@ def pq_neardup(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     given = rows.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("id"), F.when(whole, vector).alias("vector"))
     known = given.where("vector is not null").groupBy("vector").agg(F.count("*").alias("weight"), F.min("id").alias("least"))
     classes = save(known.withColumn("node", F.monotonically_increasing_id()), "pq-classes")
-    sizes = classes.groupBy(F.size("vector").alias("k")).count().orderBy(F.desc("count"), "k").limit(1).collect()
-    found = near_links(classes.where(F.size("vector") == sizes[0].k), threshold) if sizes else None
-    if found is None:
+    sizes = classes.groupBy(F.size("vector").alias("k")).count().orderBy("k").collect()  # one row for each length of vectors
+    if not sizes:
         return given.select("row", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    counts, edges = found
+    found = [near_links(classes.where(F.size("vector") == r.k), threshold) for r in sizes if r["count"] > 1]
+    counts, edges = classes.select("node", F.lit(0).cast("long").alias("n")).limit(0), classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for c, e in found:
+        counts, edges = counts.union(c), edges.union(e)
     roots = components(edges)
     joined = classes.join(roots, "node", "left").join(counts, "node", "left").select("vector", "weight", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
