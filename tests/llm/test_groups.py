@@ -97,6 +97,37 @@ def test_similar_groups(spark, edge_docs, no_docs):
     assert similar_groups(no_docs).count() == 0
 
 
+def shingle_set(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def check_groups(spark, texts):
+    """similar_groups against the components of brute-force Jaccard; returns their number."""
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i, x in enumerate(sets) for j in range(i) if len(x & sets[j]) >= 0.8 * len(x | sets[j])]
+    want = closure(len(texts), pairs)
+    got = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    least = {}
+    for r in got:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert {r.doc_id: least[r.root] for r in got} == dict(enumerate(want))
+    assert sum(r.first for r in got) == len(set(want))
+    return len(set(want))
+
+
+def edited(words, places):
+    return " ".join(f"{w}{places[i]}" if i in places else w for i, w in enumerate(words))
+
+
+def test_hub_of_far_copies(spark):
+    """Copies that are similar to a hub only: pairs that look nearer fail the exact check, those to the hub must not be lost."""
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 104)]
+    texts = [edited(words, {52: "h"})] + [edited(words, {52: "h", int(i): f"x{k}", int(j): f"y{k}"}) for k, (i, j) in enumerate(zip(rng.integers(6, 45, 150), rng.integers(60, 98, 150), strict=True))]
+    assert check_groups(spark, texts) < 5
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(4)

@@ -133,23 +133,29 @@ def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     return _blocked(met, words, radius)
 
 
-def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the groups of near fingerprints among rows sorted by ``group``, nearest first."""
+def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the groups of near fingerprints among rows sorted by ``group``, nearest first; with ``root``, all pairs of different roots."""
     left, right, far = [], [], []
     at = np.arange(len(node))
+    apart = node if root is None else root
     for step in range(1, len(node)):
         at = at[at < len(node) - step]
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        distance = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
-        hit = (distance <= radius) & (node[at] != node[at + step])
-        left.append(at[hit])
-        right.append(at[hit] + step)
+        some = at[apart[at] != apart[at + step]]
+        distance = np.bitwise_count(bits[some] ^ bits[some + step]).sum(1, dtype=np.int32)
+        hit = distance <= radius
+        left.append(some[hit])
+        right.append(some[hit] + step)
         far.append(distance[hit])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+    if root is not None:
+        x, y = node[left], node[right]
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
     all_nodes, place = np.unique(node, return_inverse=True)
     a, b = spanning(len(all_nodes), ((place[left[far == d]], place[right[far == d]]) for d in np.unique(far)))
     return all_nodes[a], all_nodes[b]
@@ -162,18 +168,20 @@ LARGE = 4096
 def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tuple[int, int, int]], large: int = LARGE) -> DataFrame:
     """As ``near_pairs``, for many segments: records travel once, as packed cells, and are compared where they meet.
 
-    Segment values with very many records come out as members and are dealt as pairs of blocks.
+    Segment values with very many records come out as members and are dealt as pairs of blocks.  With a
+    column ``root`` all pairs of different roots come out, not only those that span.
     """
+    rooted = "root" in distinct.columns
     buckets, _ = C.dealt(distinct.sparkSession)
     fp = names(words)
-    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("table", "u1"), ("fp", "<u8", (words,))])
+    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("root", "<i8"), ("table", "u1"), ("fp", "<u8", (words,))])
 
     def spread(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
-                node = b.column(0).to_numpy()
-                bits = np.stack([b.column(1 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
+                node, root = b.column(0).to_numpy(), b.column(1).to_numpy()
+                bits = np.stack([b.column(2 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
                 keys, rows, table = [], [], []
                 for number, (word, shift, size) in enumerate(segments):
                     value = bits[:, word] >> np.uint64(shift) & np.uint64((1 << size) - 1)
@@ -188,7 +196,7 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
                         table.append(np.zeros(len(zero), np.uint8))
                 at = np.concatenate(rows)
                 out = np.empty(len(at), record)
-                out["k"], out["node"], out["table"], out["fp"] = np.concatenate(keys), node[at], np.concatenate(table), bits[at]
+                out["k"], out["node"], out["root"], out["table"], out["fp"] = np.concatenate(keys), node[at], root[at], np.concatenate(table), bits[at]
                 if len(out):
                     yield C.packed((mix(out["k"]) % np.uint64(buckets)).astype(np.int32), out)
 
@@ -201,28 +209,29 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
         use = (n > 1) & (np.bincount(group, a["table"]) > 0)
         crowd = use[group] & (n[group] > large)
         a, group, crowded = a[use[group] & ~crowd], group[use[group] & ~crowd], a[crowd]
-        left, right = _linked(group, a["node"], a["fp"], radius)
+        left, right = _linked(group, a["node"], a["fp"], radius, a["root"] if rooted else None)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.list_(pa.int64()))], ["a", "b", "key", "fp"])
         if len(crowded):
             flat = pa.array(np.ascontiguousarray(crowded["fp"]).view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.nulls(len(crowded), pa.int64()), pa.array(crowded["k"].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["root"]), pa.array(crowded["k"].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
 
-    met = save(C.gathered(distinct.select("node", *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
+    met = save(C.gathered(distinct.select("node", F.col("root" if rooted else "node").alias("root"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
     edges = met.where("key is null").select("a", "b")
     crowds = met.where("key is not null")
     if crowds.isEmpty():
         return edges
     size = crowds.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
+    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *([F.col("b").alias("root")] if rooted else []), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
     return edges.union(_blocked(members, words, radius))
 
 
 def _blocked(met: DataFrame, words: int, radius: int) -> DataFrame:
     """Edges among the members of each segment value, dealt as pairs of ``blocks`` blocks."""
-    fp = names(words)
+    fp, rooted = names(words), "root" in met.columns
+    carried = ["node", *(["root"] if rooted else []), *fp]
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = met.select("seg", "key", "node", *fp, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", *fp)
+    pair = met.select("seg", "key", *carried, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), *carried)
 
     def compare(batches):
         held = [b for b in batches if b.num_rows]
@@ -233,7 +242,7 @@ def _blocked(met: DataFrame, words: int, radius: int) -> DataFrame:
         order = np.lexsort((node, group))
         group, node = group[order], node[order]
         bits = np.stack([t.column(k).to_numpy()[order].view(np.uint64) for k in fp], axis=1)
-        a, b = _linked(group, node, bits, radius)
+        a, b = _linked(group, node, bits, radius, t.column("root").to_numpy()[order] if rooted else None)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return task.repartition(partitions(met.sparkSession), "task").mapInArrow(compare, "a long, b long")
@@ -264,7 +273,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
     Texts link if their sets of word shingles have at least that similarity (Jaccard).  64 bits cannot
     tell 0.8 from less, so the fingerprint has 256 bits: 0.8 is some 39 differing bits, 56 misses about
     one in a thousand.  One of eight 16-bit segments is then within a bit for 93 % of pairs at 0.8, and
-    over 99 % at 0.9.  The nearest pairs that span each group are checked exactly before they link.
+    over 99 % at 0.9.  The nearest pairs that span each group are checked exactly before they link;
+    then all other candidate pairs that the links found so far leave in different groups.
     The row to keep has the longest text, then the least row hash; rows equal in all columns come back once.
     """
     fp = names(LONG_WORDS)
@@ -273,19 +283,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
     rows = save(made.select(F.col("row.uid").alias("uid"), F.col("row.size").alias("size"), *fp), "fingerprints")
     nodes = rows.groupBy(*fp).agg(F.min("uid").alias("node"))
     few = max(1, partitions(docs.sparkSession) // 8)  # links are far fewer than texts
-    edges = save(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS).distinct().coalesce(few), "near-edges")
-    asked = edges.select(F.col("a").alias("uid")).union(edges.select(F.col("b").alias("uid"))).distinct()
-
     def sets(batches):
         for t in row_chunks(batches):
             h, bounds = shingles(*text_buffer(t.column("text")), size)
             made = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), pa.array(made, pa.binary())], ["uid", "set"])
 
-    wanted = key.select(F.xxhash64("all").alias("uid"), "text").join(asked, "uid").mapInArrow(sets, "uid long, set binary")
-    held = save(wanted.groupBy("uid").agg(F.first("set").alias("set")), "shingle-sets")
-    both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-
     def checked(batches):
         for b in batches:
             keep = []
@@ -295,7 +298,17 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
                 keep.append(common >= similarity * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    roots = components(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        edges = save(pairs.distinct().coalesce(few), "near-edges")
+        asked = edges.select(F.col("a").alias("uid")).union(edges.select(F.col("b").alias("uid"))).distinct()
+        wanted = key.select(F.xxhash64("all").alias("uid"), "text").join(asked, "uid").mapInArrow(sets, "uid long, set binary")
+        held = save(wanted.groupBy("uid").agg(F.first("set").alias("set")), "shingle-sets")
+        both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
+        return save(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), "near-links")
+
+    links = confirmed(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS))
+    rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(links.union(confirmed(near_cells(rooted, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS))))
     grouped = nodes.join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("root"))
     best = F.max(F.struct("size", (-F.col("uid").cast("decimal(20,0)")).alias("low"))).alias("best")
     member = save(rows.select("uid", F.coalesce("size", F.lit(0)).alias("size"), *fp).join(grouped, fp).select("uid", "size", "root"), "groups")
