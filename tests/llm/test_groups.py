@@ -128,6 +128,18 @@ def test_hub_of_far_copies(spark):
     assert check_groups(spark, texts) < 5
 
 
+def test_repeats_do_not_count(spark):
+    """Equal shingle sets, one with a passage repeated, are one group; a shingle that outweighs all others makes no copies."""
+    rng = np.random.default_rng(10)
+    free = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(10):
+        w, loop = free(300), free(16)
+        texts += [" ".join(w + loop * k) for k in (2, 12, 25)]
+    texts += [" ".join(free(40) + ["la"] * 100) for _ in range(6)]
+    assert check_groups(spark, texts) == 16
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(4)

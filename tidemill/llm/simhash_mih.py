@@ -82,20 +82,37 @@ def names(words: int) -> list[str]:
     return [f"fp{w}" for w in range(words)]
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str = "text") -> DataFrame:
-    """Each input row as ``row`` (without its text) with ``fp0``, ``fp1``, ... (long)."""
+def distinct_shingles(hashes: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted set of each text's hashes, and bounds by text."""
+    sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return sets, np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str = "text", sets: bool = False) -> DataFrame:
+    """Each input row as ``row`` (without its text) with ``fp0``, ``fp1``, ... (long).
+
+    With ``sets``, of distinct shingles, and with their number ``n`` and a ``digest`` of their set.
+    """
     lean(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for t in row_chunks(batches):
-            fp = fingerprint(*shingles(*text_buffer(t.column("text")), size), words).view(np.int64)
-            yield from pa.table({"row": t.column("row"), **{k: pa.array(np.ascontiguousarray(fp[:, w])) for w, k in enumerate(names(words))}}).to_batches()
+            h, bounds = shingles(*text_buffer(t.column("text")), size)
+            more = {}
+            if sets:
+                held, bounds = distinct_shingles(h, bounds)
+                h = np.concatenate([np.zeros(0, np.uint64), *held])
+                more = {"n": pa.array(np.diff(bounds)), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in held], pa.binary())}
+            fp = fingerprint(h, bounds, words).view(np.int64)
+            yield from pa.table({"row": t.column("row"), **{k: pa.array(np.ascontiguousarray(fp[:, w])) for w, k in enumerate(names(words))}, **more}).to_batches()
 
     schema = T.StructType([rows.schema["row"]])
     for k in names(words):
         schema = schema.add(k, "long")
+    if sets:
+        schema = schema.add("n", "long").add("digest", "binary")
     return rows.mapInArrow(run, schema)
 
 
@@ -133,7 +150,7 @@ def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     return _blocked(met, words, radius)
 
 
-def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int, root: np.ndarray | None = None, n: np.ndarray | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the groups of near fingerprints among rows sorted by ``group``, nearest first; with ``root``, all pairs of different roots."""
     left, right, far = [], [], []
     at = np.arange(len(node))
@@ -144,6 +161,8 @@ def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int,
         if not len(at):
             break
         some = at[apart[at] != apart[at + step]]
+        if n is not None:  # sets of such sizes cannot be that similar
+            some = some[np.minimum(n[some], n[some + step]) >= similarity * np.maximum(n[some], n[some + step])]
         distance = np.bitwise_count(bits[some] ^ bits[some + step]).sum(1, dtype=np.int32)
         hit = distance <= radius
         left.append(some[hit])
@@ -165,23 +184,24 @@ def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int,
 LARGE = 4096
 
 
-def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tuple[int, int, int]], large: int = LARGE) -> DataFrame:
+def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tuple[int, int, int]], large: int = LARGE, similarity: float = 0) -> DataFrame:
     """As ``near_pairs``, for many segments: records travel once, as packed cells, and are compared where they meet.
 
     Segment values with very many records come out as members and are dealt as pairs of blocks.  With a
-    column ``root`` all pairs of different roots come out, not only those that span.
+    column ``root`` all pairs of different roots come out, not only those that span; with a column ``n``,
+    the size of a set, pairs are left out whose sizes exclude that ``similarity``.
     """
-    rooted = "root" in distinct.columns
+    rooted, sized = "root" in distinct.columns, "n" in distinct.columns
     buckets, _ = C.dealt(distinct.sparkSession)
     fp = names(words)
-    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("root", "<i8"), ("table", "u1"), ("fp", "<u8", (words,))])
+    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("root", "<i8"), ("n", "<i8"), ("table", "u1"), ("fp", "<u8", (words,))])
 
     def spread(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
-                node, root = b.column(0).to_numpy(), b.column(1).to_numpy()
-                bits = np.stack([b.column(2 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
+                node, root, n = (b.column(i).to_numpy() for i in range(3))
+                bits = np.stack([b.column(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
                 keys, rows, table = [], [], []
                 for number, (word, shift, size) in enumerate(segments):
                     value = bits[:, word] >> np.uint64(shift) & np.uint64((1 << size) - 1)
@@ -196,7 +216,7 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
                         table.append(np.zeros(len(zero), np.uint8))
                 at = np.concatenate(rows)
                 out = np.empty(len(at), record)
-                out["k"], out["node"], out["root"], out["table"], out["fp"] = np.concatenate(keys), node[at], root[at], np.concatenate(table), bits[at]
+                out["k"], out["node"], out["root"], out["n"], out["table"], out["fp"] = np.concatenate(keys), node[at], root[at], n[at], np.concatenate(table), bits[at]
                 if len(out):
                     yield C.packed((mix(out["k"]) % np.uint64(buckets)).astype(np.int32), out)
 
@@ -209,26 +229,26 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
         use = (n > 1) & (np.bincount(group, a["table"]) > 0)
         crowd = use[group] & (n[group] > large)
         a, group, crowded = a[use[group] & ~crowd], group[use[group] & ~crowd], a[crowd]
-        left, right = _linked(group, a["node"], a["fp"], radius, a["root"] if rooted else None)
+        left, right = _linked(group, a["node"], a["fp"], radius, a["root"] if rooted else None, a["n"] if sized else None, similarity)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.list_(pa.int64()))], ["a", "b", "key", "fp"])
         if len(crowded):
-            flat = pa.array(np.ascontiguousarray(crowded["fp"]).view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["root"]), pa.array(crowded["k"].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
+            flat = pa.array(np.c_[crowded["fp"].view(np.int64), crowded["n"]].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["root"]), pa.array(crowded["k"].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * (words + 1), pa.int32()), flat)], ["a", "b", "key", "fp"])
 
-    met = save(C.gathered(distinct.select("node", F.col("root" if rooted else "node").alias("root"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
+    met = save(C.gathered(distinct.select("node", F.col("root" if rooted else "node").alias("root"), (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
     edges = met.where("key is null").select("a", "b")
     crowds = met.where("key is not null")
     if crowds.isEmpty():
         return edges
     size = crowds.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *([F.col("b").alias("root")] if rooted else []), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
-    return edges.union(_blocked(members, words, radius))
+    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *([F.col("b").alias("root")] if rooted else []), *([F.col("fp")[words].alias("n")] if sized else []), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
+    return edges.union(_blocked(members, words, radius, similarity))
 
 
-def _blocked(met: DataFrame, words: int, radius: int) -> DataFrame:
+def _blocked(met: DataFrame, words: int, radius: int, similarity: float = 0) -> DataFrame:
     """Edges among the members of each segment value, dealt as pairs of ``blocks`` blocks."""
-    fp, rooted = names(words), "root" in met.columns
-    carried = ["node", *(["root"] if rooted else []), *fp]
+    fp, rooted, sized = names(words), "root" in met.columns, "n" in met.columns
+    carried = ["node", *(["root"] if rooted else []), *(["n"] if sized else []), *fp]
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = met.select("seg", "key", *carried, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), *carried)
@@ -242,7 +262,7 @@ def _blocked(met: DataFrame, words: int, radius: int) -> DataFrame:
         order = np.lexsort((node, group))
         group, node = group[order], node[order]
         bits = np.stack([t.column(k).to_numpy()[order].view(np.uint64) for k in fp], axis=1)
-        a, b = _linked(group, node, bits, radius, t.column("root").to_numpy()[order] if rooted else None)
+        a, b = _linked(group, node, bits, radius, t.column("root").to_numpy()[order] if rooted else None, t.column("n").to_numpy()[order] if sized else None, similarity)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return task.repartition(partitions(met.sparkSession), "task").mapInArrow(compare, "a long, b long")
@@ -272,21 +292,21 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
 
     Texts link if their sets of word shingles have at least that similarity (Jaccard).  64 bits cannot
     tell 0.8 from less, so the fingerprint has 256 bits: 0.8 is some 39 differing bits, 56 misses about
-    one in a thousand.  One of eight 16-bit segments is then within a bit for 93 % of pairs at 0.8, and
+    one in a thousand.  It is that of distinct shingles, and only texts of equal sets fold unchecked.  One of eight 16-bit segments is then within a bit for 93 % of pairs at 0.8, and
     over 99 % at 0.9.  The nearest pairs that span each group are checked exactly before they link;
     then all other candidate pairs that the links found so far leave in different groups.
     The row to keep has the longest text, then the least row hash; rows equal in all columns come back once.
     """
     fp = names(LONG_WORDS)
     key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(text_col).cast("string").alias("text"))
-    made = fingerprints(key.select(F.xxhash64("all").alias("uid"), F.length("text").alias("size"), "text"), size, LONG_WORDS)
-    rows = save(made.select(F.col("row.uid").alias("uid"), F.col("row.size").alias("size"), *fp), "fingerprints")
-    nodes = rows.groupBy(*fp).agg(F.min("uid").alias("node"))
+    made = fingerprints(key.select(F.xxhash64("all").alias("uid"), F.length("text").alias("size"), "text"), size, LONG_WORDS, sets=True)
+    rows = save(made.select(F.col("row.uid").alias("uid"), F.col("row.size").alias("size"), *fp, "n", "digest"), "fingerprints")
+    nodes = save(rows.groupBy("digest").agg(F.min("uid").alias("node"), *[F.first(k).alias(k) for k in (*fp, "n")]), "nodes")
     few = max(1, partitions(docs.sparkSession) // 8)  # links are far fewer than texts
     def sets(batches):
         for t in row_chunks(batches):
             h, bounds = shingles(*text_buffer(t.column("text")), size)
-            made = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            made = [x.tobytes() for x in distinct_shingles(h, bounds)[0]]
             yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), pa.array(made, pa.binary())], ["uid", "set"])
 
     def checked(batches):
@@ -306,12 +326,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
         both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
         return save(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), "near-links")
 
-    links = confirmed(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS))
+    links = confirmed(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity))
     rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = components(links.union(confirmed(near_cells(rooted, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS))))
-    grouped = nodes.join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("root"))
+    roots = components(links.union(confirmed(near_cells(rooted, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity))))
+    grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     best = F.max(F.struct("size", (-F.col("uid").cast("decimal(20,0)")).alias("low"))).alias("best")
-    member = save(rows.select("uid", F.coalesce("size", F.lit(0)).alias("size"), *fp).join(grouped, fp).select("uid", "size", "root"), "groups")
+    member = save(rows.select("uid", F.coalesce("size", F.lit(0)).alias("size"), "digest").join(grouped, "digest").select("uid", "size", "root"), "groups")
     kept = member.groupBy("root").agg(best).select("root", (-F.col("best.low")).cast("long").alias("kept"))
     chosen = member.join(kept, "root").groupBy("uid").agg(F.first("root").alias("root"), F.first(F.col("uid") == F.col("kept")).alias("first"))
     return docs.withColumn("_uid", F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))).join(chosen.withColumnRenamed("uid", "_uid"), "_uid").dropDuplicates(["_uid"]).drop("_uid")
