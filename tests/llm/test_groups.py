@@ -140,6 +140,29 @@ def test_repeats_do_not_count(spark):
     assert check_groups(spark, texts) == 16
 
 
+def test_isolated_pairs(spark):
+    """Pairs at 0.8 and somewhat more, of texts of few words, meet without any others to help."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (8, 9, 10, 14, 20, 28):
+        for _ in range(30):
+            w = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            texts += [" ".join(w), " ".join([*w, "more"])]
+    texts += ["one", "one", "One", "", "two words", "two  words"]
+    check_groups(spark, texts)
+
+
+def test_crowded_shingles(spark):
+    """Very many short sets with a common hash are dealt to several tasks."""
+    from tidemill.llm.simhash_mih import short_links
+
+    sets = [np.sort(np.array([1, 2, *range(10 + i // 4 * 10, 17 + i // 4 * 10), 10**7 + i], np.uint64)) for i in range(400)]
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, set binary")
+    want = [i // 4 * 4 for i in range(400)]
+    for large in (50, 4096):
+        assert closure(400, [(r.a, r.b) for r in short_links(rows, 0.8, large).collect()]) == want
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(4)

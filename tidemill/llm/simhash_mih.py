@@ -185,7 +185,10 @@ LARGE = 4096
 
 
 def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tuple[int, int, int]], large: int = LARGE, similarity: float = 0) -> DataFrame:
-    """As ``near_pairs``, for many segments: records travel once, as packed cells, and are compared where they meet.
+    """As ``near_pairs``, for many segments (of an even number of bits, 30 at most): records travel as packed cells and are compared where they meet.
+
+    Segments within a bit agree in one of their halves, so a record goes to one task for each half, and
+    balls are made there.
 
     Segment values with very many records come out as members and are dealt as pairs of blocks.  With a
     column ``root`` all pairs of different roots come out, not only those that span; with a column ``n``,
@@ -194,7 +197,8 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     rooted, sized = "root" in distinct.columns, "n" in distinct.columns
     buckets, _ = C.dealt(distinct.sparkSession)
     fp = names(words)
-    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("root", "<i8"), ("n", "<i8"), ("table", "u1"), ("fp", "<u8", (words,))])
+    record = np.dtype([("route", "<u4"), ("node", "<i8"), ("root", "<i8"), ("n", "<i8"), ("fp", "<u8", (words,))])
+    word_of, shift_of, size_of = (np.array(c) for c in zip(*segments, strict=True))
 
     def spread(batches):
         for whole in batches:
@@ -202,38 +206,43 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
                 b = whole.slice(start, 2048)
                 node, root, n = (b.column(i).to_numpy() for i in range(3))
                 bits = np.stack([b.column(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
-                keys, rows, table = [], [], []
                 for number, (word, shift, size) in enumerate(segments):
                     value = bits[:, word] >> np.uint64(shift) & np.uint64((1 << size) - 1)
-                    base = np.uint64(number << 32)
-                    keys.append(value | base)
-                    rows.append(np.arange(len(node)))
-                    table.append(np.ones(len(node), np.uint8))
-                    for bit in range(size):
-                        zero = np.flatnonzero((value >> np.uint64(bit) & np.uint64(1)) == 0)
-                        keys.append(value[zero] | np.uint64(1 << bit) | base)
-                        rows.append(zero)
-                        table.append(np.zeros(len(zero), np.uint8))
-                at = np.concatenate(rows)
-                out = np.empty(len(at), record)
-                out["k"], out["node"], out["root"], out["n"], out["table"], out["fp"] = np.concatenate(keys), node[at], root[at], n[at], np.concatenate(table), bits[at]
-                if len(out):
-                    yield C.packed((mix(out["k"]) % np.uint64(buckets)).astype(np.int32), out)
+                    for half, part in enumerate((value & np.uint64((1 << size // 2) - 1), value >> np.uint64(size // 2))):
+                        out = np.empty(len(node), record)
+                        out["route"] = part | np.uint64(2 * number + half << 16)
+                        out["node"], out["root"], out["n"], out["fp"] = node, root, n, bits
+                        if len(out):
+                            yield C.packed((mix(out["route"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), out)
 
     def meet(_, column):
         a = C.unpacked(column, record)
-        a = a[np.argsort(a["k"], kind="stable")]
-        new = np.r_[True, a["k"][1:] != a["k"][:-1]] if len(a) else np.zeros(0, bool)
+        number, half = (a["route"] >> 17).astype(np.int64), a["route"] >> 16 & 1
+        value = a["fp"][np.arange(len(a)), word_of[number]] >> shift_of[number].astype(np.uint64) & (np.uint64(1) << size_of[number].astype(np.uint64)) - np.uint64(1)
+        base = (a["route"] >> 16).astype(np.uint64) << np.uint64(32)
+        keys, rows = [value | base], [np.arange(len(a))]
+        for bit in range(int(size_of.max())):  # flips in the half that did not choose the route
+            flip = np.flatnonzero(((bit >= size_of[number] // 2) == (half == 0)) & (bit < size_of[number]) & (value >> np.uint64(bit) & np.uint64(1) == 0))
+            keys.append(value[flip] | np.uint64(1 << bit) | base[flip])
+            rows.append(flip)
+        k, at = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(k, kind="stable")
+        table = order < len(a)
+        k, at = k[order], at[order]
+        del keys, rows, order
+        new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         n = np.bincount(group)
-        use = (n > 1) & (np.bincount(group, a["table"]) > 0)
+        use = (n > 1) & (np.bincount(group, table) > 0)
         crowd = use[group] & (n[group] > large)
-        a, group, crowded = a[use[group] & ~crowd], group[use[group] & ~crowd], a[crowd]
+        crowded, crowd_key = a[at[crowd]], k[crowd]
+        some = use[group] & ~crowd
+        a, group = a[at[some]], group[some]
         left, right = _linked(group, a["node"], a["fp"], radius, a["root"] if rooted else None, a["n"] if sized else None, similarity)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.list_(pa.int64()))], ["a", "b", "key", "fp"])
         if len(crowded):
             flat = pa.array(np.c_[crowded["fp"].view(np.int64), crowded["n"]].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["root"]), pa.array(crowded["k"].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * (words + 1), pa.int32()), flat)], ["a", "b", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["root"]), pa.array(crowd_key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * (words + 1), pa.int32()), flat)], ["a", "b", "key", "fp"])
 
     met = save(C.gathered(distinct.select("node", F.col("root" if rooted else "node").alias("root"), (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
     edges = met.where("key is null").select("a", "b")
@@ -245,13 +254,18 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     return edges.union(_blocked(members, words, radius, similarity))
 
 
+def _tasks(met: DataFrame, carried: list[str]) -> DataFrame:
+    """The members of each segment value, once for each pair of their ``blocks`` blocks, with the ``task`` of that pair."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = met.select("seg", "key", *carried, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), *carried)
+
+
 def _blocked(met: DataFrame, words: int, radius: int, similarity: float = 0) -> DataFrame:
     """Edges among the members of each segment value, dealt as pairs of ``blocks`` blocks."""
     fp, rooted, sized = names(words), "root" in met.columns, "n" in met.columns
     carried = ["node", *(["root"] if rooted else []), *(["n"] if sized else []), *fp]
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = met.select("seg", "key", *carried, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    task = pair.select(F.xxhash64("seg", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), *carried)
+    task = _tasks(met, carried)
 
     def compare(batches):
         held = [b for b in batches if b.num_rows]
@@ -284,7 +298,85 @@ def simhash_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_
 
 #: Words of the long fingerprint, its radius, and segments of 16 bits, two from each word.
 LONG_WORDS, LONG_RADIUS = 4, 56
-LONG_SEGMENTS = [(w, shift, 16) for w in range(LONG_WORDS) for shift in (0, 32)]
+LONG_SEGMENTS = [(w, shift, 16) for w in range(LONG_WORDS) for shift in (0, 16, 32, 48)]
+#: Fingerprints of few shingles tell little: pairs whose smaller set has no more are searched by the shingles themselves.
+SHORT = 24
+
+
+def _similar(group: np.ndarray, node: np.ndarray, n: np.ndarray, sets: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the groups of similar sets (rows of hashes, filled with zeros) among rows sorted by ``group``, all checked."""
+    left, right = [], []
+    at = np.arange(len(node))
+    for step in range(1, len(node)):
+        at = at[at < len(node) - step]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        a, b = at, at + step
+        some = (node[a] != node[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+        for a in np.array_split(a[some], int(some.sum()) // 16384 + 1):
+            b = a + step
+            both = np.sort(np.concatenate([sets[a], sets[b]], axis=1), axis=1)
+            common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(1)
+            hit = common >= similarity * (n[a] + n[b] - common)
+            left.append(node[a[hit]])
+            right.append(node[b[hit]])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right = np.concatenate(left), np.concatenate(right)
+    names, place = np.unique(np.r_[left, right], return_inverse=True)
+    a, b = spanning(len(names), [(place[: len(left)], place[len(left) :])])
+    return names[a], names[b]
+
+
+def short_links(sets: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
+    """Edges (a, b) that span the groups of similar sets; ``sets`` has node and set (sorted 64-bit hashes), of SHORT / similarity at most.
+
+    Of two similar sets the first n - ceil(similarity * n) + 1 hashes have one in common: no pair is missed.
+    """
+    buckets, _ = C.dealt(sets.sparkSession)
+    width = int(SHORT / similarity + 1e-9)
+    record = np.dtype([("k", "<u8"), ("node", "<i8"), ("n", "<i8"), ("set", "<u8", (width,))])
+
+    def spread(batches):
+        for b in batches:
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            n = np.array([len(x) for x in held], np.int64)
+            first = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            at = np.repeat(np.arange(len(held)), first)
+            out = np.zeros(len(at), record)
+            if len(out):
+                filled = np.zeros((len(held), width), np.uint64)
+                for i, x in enumerate(held):
+                    filled[i, : len(x)] = x
+                out["k"] = filled[at, np.arange(len(at)) - np.repeat(np.cumsum(first) - first, first)]
+                out["node"], out["n"], out["set"] = b.column(0).to_numpy()[at], n[at], filled[at]
+                yield C.packed((mix(out["k"]) % np.uint64(buckets)).astype(np.int32), out)
+
+    def meet(_, column):
+        a = C.unpacked(column, record)
+        a = a[np.lexsort((a["n"], a["k"]))]
+        group = np.cumsum(np.r_[True, a["k"][1:] != a["k"][:-1]]) - 1
+        crowd = np.bincount(group)[group] > large
+        crowded, a, group = a[crowd], a[~crowd], group[~crowd]
+        left, right = _similar(group, a["node"], a["n"], a["set"], similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.binary())], ["a", "b", "key", "set"])
+        if len(crowded):
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"]), pa.array(crowded["k"].view(np.int64)), pa.array([x.tobytes() for x in crowded["set"]], pa.binary())], ["a", "b", "key", "set"])
+
+    met = save(C.gathered(sets.select("node", "set").mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, set binary"), "short-met")
+    edges, crowds = met.where("key is null").select("a", "b"), met.where("key is not null")
+    if crowds.isEmpty():
+        return edges
+    blocks = crowds.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = crowds.join(blocks, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), F.col("b").alias("n"), "set", "blocks")
+
+    def compare(t: pa.Table) -> pa.Table:
+        filled = np.frombuffer(b"".join(x.as_py() for x in t.column("set")), np.uint64).reshape(-1, width)
+        a, b = _similar(np.zeros(t.num_rows, np.int64), t.column("node").to_numpy(), t.column("n").to_numpy(), filled, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return edges.union(_tasks(members, ["node", "n", "set"]).groupBy("task").applyInArrow(compare, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -292,8 +384,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
 
     Texts link if their sets of word shingles have at least that similarity (Jaccard).  64 bits cannot
     tell 0.8 from less, so the fingerprint has 256 bits: 0.8 is some 39 differing bits, 56 misses about
-    one in a thousand.  It is that of distinct shingles, and only texts of equal sets fold unchecked.  One of eight 16-bit segments is then within a bit for 93 % of pairs at 0.8, and
-    over 99 % at 0.9.  The nearest pairs that span each group are checked exactly before they link;
+    one in a thousand.  It is that of distinct shingles, and only texts of equal sets fold unchecked.  All sixteen
+    16-bit segments are searched; one is within a bit for some 99 % of pairs at 0.8.  Pairs of which one
+    has SHORT shingles or fewer are found by the shingles themselves, all of them.
+    The nearest pairs that span each group are checked exactly before they link;
     then all other candidate pairs that the links found so far leave in different groups.
     The row to keep has the longest text, then the least row hash; rows equal in all columns come back once.
     """
@@ -318,6 +412,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
                 keep.append(common >= similarity * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def few_shingles(batches):
+        for t in row_chunks(batches):
+            held, _ = distinct_shingles(*shingles(*text_buffer(t.column("text")), size))
+            keep = np.array([0 < len(x) <= int(SHORT / similarity + 1e-9) for x in held], bool)
+            made = pa.array([x.tobytes() for x, k in zip(held, keep, strict=True) if k], pa.binary())
+            yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks().filter(pa.array(keep)), made], ["node", "set"])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         edges = save(pairs.distinct().coalesce(few), "near-edges")
         asked = edges.select(F.col("a").alias("uid")).union(edges.select(F.col("b").alias("uid"))).distinct()
@@ -326,7 +427,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
         both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
         return save(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), "near-links")
 
-    links = confirmed(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity))
+    asked = nodes.where(F.col("n").between(1, int(SHORT / similarity + 1e-9))).select(F.col("node").alias("uid"))
+    short = key.select(F.xxhash64("all").alias("uid"), "text").join(asked, "uid").mapInArrow(few_shingles, "node long, set binary")
+    alone = save(short_links(short, similarity).distinct().coalesce(few), "short-links")
+    links = alone.union(confirmed(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity)))
     rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = components(links.union(confirmed(near_cells(rooted, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity))))
     grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
