@@ -87,7 +87,10 @@ def test_spanning_keeps_connections():
 
 
 def test_similar_groups(spark, edge_docs, no_docs):
-    got = similar_groups(edge_docs).collect()
+    clashing = edge_docs.withColumns({c: F.lit(c) for c in ("first", "root", "_uid", "uid", "twin", "size", "digest", "few")})
+    done = similar_groups(clashing).select("row", F.col("root").alias("group"), F.col("first").alias("keep"))
+    assert done.select("row.*").columns == clashing.columns
+    got = done.select("row.doc_id", F.col("group").alias("root"), F.col("keep").alias("first")).collect()
     kept = [r for r in got if r.first]
     assert len({r.root for r in got}) == len(kept)
     near = {r.root for r in got if r.doc_id is not None and 14 <= r.doc_id <= 17}
@@ -107,7 +110,7 @@ def check_groups(spark, texts):
     sets = [shingle_set(t) for t in texts]
     pairs = [(i, j) for i, x in enumerate(sets) for j in range(i) if len(x & sets[j]) >= 0.8 * len(x | sets[j])]
     want = closure(len(texts), pairs)
-    got = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", "root", "first").collect()
     least = {}
     for r in got:
         least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))

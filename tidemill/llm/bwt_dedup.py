@@ -169,7 +169,7 @@ def _full_depth(bucket, column, groups: int):
     yield C.packed(C.home(out["uid"], groups), out)
 
 
-def _kept(t: pa.Table, records: np.ndarray, min_bytes: int) -> pa.Table:
+def _kept(t: pa.Table, records: np.ndarray, min_bytes: int, decoded: bool) -> pa.Table:
     buf, offs = text_buffer(t.column("text"))
     doc, at = C.located(C.ids(t.column("uid")), records)
     use = records["flag"][at] & 1 > 0
@@ -196,7 +196,7 @@ def _kept(t: pa.Table, records: np.ndarray, min_bytes: int) -> pa.Table:
     listed = pa.StructArray.from_arrays([pa.array(starts - base, pa.int64()), pa.array(stops - base, pa.int64())], ["start", "end"])
     return pa.table({
         "row": t.column("row"),
-        "kept": pa.array(kept, pa.binary()),
+        **({"text": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())} if decoded else {"kept": pa.array(kept, pa.binary())}),
         "spans": pa.ListArray.from_arrays(pa.array(spans, pa.int32()), listed),
         "n_bytes": pa.array(np.diff(offs), pa.int64()),
         "n_removed": pa.array(np.diff(offs) - np.diff(at), pa.int64()),
@@ -205,18 +205,21 @@ def _kept(t: pa.Table, records: np.ndarray, min_bytes: int) -> pa.Table:
     })
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400) -> DataFrame:
-    """Each input row as ``row`` (without its text) with the kept bytes, removed spans, n_bytes, n_removed, n_spans and kept_sha256."""
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, decoded: bool = False) -> DataFrame:
+    """Each input row as ``row`` (without its text) with the ``kept`` bytes, removed spans, n_bytes, n_removed, n_spans and kept_sha256.
+
+    With ``decoded``, ``text`` in place of ``kept``: a character that is cut in part is left out.
+    """
     buckets, groups = C.dealt(C.lean(docs.sparkSession))
     rows = C.with_home(C.addressed(docs, id_col, text_col), groups)
     shards = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _shards(b, min_bytes, buckets), C.CELLS)
     merged = C.save(C.gathered(shards, lambda b, c: _merge(b, c, groups)), "bwt-intervals")
     leaves = C.beside(rows, merged, lambda t, found: _step_back(t, found, min_bytes, buckets), C.CELLS, STARTS)
     starts = C.gathered(leaves, lambda b, c: _full_depth(b, c, groups)).union(merged)
-    schema = T.StructType([rows.schema["row"]]).add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
+    schema = T.StructType([rows.schema["row"]]).add(*(("text", "string") if decoded else ("kept", "binary"))).add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
-    return C.beside(rows, starts, lambda t, found: _kept(t, found, min_bytes), schema, STARTS)
+    return C.beside(rows, starts, lambda t, found: _kept(t, found, min_bytes, decoded), schema, STARTS)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,25 @@ def with_buckets(bucket, column, dtype: np.dtype) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(ids), np.concatenate(parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, dtype))
 
 
+#: Bits of a bitmap of uids: 8 MB whatever the input; a fuller one lets more rows pass, and the joins behind it drop them.
+MARK_BITS = 26
+
+
+def marked(uids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the bit of every uid is set."""
+    word = F.shiftrightunsigned("uid", 6).bitwiseAND(F.lit((1 << MARK_BITS - 6) - 1)).alias("word")
+    got = uids.select(word, F.expr("shiftleft(1L, cast(uid & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # one row a word at most
+    out = np.zeros(1 << MARK_BITS - 6, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def has_mark(marks: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    at = uid.view(np.uint64)
+    word = (at >> np.uint64(6) & np.uint64((1 << MARK_BITS - 6) - 1)).astype(np.int64)
+    return marks.view(np.uint64)[word] >> (at & np.uint64(63)) & np.uint64(1) > 0
+
+
 def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row as struct ``row`` (all columns but the text) beside uid (a hash of id and text), doc_id and text: no names can clash."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]

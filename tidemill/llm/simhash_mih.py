@@ -88,10 +88,11 @@ def distinct_shingles(hashes: np.ndarray, bounds: np.ndarray) -> tuple[list[np.n
     return sets, np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str = "text", sets: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str = "text", sets: int | None = None) -> DataFrame:
     """Each input row as ``row`` (without its text) with ``fp0``, ``fp1``, ... (long).
 
-    With ``sets``, of distinct shingles, and with their number ``n`` and a ``digest`` of their set.
+    With ``sets``, of distinct shingles, and with their number ``n``, a ``digest`` of their set, and the
+    set itself in ``few`` if it has at most so many.
     """
     lean(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -101,18 +102,18 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str =
         for t in row_chunks(batches):
             h, bounds = shingles(*text_buffer(t.column("text")), size)
             more = {}
-            if sets:
+            if sets is not None:
                 held, bounds = distinct_shingles(h, bounds)
                 h = np.concatenate([np.zeros(0, np.uint64), *held])
-                more = {"n": pa.array(np.diff(bounds)), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in held], pa.binary())}
+                more = {"n": pa.array(np.diff(bounds)), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in held], pa.binary()), "few": pa.array([x.tobytes() if 0 < len(x) <= sets else None for x in held], pa.binary())}
             fp = fingerprint(h, bounds, words).view(np.int64)
             yield from pa.table({"row": t.column("row"), **{k: pa.array(np.ascontiguousarray(fp[:, w])) for w, k in enumerate(names(words))}, **more}).to_batches()
 
     schema = T.StructType([rows.schema["row"]])
     for k in names(words):
         schema = schema.add(k, "long")
-    if sets:
-        schema = schema.add("n", "long").add("digest", "binary")
+    if sets is not None:
+        schema = schema.add("n", "long").add("digest", "binary").add("few", "binary")
     return rows.mapInArrow(run, schema)
 
 
@@ -150,17 +151,16 @@ def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     return _blocked(met, words, radius)
 
 
-def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int, root: np.ndarray | None = None, n: np.ndarray | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the groups of near fingerprints among rows sorted by ``group``, nearest first; with ``root``, all pairs of different roots."""
+def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int, n: np.ndarray | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the groups of near fingerprints among rows sorted by ``group``, nearest first."""
     left, right, far = [], [], []
     at = np.arange(len(node))
-    apart = node if root is None else root
     for step in range(1, len(node)):
         at = at[at < len(node) - step]
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        some = at[apart[at] != apart[at + step]]
+        some = at[node[at] != node[at + step]]
         if n is not None:  # sets of such sizes cannot be that similar
             some = some[np.minimum(n[some], n[some + step]) >= similarity * np.maximum(n[some], n[some + step])]
         distance = np.bitwise_count(bits[some] ^ bits[some + step]).sum(1, dtype=np.int32)
@@ -171,10 +171,6 @@ def _linked(group: np.ndarray, node: np.ndarray, bits: np.ndarray, radius: int,
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-    if root is not None:
-        x, y = node[left], node[right]
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-        return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
     all_nodes, place = np.unique(node, return_inverse=True)
     a, b = spanning(len(all_nodes), ((place[left[far == d]], place[right[far == d]]) for d in np.unique(far)))
     return all_nodes[a], all_nodes[b]
@@ -191,27 +187,26 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     balls are made there.
 
     Segment values with very many records come out as members and are dealt as pairs of blocks.  With a
-    column ``root`` all pairs of different roots come out, not only those that span; with a column ``n``,
-    the size of a set, pairs are left out whose sizes exclude that ``similarity``.
+    column ``n``, the size of a set, pairs are left out whose sizes exclude that ``similarity``.
     """
-    rooted, sized = "root" in distinct.columns, "n" in distinct.columns
+    sized = "n" in distinct.columns
     buckets, _ = C.dealt(distinct.sparkSession)
     fp = names(words)
-    record = np.dtype([("route", "<u4"), ("node", "<i8"), ("root", "<i8"), ("n", "<i8"), ("fp", "<u8", (words,))])
+    record = np.dtype([("route", "<u4"), ("n", "<u4"), ("node", "<i8"), ("fp", "<u8", (words,))])
     word_of, shift_of, size_of = (np.array(c) for c in zip(*segments, strict=True))
 
     def spread(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
-                node, root, n = (b.column(i).to_numpy() for i in range(3))
-                bits = np.stack([b.column(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
+                node, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+                bits = np.stack([b.column(2 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
                 for number, (word, shift, size) in enumerate(segments):
                     value = bits[:, word] >> np.uint64(shift) & np.uint64((1 << size) - 1)
                     for half, part in enumerate((value & np.uint64((1 << size // 2) - 1), value >> np.uint64(size // 2))):
                         out = np.empty(len(node), record)
                         out["route"] = part | np.uint64(2 * number + half << 16)
-                        out["node"], out["root"], out["n"], out["fp"] = node, root, n, bits
+                        out["node"], out["n"], out["fp"] = node, np.minimum(n, 0xFFFFFFFF), bits
                         if len(out):
                             yield C.packed((mix(out["route"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), out)
 
@@ -238,19 +233,19 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
         crowded, crowd_key = a[at[crowd]], k[crowd]
         some = use[group] & ~crowd
         a, group = a[at[some]], group[some]
-        left, right = _linked(group, a["node"], a["fp"], radius, a["root"] if rooted else None, a["n"] if sized else None, similarity)
+        left, right = _linked(group, a["node"], a["fp"], radius, a["n"].astype(np.int64) if sized else None, similarity)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.list_(pa.int64()))], ["a", "b", "key", "fp"])
         if len(crowded):
-            flat = pa.array(np.c_[crowded["fp"].view(np.int64), crowded["n"]].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["root"]), pa.array(crowd_key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * (words + 1), pa.int32()), flat)], ["a", "b", "key", "fp"])
+            flat = pa.array(np.ascontiguousarray(crowded["fp"]).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"].astype(np.int64)), pa.array(crowd_key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
 
-    met = save(C.gathered(distinct.select("node", F.col("root" if rooted else "node").alias("root"), (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
+    met = save(C.gathered(distinct.select("node", (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
     edges = met.where("key is null").select("a", "b")
     crowds = met.where("key is not null")
     if crowds.isEmpty():
         return edges
     size = crowds.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *([F.col("b").alias("root")] if rooted else []), *([F.col("fp")[words].alias("n")] if sized else []), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
+    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *([F.col("b").alias("n")] if sized else []), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
     return edges.union(_blocked(members, words, radius, similarity))
 
 
@@ -263,9 +258,8 @@ def _tasks(met: DataFrame, carried: list[str]) -> DataFrame:
 
 def _blocked(met: DataFrame, words: int, radius: int, similarity: float = 0) -> DataFrame:
     """Edges among the members of each segment value, dealt as pairs of ``blocks`` blocks."""
-    fp, rooted, sized = names(words), "root" in met.columns, "n" in met.columns
-    carried = ["node", *(["root"] if rooted else []), *(["n"] if sized else []), *fp]
-    task = _tasks(met, carried)
+    fp, sized = names(words), "n" in met.columns
+    task = _tasks(met, ["node", *(["n"] if sized else []), *fp])
 
     def compare(batches):
         held = [b for b in batches if b.num_rows]
@@ -276,7 +270,7 @@ def _blocked(met: DataFrame, words: int, radius: int, similarity: float = 0) ->
         order = np.lexsort((node, group))
         group, node = group[order], node[order]
         bits = np.stack([t.column(k).to_numpy()[order].view(np.uint64) for k in fp], axis=1)
-        a, b = _linked(group, node, bits, radius, t.column("root").to_numpy()[order] if rooted else None, t.column("n").to_numpy()[order] if sized else None, similarity)
+        a, b = _linked(group, node, bits, radius, t.column("n").to_numpy()[order] if sized else None, similarity)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return task.repartition(partitions(met.sparkSession), "task").mapInArrow(compare, "a long, b long")
@@ -379,66 +373,122 @@ def short_links(sets: DataFrame, similarity: float, large: int = LARGE) -> DataF
     return edges.union(_tasks(members, ["node", "n", "set"]).groupBy("task").applyInArrow(compare, "a long, b long"))
 
 
+def _set_links(t: pa.Table, similarity: float) -> pa.Table:
+    """Edges that span the links between the rows to ask about and the others of one task (columns node, root, ask, set), all pairs of different roots checked."""
+    node, root, ask = t.column("node").to_numpy(), t.column("root").to_numpy(), t.column("ask").to_numpy(zero_copy_only=False)
+    held = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+    size = np.array([len(x) for x in held])
+    asked, data = np.flatnonzero(ask), np.flatnonzero(~ask)
+    left, right = [], []
+    words = np.unique(np.concatenate([held[i] for i in asked])) if len(asked) else np.zeros(0, np.uint64)
+    step = max(1, CELL // max(1, len(words)))
+    for i in range(0, len(asked), step):
+        some = asked[i : i + step]
+        table = np.zeros((len(words) + 1, len(some)), np.uint8)
+        for k, x in enumerate(some):
+            table[np.searchsorted(words, held[x]), k] = 1
+        at = 0
+        while at < len(data):
+            to = at + max(1, int(np.searchsorted(np.cumsum(size[data[at:]]), CELL // len(some))))
+            here = data[at:to]
+            flat = np.concatenate([held[x] for x in here])
+            place = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+            place[words[place] != flat] = len(words)  # a row of zeros
+            common = np.add.reduceat(table[place], np.r_[0, np.cumsum(size[here])[:-1]], axis=0, dtype=np.int32)
+            hit = (common >= similarity * (size[here][:, None] + size[some] - common)) & (root[here][:, None] != root[some])
+            x, y = np.nonzero(hit)
+            left.append(node[here[x]])
+            right.append(node[some[y]])
+            at = to
+    a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right))
+    every, place = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = spanning(len(every), [(place[: len(a)], place[len(a) :])])
+    return pa.table({"a": pa.array(every[a], pa.int64()), "b": pa.array(every[b], pa.int64())})
+
+
+#: Cells of the tables that compare sets at once.
+CELL = 1 << 23
+
+
+def _open_links(edges: DataFrame, links: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links that the spanning edges could not tell: ``edges`` has a, b and whether they are ``near``, ``links`` those that are.
+
+    Candidates form groups by all edges.  Where an edge failed, the members outside the group's largest
+    linked part are asked about against all its members, in blocks, by their whole sets.
+    """
+    groups = save(components(edges.select("a", "b")), "candidate-groups").withColumnRenamed("root", "group")
+    failed = edges.where(~F.col("near")).join(groups.withColumnRenamed("node", "a"), "a").select("group").distinct()
+    linked = groups.join(failed, "group").join(components(links), "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+    member = save(linked, "open-members")
+    parts = member.groupBy("group", "root").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    blocks = largest.select("group", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("asks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("asks")).cast("int")
+    each = member.join(blocks.where("asks > 0"), "group").join(held.withColumnRenamed("uid", "node"), "node")
+    data = each.select("group", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("j"), "node", "root", F.lit(False).alias("ask"), "set")
+    asked = each.where("root <> top").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), "node", "root", F.lit(True).alias("ask"), "set")
+    task = data.union(asked)
+    return task.groupBy("group", "i", "j").applyInArrow(lambda t: _set_links(t, similarity), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """Each input row as ``row`` (with its text) with ``root``: equal for texts of one near-duplicate group, and ``first``: true for the one to keep.
+    """Each input row whole as ``row`` with ``root``: equal for texts of one near-duplicate group, and ``first``: true for the one to keep.
 
     Texts link if their sets of word shingles have at least that similarity (Jaccard).  64 bits cannot
     tell 0.8 from less, so the fingerprint has 256 bits: 0.8 is some 39 differing bits, 56 misses about
     one in a thousand.  It is that of distinct shingles, and only texts of equal sets fold unchecked.  All sixteen
     16-bit segments are searched; one is within a bit for some 99 % of pairs at 0.8.  Pairs of which one
     has SHORT shingles or fewer are found by the shingles themselves, all of them.
-    The nearest pairs that span each group are checked exactly before they link;
-    then all other candidate pairs that the links found so far leave in different groups.
-    The row to keep has the longest text, then the least row hash; rows equal in all columns come back once.
+    The nearest pairs that span each group of candidates are checked exactly before they link; where one
+    of them fails, all pairs of its group that are still apart are checked (``_open_links``).
+
+    Defined results: null and wordless texts have the empty set and are one group; the row to keep has
+    the longest text, then the least row hash; rows equal in all columns come back once; input columns
+    cannot clash, since they travel in ``row``; an empty table gives an empty one.
     """
     fp = names(LONG_WORDS)
-    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(text_col).cast("string").alias("text"))
-    made = fingerprints(key.select(F.xxhash64("all").alias("uid"), F.length("text").alias("size"), "text"), size, LONG_WORDS, sets=True)
-    rows = save(made.select(F.col("row.uid").alias("uid"), F.col("row.size").alias("size"), *fp, "n", "digest"), "fingerprints")
-    nodes = save(rows.groupBy("digest").agg(F.min("uid").alias("node"), *[F.first(k).alias(k) for k in (*fp, "n")]), "nodes")
-    few = max(1, partitions(docs.sparkSession) // 8)  # links are far fewer than texts
-    def sets(batches):
-        for t in row_chunks(batches):
-            h, bounds = shingles(*text_buffer(t.column("text")), size)
-            made = [x.tobytes() for x in distinct_shingles(h, bounds)[0]]
-            yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), pa.array(made, pa.binary())], ["uid", "set"])
+    few = int(SHORT / similarity + 1e-9)
+    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    hashes = [F.xxhash64("row").alias("uid"), F.xxhash64(F.lit(1), "row").alias("twin")]
+    made = fingerprints(key.select(*hashes, F.length("text").alias("size"), "text"), size, LONG_WORDS, sets=few)
+    rows = save(made.select("row.*", *fp, "n", "digest", "few"), "fingerprints")
+    nodes = save(rows.groupBy("digest").agg(F.min("uid").alias("node"), *[F.first(k).alias(k) for k in (*fp, "n", "few")]), "nodes")
 
     def checked(batches):
         for b in batches:
-            keep = []
+            near = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                near.append(common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    def few_shingles(batches):
+    alone = save(short_links(nodes.where("few is not null").select("node", F.col("few").alias("set")), similarity).distinct(), "short-links")
+    edges = save(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity).distinct(), "near-edges")
+    asked = docs.sparkSession.sparkContext.broadcast(C.marked(edges.select(F.explode(F.array("a", "b")).alias("uid"))))  # of fixed size
+
+    def sets(batches):
         for t in row_chunks(batches):
-            held, _ = distinct_shingles(*shingles(*text_buffer(t.column("text")), size))
-            keep = np.array([0 < len(x) <= int(SHORT / similarity + 1e-9) for x in held], bool)
-            made = pa.array([x.tobytes() for x, k in zip(held, keep, strict=True) if k], pa.binary())
-            yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks().filter(pa.array(keep)), made], ["node", "set"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        edges = save(pairs.distinct().coalesce(few), "near-edges")
-        asked = edges.select(F.col("a").alias("uid")).union(edges.select(F.col("b").alias("uid"))).distinct()
-        wanted = key.select(F.xxhash64("all").alias("uid"), "text").join(asked, "uid").mapInArrow(sets, "uid long, set binary")
-        held = save(wanted.groupBy("uid").agg(F.first("set").alias("set")), "shingle-sets")
-        both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-        return save(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), "near-links")
-
-    asked = nodes.where(F.col("n").between(1, int(SHORT / similarity + 1e-9))).select(F.col("node").alias("uid"))
-    short = key.select(F.xxhash64("all").alias("uid"), "text").join(asked, "uid").mapInArrow(few_shingles, "node long, set binary")
-    alone = save(short_links(short, similarity).distinct().coalesce(few), "short-links")
-    links = alone.union(confirmed(near_cells(nodes, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity)))
-    rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = components(links.union(confirmed(near_cells(rooted, LONG_WORDS, LONG_RADIUS, LONG_SEGMENTS, similarity=similarity))))
-    grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+            t = t.filter(pa.array(C.has_mark(asked.value, C.ids(t.column("uid")))))
+            if t.num_rows:
+                found = distinct_shingles(*shingles(*text_buffer(t.column("text")), size))[0]
+                yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), pa.array([x.tobytes() for x in found], pa.binary())], ["uid", "set"])
+
+    wanted = key.select(F.xxhash64("row").alias("uid"), "text").mapInArrow(sets, "uid long, set binary")
+    held = save(wanted.groupBy("uid").agg(F.first("set").alias("set")), "shingle-sets")
+    both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
+    tried = save(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long, near boolean"), "near-tried")
+    links = alone.union(tried.where("near").select("a", "b"))
+    if not tried.where(~F.col("near")).isEmpty():
+        links = links.union(save(_open_links(tried, links, held, similarity), "open-links"))
+    grouped = nodes.join(components(links), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     best = F.max(F.struct("size", (-F.col("uid").cast("decimal(20,0)")).alias("low"))).alias("best")
-    member = save(rows.select("uid", F.coalesce("size", F.lit(0)).alias("size"), "digest").join(grouped, "digest").select("uid", "size", "root"), "groups")
+    member = save(rows.select("uid", "twin", F.coalesce("size", F.lit(0)).alias("size"), "digest").join(grouped, "digest").select("uid", "twin", "size", "root"), "groups")
     kept = member.groupBy("root").agg(best).select("root", (-F.col("best.low")).cast("long").alias("kept"))
-    chosen = member.join(kept, "root").groupBy("uid").agg(F.first("root").alias("root"), F.first(F.col("uid") == F.col("kept")).alias("first"))
-    return docs.withColumn("_uid", F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))).join(chosen.withColumnRenamed("uid", "_uid"), "_uid").dropDuplicates(["_uid"]).drop("_uid")
+    chosen = member.join(kept, "root").groupBy("uid", "twin").agg(F.first("root").alias("root"), F.first(F.col("uid") == F.col("kept")).alias("first"))
+    whole = key.select("row").select(*hashes, "row").join(chosen, ["uid", "twin"])
+    return whole.groupBy("uid", "twin").agg(*[F.first(c).alias(c) for c in ("row", "root", "first")]).drop("uid", "twin")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
