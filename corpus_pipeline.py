@@ -7,7 +7,6 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +42,13 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word shingles agree to 0.8 or more."""
-    return similar_groups(docs, size=5, similarity=0.8).where("first").select(*docs.columns)
+    return similar_groups(docs, size=5, similarity=0.8).where("first").select("row.*")
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur twice or more; a character that is cut in part goes, and so does a document left without words."""
-    done = suffix_dedup(docs, min_bytes=PASSAGE_BYTES).select("row", "kept", "n_removed")
-
-    def decoded(batches):
-        for b in batches:
-            texts = [x.as_py().decode("utf-8", "ignore") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["row", "text", "n_removed"])
-
-    text = done.mapInArrow(decoded, done.select("row", F.lit("").alias("text"), "n_removed").schema)
-    kept = _as_documents(text.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'"), docs)
+    done = suffix_dedup(docs, min_bytes=PASSAGE_BYTES, decoded=True)
+    kept = _as_documents(done.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'"), docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
 
 
