@@ -131,6 +131,21 @@ def test_hub_of_far_copies(spark):
     assert check_groups(spark, texts) < 5
 
 
+def test_open_groups_in_blocks(spark, monkeypatch):
+    """The same where a group is asked about in many blocks, and tables of sets are cut."""
+    from tidemill.llm import simhash_mih
+
+    monkeypatch.setattr(simhash_mih, "BLOCK", 16)
+    monkeypatch.setattr(simhash_mih, "CELL", 3000)
+    rng = np.random.default_rng(12)
+    texts = []
+    for h in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 104)]
+        texts += [edited(words, {52: "h"})] * 2 + [edited(words, {52: "h", int(i): f"x{k}", int(j): f"y{k}"}) for k, (i, j) in enumerate(zip(rng.integers(6, 45, 60), rng.integers(60, 98, 60), strict=True))]
+        texts += [edited(words, {int(x): f"z{h}{k}" for x in rng.choice(104, 5 + k % 3, False)}) for k in range(40)]
+    check_groups(spark, texts)
+
+
 def test_repeats_do_not_count(spark):
     """Equal shingle sets, one with a passage repeated, are one group; a shingle that outweighs all others makes no copies."""
     rng = np.random.default_rng(10)

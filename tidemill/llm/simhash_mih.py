@@ -410,26 +410,32 @@ def _set_links(t: pa.Table, similarity: float) -> pa.Table:
 CELL = 1 << 23
 
 
-def _open_links(edges: DataFrame, links: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Links that the spanning edges could not tell: ``edges`` has a, b and whether they are ``near``, ``links`` those that are.
+def _open_links(failed: DataFrame, roots: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between linked parts that the spanning edges could not tell.
 
-    Candidates form groups by all edges.  Where an edge failed, the members outside the group's largest
-    linked part are asked about against all its members, in blocks, by their whole sets.
+    ``failed`` has the parts (root_a, root_b) at the two ends of the candidate edges that are no links, ``roots``
+    node and root.  Parts that such edges join form a group.  Its members outside the largest part are
+    asked about against all its members, in blocks, by their whole sets.
     """
-    groups = save(components(edges.select("a", "b")), "candidate-groups").withColumnRenamed("root", "group")
-    failed = edges.where(~F.col("near")).join(groups.withColumnRenamed("node", "a"), "a").select("group").distinct()
-    linked = groups.join(failed, "group").join(components(links), "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
-    member = save(linked, "open-members")
+    groups = components(failed).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    member = save(groups.join(roots, "root", "left").select("group", "root", F.coalesce("node", "root").alias("node")), "open-members")
     parts = member.groupBy("group", "root").agg(F.count("*").alias("n"))
     largest = parts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
     blocks = largest.select("group", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("asks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("asks")).cast("int")
-    each = member.join(blocks.where("asks > 0"), "group").join(held.withColumnRenamed("uid", "node"), "node")
+    each = member.join(blocks, "group").join(held.withColumnRenamed("uid", "node"), "node")
     data = each.select("group", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("j"), "node", "root", F.lit(False).alias("ask"), "set")
     asked = each.where("root <> top").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), "node", "root", F.lit(True).alias("ask"), "set")
-    task = data.union(asked)
-    return task.groupBy("group", "i", "j").applyInArrow(lambda t: _set_links(t, similarity), "a long, b long")
+    return data.union(asked).groupBy("group", "i", "j").applyInArrow(lambda t: _set_links(t, similarity), "a long, b long")
+
+
+def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of different roots at the ends of the edges; a node without a root is its own."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -479,10 +485,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
     held = save(wanted.groupBy("uid").agg(F.first("set").alias("set")), "shingle-sets")
     both = edges.join(held.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
     tried = save(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long, near boolean"), "near-tried")
-    links = alone.union(tried.where("near").select("a", "b"))
-    if not tried.where(~F.col("near")).isEmpty():
-        links = links.union(save(_open_links(tried, links, held, similarity), "open-links"))
-    grouped = nodes.join(components(links), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    roots = save(components(alone.union(tried.where("near").select("a", "b"))), "roots")
+    failed = save(_between(tried.where(~F.col("near")).select("a", "b"), roots), "open-edges")
+    grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    if not failed.isEmpty():
+        found = save(_open_links(failed, roots, held, similarity), "open-links")
+        upper = components(_between(found, roots)).select(F.col("node").alias("root"), F.col("root").alias("upper"))
+        grouped = grouped.join(upper, "root", "left").select("digest", F.coalesce("upper", "root").alias("root"))
     best = F.max(F.struct("size", (-F.col("uid").cast("decimal(20,0)")).alias("low"))).alias("best")
     member = save(rows.select("uid", "twin", F.coalesce("size", F.lit(0)).alias("size"), "digest").join(grouped, "digest").select("uid", "twin", "size", "root"), "groups")
     kept = member.groupBy("root").agg(best).select("root", (-F.col("best.low")).cast("long").alias("kept"))
