@@ -10,8 +10,9 @@ which is unique and so splits any hot cell, each partition numbers its rows, and
 (one row per partition) are summed in order.
 
 Defined results: null text counts as empty (size 1, checksum 0); null language or source is a value
-of its own; null ids come first within a cell; repeated rows take slots of their own; other input
-columns travel in ``row``.
+of its own; null ids come first within a cell; a long text counts by its size only; ties and repeated
+rows take slots of their own; an empty table gives an empty one; input columns travel in ``row`` and
+cannot clash.
 """
 
 from __future__ import annotations
@@ -63,15 +64,15 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert(np.stack([a, b, c], axis=1), BITS))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """Each input row as ``row`` (without its text) with size, text_crc32, curve, shard and slot."""
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source"), whole: bool = False) -> DataFrame:
+    """Each input row as ``row`` (without its text, unless ``whole``) with size, text_crc32, curve, shard and slot."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     side = 1 << BITS
     cell = [F.when(F.col(d).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col(d).cast("string")), F.lit(side - 1))).cast("int") for d in dims]
     step = F.least(F.lit(side - 1), F.floor(F.log2(size) * 1.5)).cast("int")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    others = [F.col(f"`{c}`") for c in docs.columns if whole or c != text_col]
     meta = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _curve(*cell, step).alias("curve"), F.monotonically_increasing_id().alias("tie"))
     key = ["curve", "id", "text_crc32", "tie"]
     dealt = save(meta, "shard-meta").repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key)
@@ -95,11 +96,19 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     return ranked.withColumn("shard", shard).select("row", "size", "text_crc32", "curve", "shard", (F.col("rank") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Documents as Parquet, one folder per shard, in slot order, so that row groups have narrow column ranges."""
-    where = placed.select(F.col("row").getField(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    joined = docs.join(where, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-    joined.repartition("_shard").sortWithinPartitions("_shard", "_slot").withColumnRenamed("_shard", "shard").drop("_slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source")) -> str:
+    """Documents as Parquet, one folder per shard, in slot order, so that files have narrow column ranges; returns the name of the folders' column.
+
+    Rows are dealt by ranges of (shard, slot) to as many tasks as the session has partitions, so a shard
+    has many files.  The column is ``shard``, with underscores behind it where the documents have that name.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    placed = hilbert_shards(docs, shards, id_col, text_col, dims, whole=True)
+    dealt = placed.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
