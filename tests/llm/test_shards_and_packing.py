@@ -9,7 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemill.llm.config_packing import best_fit, cuts, knapsack, pack, plan
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import edge_texts
+from tidemill.llm.config_packing import best_fit, cuts, encoder, knapsack, pack, plan
 from tidemill.llm.hilbert_shard import hilbert, hilbert_shards, write_shards
 
 
@@ -34,15 +37,24 @@ def test_shards(spark, edge_docs, no_docs, tmp_path):
     order = [r.curve for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
     assert hilbert_shards(no_docs).count() == 0
-    some = edge_docs.where("doc_id < 12").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source")
-    write_shards(some, hilbert_shards(some), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == some.count()
+    docs = edge_docs.withColumns({c: F.lit(c) for c in ("shard", "slot", "_id", "_shard", "curve")})
+    assert write_shards(docs, str(tmp_path / "out")) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(str, back.select(docs.columns).collect())) == Counter(map(str, docs.collect()))
+
+
+def test_files_have_narrow_ranges(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    write_shards(docs, str(tmp_path / "out"))
+    per_file = spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).agg(F.countDistinct("lang").alias("langs"), F.countDistinct("source").alias("sources")).collect()
+    langs, sources = docs.select("lang").distinct().count(), docs.select("source").distinct().count()
+    assert len(per_file) >= 16
+    assert sum(r.langs for r in per_file) <= 0.5 * langs * len(per_file) and sum(r.sources for r in per_file) <= 0.5 * sources * len(per_file)
 
 
 def test_pieces(spark, edge_docs, no_docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    args = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     special = edge_docs.limit(0).union(edge_docs.where("doc_id = 3").selectExpr("100 doc_id", "'a <|endoftext|> b' text", *edge_docs.columns[2:]))
     docs = edge_docs.union(special)
     want = Counter()
@@ -85,7 +97,27 @@ def test_plan_holds_every_piece_once(histogram):
     total = sum(k * v for k, v in histogram.items())
     assert max(fill.values()) <= 50 and len(fill) == used and sum(fill.values()) == total
     sizes = np.array(sorted(histogram))
-    assert used <= sum(n for _, n in best_fit(sizes, np.array([histogram[s] for s in sizes]), 50)) * 1.1 + 2
+    assert used <= sum(n for _, n in best_fit(sizes, np.array([histogram[s] for s in sizes]), 50))
+
+
+def test_plan_of_few_pieces():
+    assert plan({7: 8, 10: 1, 28: 17, 23: 8, 1: 1, 3: 1, 20: 13}, 50)[1] <= 21
+
+
+def test_plan_is_near_its_bound():
+    """Of many pieces the program leaves next to no room."""
+    rng = np.random.default_rng(5)
+    histogram = Counter(np.minimum(1024, rng.lognormal(5.5, 1.0, 20000).astype(int) + 2).tolist())
+    total = sum(k * v for k, v in histogram.items())
+    assert plan(histogram)[1] <= -(-total // 1024) * 1.002 + 1
+
+
+def test_ids_are_those_of_the_library():
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made = encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>  x<|endoftext", "é漢\u0301 \t\n don't 123,456", "  ", *(r for r in edge_texts() if r)]
+    for text in texts:
+        assert made.encode(text, allowed_special="all") == tok.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)

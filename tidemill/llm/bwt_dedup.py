@@ -210,12 +210,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     With ``decoded``, ``text`` in place of ``kept``: a character that is cut in part is left out.
     """
-    buckets, groups = C.dealt(C.lean(docs.sparkSession))
+    buckets, groups = C.dealt(docs, text_col)
     rows = C.with_home(C.addressed(docs, id_col, text_col), groups)
     shards = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _shards(b, min_bytes, buckets), C.CELLS)
-    merged = C.save(C.gathered(shards, lambda b, c: _merge(b, c, groups)), "bwt-intervals")
+    merged = C.save(C.gathered(shards, lambda b, c: _merge(b, c, groups), buckets=buckets), "bwt-intervals")
     leaves = C.beside(rows, merged, lambda t, found: _step_back(t, found, min_bytes, buckets), C.CELLS, STARTS)
-    starts = C.gathered(leaves, lambda b, c: _full_depth(b, c, groups)).union(merged)
+    starts = C.gathered(leaves, lambda b, c: _full_depth(b, c, groups), buckets=buckets).union(merged)
     schema = T.StructType([rows.schema["row"]]).add(*(("text", "string") if decoded else ("kept", "binary"))).add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)

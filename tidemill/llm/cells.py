@@ -9,9 +9,10 @@ per chunk and no task gets an unbounded group.
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,40 +24,83 @@ from tidemill.llm.textvec import row_chunks
 
 CELLS = "bucket int, cell binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("cell", pa.binary())])
+#: Rows here are whole texts, and both sides of the pipe to Python hold a batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a table of ours is written: small batches, and shuffle files go when the write ends.
+WRITING = {BATCH: "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings, which it gets back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield spark
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def lean(spark: SparkSession) -> SparkSession:
-    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: rows here are whole texts, and both sides hold a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """For queries, which return frames that Spark runs later: batches of 1,000 rows where the session has Spark's default of 10,000.  Operators leave the session as it is."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, WRITING[BATCH])
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only on a local master, where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_tidemill_dir", None)
         if not found:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = spark.sparkContext._tidemill_dir = tempfile.mkdtemp(prefix="tidemill-")
     return found.rstrip("/")
 
 
+_USED: dict[str, SparkSession] = {}
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table, in whatever store it is."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def _discard_all() -> None:
+    for path, spark in _USED.items():
+        try:
+            discard(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone; the folder then stays
+            pass
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, frees shuffle files."""
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Tables of one application share a folder, which goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}"
+    if folder not in _USED:
+        if not _USED:
+            atexit.register(_discard_all)
+        _USED[folder] = spark
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    with settings(spark, WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
 def packed(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
@@ -79,13 +123,24 @@ def cell_bytes(array) -> list[bytes]:
     return [x.as_buffer() for x in array if x.is_valid]
 
 
-def dealt(spark: SparkSession) -> tuple[int, int]:
-    """How many buckets keys are dealt to (one per partition), and how many groups documents form (two per partition)."""
-    return partitions(spark), 2 * partitions(spark)
+#: Bytes of records that a bucket, and of texts that a group of documents, should hold.
+BUCKET_BYTES, GROUP_BYTES = 1 << 24, 1 << 22
+
+
+def buckets_for(spark: SparkSession, total: int) -> int:
+    """How many buckets records of so many bytes are dealt to: one per partition, or more where these would be large."""
+    return max(partitions(spark), -(-int(total) // BUCKET_BYTES))
+
+
+def dealt(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """How many buckets the records of whole texts are dealt to, and how many groups the documents form, by the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = buckets_for(docs.sparkSession, total)
+    return buckets, max(buckets, -(-total // GROUP_BYTES))
 
 
-def gathered(cells: DataFrame, fold, out: str = CELLS) -> DataFrame:
-    """Deal cells by bucket; ``fold(bucket array, cell array)`` gets all cells of a partition and yields Arrow batches."""
+def gathered(cells: DataFrame, fold, out: str = CELLS, buckets: int | None = None) -> DataFrame:
+    """Deal cells by bucket, one partition for each; ``fold(bucket array, cell array)`` gets all cells of a partition and yields Arrow batches."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -93,7 +148,7 @@ def gathered(cells: DataFrame, fold, out: str = CELLS) -> DataFrame:
             table = pa.Table.from_batches(held)
             yield from fold(table.column("bucket"), table.column("cell"))
 
-    return cells.repartitionById(partitions(cells.sparkSession), "bucket").mapInArrow(run, out)
+    return cells.repartitionById(buckets or partitions(cells.sparkSession), "bucket").mapInArrow(run, out)
 
 
 def with_buckets(bucket, column, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:

@@ -175,12 +175,12 @@ def _kept(t: pa.Table, found: np.ndarray, window: int) -> pa.Table:
 
 def cover_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """Each input row as ``row`` (without its text) with kept_text, n_words, n_removed and kept_sha256."""
-    buckets, groups = C.dealt(C.lean(docs.sparkSession))
+    buckets, groups = C.dealt(docs, text_col)
     rows = C.with_home(C.addressed(docs, id_col, text_col), groups)
     anchors = C.texts(docs, id_col, text_col).mapInArrow(lambda b: _anchors(b, window, buckets), C.CELLS)
-    candidates = C.save(C.gathered(anchors, lambda b, c: _repeated(b, c, groups)), "cover-candidates")
+    candidates = C.save(C.gathered(anchors, lambda b, c: _repeated(b, c, groups), buckets=buckets), "cover-candidates")
     windows = C.beside(rows, candidates, lambda t, found: _windows(t, found, window, buckets), C.CELLS, CANDIDATE)
-    marks = C.gathered(windows, lambda b, c: _later(b, c, groups))
+    marks = C.gathered(windows, lambda b, c: _later(b, c, groups), buckets=buckets)
     schema = T.StructType([rows.schema["row"]]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     return C.beside(rows, marks, lambda t, found: _kept(t, found, window), schema, MARK)
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.cells import save
+from tidemill.llm.cells import discard, save
 
 
 def spanning(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = save(small, "edges")
+        older, e = e, save(small, "edges")
+        discard(e.sparkSession, older.saved_at)
         now = e.select(mark.alias("m")).first().m
         if now == before:
             break

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.cells import lean
 
 MARK = "▁"
 #: Entries of each worker's caches; two such generations are held.
@@ -272,7 +271,6 @@ def model(path: str) -> PieceModel:
 
 def piece_codec(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Each input row as ``row`` (without its text) with ``ids`` (array of int, end id last) and their ``decoded`` text."""
-    lean(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
 

@@ -104,7 +104,7 @@ def _added(_, column):
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """(SLOTS, SIZE + 1): unit vectors of all slots over the whole corpus, and each slot's weight."""
-    buckets, _ = C.dealt(docs.sparkSession)
+    buckets = C.partitions(docs.sparkSession)
     made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b: _sums(b, buckets), C.CELLS)
     got = C.gathered(made, _added, "slot int, n long, v array<double>").toArrow()  # at most SLOTS rows
     n, v = np.zeros(SLOTS), np.zeros((SLOTS, SIZE))
@@ -170,7 +170,6 @@ def train(x: np.ndarray, y: np.ndarray, prior: float) -> dict | None:
 
 def quality_net(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", where=None) -> DataFrame:
     """Each input row as ``row`` with its text and ``score``.  ``where`` (on doc_id and y) limits the labels that are learned."""
-    C.lean(docs.sparkSession)
     vectors = word_vectors(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # of fixed size
 

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.cells import lean
 from tidemill.llm.samples import Adam, labelled, platt, shares, sigmoid
 from tidemill.llm.textvec import Rolling, Words, covered, mix, row_chunks, text_buffer, window_starts
 
@@ -148,7 +147,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Each input row as ``row`` (without its text) with the rule counts, base_failed, probability and kept."""
-    lean(docs.sparkSession)
     fitted = fit(docs, labels, text_col, id_col)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))

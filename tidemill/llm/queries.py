@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidemill.llm.bwt_dedup import op1
+from tidemill.llm.cells import lean
 from tidemill.llm.config_packing import op6
 from tidemill.llm.cover_dedup import op8
 from tidemill.llm.hilbert_shard import op4
@@ -14,7 +15,7 @@ from tidemill.llm.quality_rules import op9
 from tidemill.llm.simhash_mih import op5
 from tidemill.llm.toxicity import op7
 
-QUERIES = {
+OPERATORS = {
     "op1_suffix_dedup": op1,
     "op2_piece_codec": op2,
     "op3_pq_neardup": op3,
@@ -25,7 +26,13 @@ QUERIES = {
     "op8_cover_dedup": op8,
     "op9_quality_rules": op9,
     "op10_quality_net": op10,
-    "pipeline": corpus_pipeline.run,
 }
 
+
+def _lean(query):
+    return lambda spark, sf_dir: query(lean(spark), sf_dir)
+
+
+QUERIES = {**{name: _lean(query) for name, query in OPERATORS.items()}, "pipeline": corpus_pipeline.run}
+
 ORACLES: dict[str, str] = {}

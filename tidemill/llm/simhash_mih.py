@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm import cells as C
-from tidemill.llm.cells import lean, partitions, save
+from tidemill.llm.cells import partitions, save
 from tidemill.llm.graph import components, spanning
 from tidemill.llm.textvec import Words, mix, row_chunks, text_buffer
 
@@ -94,7 +94,6 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str =
     With ``sets``, of distinct shingles, and with their number ``n``, a ``digest`` of their set, and the
     set itself in ``few`` if it has at most so many.
     """
-    lean(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
 
@@ -190,9 +189,9 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
     column ``n``, the size of a set, pairs are left out whose sizes exclude that ``similarity``.
     """
     sized = "n" in distinct.columns
-    buckets, _ = C.dealt(distinct.sparkSession)
     fp = names(words)
     record = np.dtype([("route", "<u4"), ("n", "<u4"), ("node", "<i8"), ("fp", "<u8", (words,))])
+    buckets = C.buckets_for(distinct.sparkSession, distinct.count() * 2 * len(segments) * record.itemsize)
     word_of, shift_of, size_of = (np.array(c) for c in zip(*segments, strict=True))
 
     def spread(batches):
@@ -239,7 +238,7 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
             flat = pa.array(np.ascontiguousarray(crowded["fp"]).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"].astype(np.int64)), pa.array(crowd_key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
 
-    met = save(C.gathered(distinct.select("node", (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>"), "mih-met")
+    met = save(C.gathered(distinct.select("node", (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>", buckets), "mih-met")
     edges = met.where("key is null").select("a", "b")
     crowds = met.where("key is not null")
     if crowds.isEmpty():
@@ -328,9 +327,9 @@ def short_links(sets: DataFrame, similarity: float, large: int = LARGE) -> DataF
 
     Of two similar sets the first n - ceil(similarity * n) + 1 hashes have one in common: no pair is missed.
     """
-    buckets, _ = C.dealt(sets.sparkSession)
     width = int(SHORT / similarity + 1e-9)
     record = np.dtype([("k", "<u8"), ("node", "<i8"), ("n", "<i8"), ("set", "<u8", (width,))])
+    buckets = C.buckets_for(sets.sparkSession, sets.count() * (width - int(similarity * width) + 1) * record.itemsize)
 
     def spread(batches):
         for b in batches:
@@ -358,7 +357,7 @@ def short_links(sets: DataFrame, similarity: float, large: int = LARGE) -> DataF
         if len(crowded):
             yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"]), pa.array(crowded["k"].view(np.int64)), pa.array([x.tobytes() for x in crowded["set"]], pa.binary())], ["a", "b", "key", "set"])
 
-    met = save(C.gathered(sets.select("node", "set").mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, set binary"), "short-met")
+    met = save(C.gathered(sets.select("node", "set").mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, set binary", buckets), "short-met")
     edges, crowds = met.where("key is null").select("a", "b"), met.where("key is not null")
     if crowds.isEmpty():
         return edges

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     if n_toxic == 0 or n_toxic == n_all:
         return None
-    buckets, _ = C.dealt(spark)
+    buckets = C.partitions(spark)
     tally = C.gathered(sample.mapInArrow(lambda b: _tally(b, buckets), C.CELLS), _summed, "f int, toxic long, clean long")
     n_clean = n_all - n_toxic
     seen = F.col("toxic") + F.col("clean")
@@ -164,7 +164,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """Each input row as ``row`` with its text, severity (0 to 3), the likeliest grade, and toxic: P(grade >= 1) reaches the threshold."""
-    C.lean(docs.sparkSession)
     fitted = fit(docs, labels, text_col, id_col)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
