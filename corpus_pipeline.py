@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.bwt_dedup import suffix_dedup
-from tidemill.llm.cells import save
+from tidemill.llm.cells import discard, lean, save
 from tidemill.llm.config_packing import pack
 from tidemill.llm.quality_net import quality_net
 from tidemill.llm.simhash_mih import similar_groups
@@ -54,16 +54,20 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place in it."""
-    done = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return done.select(F.col("row.doc_id").alias("doc_id"), "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
+def _lean(stage):
+    return lambda spark, docs, sf_dir: stage(lean(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("quality classifier", reject_poor),
-    ("SimHash near-dedup", drop_near_copies),
-    ("suffix-array dedup", cut_passages),
-    ("best-fit packing", pack_sequences),
+    ("toxicity", _lean(reject_toxic)),
+    ("quality classifier", _lean(reject_poor)),
+    ("SimHash near-dedup", _lean(drop_near_copies)),
+    ("suffix-array dedup", _lean(cut_passages)),
+    ("best-fit packing", _lean(pack_sequences)),
 ]
 
 #: The models, the near-duplicate search and the packing have no SQL form.
@@ -73,8 +77,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each keeps is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = save(docs, f"stage-{number}")
-    return docs
+    *filters, (_, last) = STAGES
+    read = None
+    for number, (_, stage) in enumerate(filters):
+        docs = save(stage(spark, docs, sf_dir), f"stage-{number}")
+        if read:
+            discard(spark, read)
+        read = docs.saved_at
+    return last(spark, docs, sf_dir)
