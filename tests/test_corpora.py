@@ -20,6 +20,8 @@ def test_scenes(spark, family):
         assert view["self"]["age"] <= view["tick"]
         if did["action"] == "move":
             assert did["target"] in view["open_neighbors"]
+        legal = {"move": did.get("target") in view["open_neighbors"], "forage": view["current_food"] > 0, "share": any(a["id"] == did.get("target") and a["distance"] == 1 for a in view["visible_agents"])}
+        assert legal.get(did["action"], True)
         if "boundary" in r.case or r.case in ("food_unreachable", "unrescued_child_wait"):
             assert view["self"]["energy"] == r.target_distance and did == {"action": "rest"} and not r.reachable_before_exhaustion
         if r.case == "sender_useful":
@@ -28,6 +30,48 @@ def test_scenes(spark, family):
             assert not view["visible_food"]
 
 
+def test_every_case_stays_in_the_corpus(spark):
+    """No case is lost as a repeat of another; the rows of a walk are numbered and end with the meal."""
+    families = {"energy": 20, "rescue": 12, "rich": 10, "trajectory": 12, "rich_trajectory": 12}
+    made = P.curriculum(spark, families, 81)
+    n = {(r.family, r.case): r["count"] for r in made.groupBy("family", "case").count().collect()}
+    for family in ("energy", "rescue", "rich"):
+        assert {c: n.get((family, c)) for c in CASES[family]} == dict.fromkeys(CASES[family], families[family])
+    walks = {}
+    for r in made.where("family like '%trajectory'").orderBy("trajectory_step").collect():
+        walks.setdefault((r.family, r.scene_id), []).append(r)
+    assert len([k for k in walks if k[0] == "trajectory"]) == 12 and any(k[0] == "rich_trajectory" for k in walks)
+    for (family, _), rows in walks.items():
+        views = [json.loads(r.observation) for r in rows]
+        assert [r.trajectory_step for r in rows] == list(range(len(rows))) and [json.loads(r.answer)["action"] for r in rows][-1] == "forage"
+        assert all(f"food at [{r.target_x},{r.target_y}]" in v["memory"][0] for r, v in zip(rows, views, strict=True))
+        assert [v["tick"] for v in views] == sorted({v["tick"] for v in views})
+        if family == "rich_trajectory":
+            assert all(v["visible_food"] or v["current_food"] for v in views)
+    _, _, verdict = P.audit(made, {"held": P.curriculum(spark, families, 9100)})
+    assert verdict.first().passed
+
+
+def test_guards(spark):
+    from tidemill.functions.records import zip_strict
+    from tidemill.operators.corpus import all_distinct
+    from tidemill.operators.metrics import throughput
+    from tidemill.sources.records_io import repository_state
+
+    assert Settings().calibrated() == Settings()
+    with pytest.raises(ValueError, match="rest_gain"):
+        Settings(rest_gain=2).calibrated()
+    df = spark.createDataFrame([(1, [1, 2], ["a"]), (1, [3], ["b"])], "k int, a array<int>, b array<string>")
+    with pytest.raises(ValueError, match="repeats 1"):
+        all_distinct(df, ["k"])
+    assert all_distinct(df, ["a"]) is df
+    with pytest.raises(Exception, match="different lengths"):
+        df.select(zip_strict(F.col("a"), F.col("b"))).collect()
+    n, seconds, rate = throughput(df)
+    assert n == 2 and seconds > 0 and rate > 0
+    assert repository_state("/")["git_commit"] is None
+
+
 def test_audit_passes_and_finds_overlap(spark):
     families = {"communication": 6, "survival": 4, "reachability": 6, "energy": 4}
     train, held = P.curriculum(spark, families, 81), P.curriculum(spark, families, 9100)

@@ -143,3 +143,9 @@ def local_rule(current_food: Column, nearest_visible: Column, remembered: Column
         .when((curiosity >= 0.5) & (energy > 7) & can_move, "explore")
         .otherwise("rest")
     )
+
+
+def scripted(start: Column, gains: Column, metabolism: int = 1) -> Column:
+    """State (energy, age, tick) after a script's turns, each with its gain of energy; no turn follows a death."""
+    turn = lambda s, gain: F.struct((s["energy"] + gain - metabolism).alias("energy"), (s["age"] + 1).alias("age"), (s["tick"] + 1).alias("tick"))
+    return F.aggregate(gains, start, lambda s, gain: F.when(s["energy"] > 0, turn(s, gain)).otherwise(s))

@@ -44,3 +44,18 @@ def nearest(cells: Column, x, y) -> Column:
     """Struct (distance, x, y) of the cell nearest to a point; ties by cell."""
     x, y = col(x), col(y)
     return F.array_min(F.transform(cells, lambda c: F.struct((F.abs(c["x"] - x) + F.abs(c["y"] - y)).alias("distance"), c["x"].alias("x"), c["y"].alias("y"))))
+
+
+def next_step(open_cells: Column, gx, gy, occupied: Column, visited: Column) -> Column:
+    """The open cell to take towards a target: least (distance, distance of the best cell after it, visited, cell); null without any."""
+    gx, gy = col(gx), col(gy)
+    away = lambda c: F.abs(c["x"] - gx) + F.abs(c["y"] - gy)
+    is_in = lambda cells, c: F.exists(cells, lambda o: (o["x"] == c["x"]) & (o["y"] == c["y"]))
+
+    def score(c):
+        after = F.array(cell(c["x"] - 1, c["y"]), cell(c["x"] + 1, c["y"]), cell(c["x"], c["y"] - 1), cell(c["x"], c["y"] + 1))
+        after = F.filter(after, lambda a: (a["x"] >= 0) & (a["y"] >= 0) & ~is_in(occupied, a))
+        later = F.coalesce(F.array_min(F.transform(after, away)), F.lit(1_000_000_000))
+        return F.struct(away(c).alias("distance"), later.alias("later"), is_in(visited, c).cast("int").alias("seen"), c["x"].alias("x"), c["y"].alias("y"))
+
+    return F.array_min(F.transform(open_cells, score))

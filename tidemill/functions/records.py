@@ -69,3 +69,12 @@ def peer_visibility(df: DataFrame, agents: Column, food: Column, target: Column,
     fed = F.size(F.filter(agents, lambda a: F.exists(food, lambda c: near(a, c))))
     n = F.size(agents)
     return df.withColumns({"peers_with_target_in_view": sees, "peers_without_target_in_view": n - sees, "peers_with_any_food_in_view": fed, "peers_without_any_food_in_view": n - fed})
+
+
+def zip_strict(*lists: Column) -> Column:
+    """Structs of the elements side by side; an error where lengths differ."""
+    same = F.lit(True)
+    for other in lists[1:]:
+        same = same & (F.size(lists[0]) == F.size(other))
+    zipped = F.arrays_zip(*lists)
+    return F.when(same, zipped).otherwise(F.raise_error(F.lit("lists of different lengths")))

@@ -104,3 +104,18 @@ def contamination(train: DataFrame, held_out: DataFrame, fingerprint: list[str],
     """How many distinct fingerprints of each held-out file are in the training corpus."""
     overlap = held_out.select(name, *fingerprint).distinct().join(train.select(*fingerprint).distinct(), fingerprint, "left_semi")
     return held_out.select(name).distinct().join(overlap.groupBy(name).agg(F.count("*").alias("n")), name, "left").select(name, F.coalesce("n", F.lit(0)).alias("overlap"))
+
+
+def top_up_counts(base: DataFrame, candidates: DataFrame, added: DataFrame, fingerprint: list[str]) -> DataFrame:
+    """One row: records of the base, of the candidates, added, in total, and distinct ones of the base."""
+    b = base.agg(F.count("*").alias("base_records"), F.countDistinct(*fingerprint).alias("unique_base_records"))
+    one = b.crossJoin(candidates.agg(F.count("*").alias("candidate_records"))).crossJoin(added.agg(F.count("*").alias("added_records")))  # one row each
+    return one.withColumn("total_records", F.col("base_records") + F.col("added_records"))
+
+
+def all_distinct(df: DataFrame, fingerprint: list[str]) -> DataFrame:
+    """The corpus as it is; an error where a record repeats."""
+    n, distinct = df.agg(F.count("*"), F.countDistinct(*fingerprint)).first()
+    if n != distinct:
+        raise ValueError(f"base corpus repeats {n - distinct} records")
+    return df

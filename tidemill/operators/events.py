@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def trajectory(df: DataFrame, by: list[str], order: list[str], last: Column, req
     return out.where("_before = 0 and _ends = 1").drop("_before", "_ends")
 
 
+def remembers(memory: Column, told: Column, in_view: Column | None = None) -> Column:
+    """Does a memory hold the text, and, where asked, is anything in view."""
+    held = F.exists(memory, lambda item: F.contains(item, told))
+    return held if in_view is None else held & in_view
+
+
 def latest(df: DataFrame, by: list[str], order: str, condition: Column, value: str) -> DataFrame:
     """The value of each group's last row that meets the condition; folds before the exchange."""
     return df.where(condition).groupBy(*by).agg(F.max(order).alias(order), F.max_by(value, order).alias(value))
@@ -39,8 +47,9 @@ def before_each(df: DataFrame, by: list[str], order: list[str], which: Column, v
     return df.withColumns({f"last_{v}": F.lag(v).over(w) for v in values}).where(which)
 
 
-def ancestry(parents: DataFrame, spark_view: str = "_ancestry") -> DataFrame:
+def ancestry(parents: DataFrame) -> DataFrame:
     """``id``, ``root`` and ``depth`` from (id, parent): parent null for a root.  A recursive query, one step per generation."""
+    spark_view = f"ancestry_{uuid.uuid4().hex}"  # lazy results of one session must not read each other's input
     parents.createOrReplaceTempView(spark_view)
     return parents.sparkSession.sql(f"""
         WITH RECURSIVE line(id, root, depth) AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,11 @@ def class_deltas(ours: DataFrame, base: DataFrame, key: str, value: str) -> Data
     """Difference of a value by class in percentage points, over all classes of either side."""
     joined = ours.select(key, F.col(value).alias("a")).join(base.select(key, F.col(value).alias("b")), key, "full")
     return joined.select(key, F.bround((F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))) * 100, 2).alias("delta_points"))
+
+
+def throughput(df: DataFrame) -> tuple[int, float, float | None]:
+    """Records, the driver's seconds to count them, and records a second (none in no time)."""
+    began = time.monotonic()
+    n = df.count()
+    seconds = time.monotonic() - began
+    return n, seconds, round(n / seconds, 3) if seconds else None

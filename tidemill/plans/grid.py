@@ -157,7 +157,7 @@ def ancestry_depth(spark, tables):
 
 
 @query(
-    "WITH RECURSIVE s AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 24)::INT AS x, (s_suppkey * 5 % 24)::INT AS y, 12 AS gx, 12 AS gy FROM supplier WHERE s_suppkey < 60),"
+    "WITH RECURSIVE s AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 24)::INT AS x, (s_suppkey * 5 % 24)::INT AS y, 12 AS gx, 12 AS gy FROM supplier),"
     " w(id, x, y, steps) AS (SELECT id, x, y, 0 FROM s UNION ALL SELECT w.id, CASE WHEN w.x <> 12 THEN w.x + sign(12 - w.x)::INT ELSE w.x END, CASE WHEN w.x <> 12 THEN w.y ELSE w.y + sign(12 - w.y)::INT END, w.steps + 1 FROM w WHERE w.steps < 10 AND (w.x <> 12 OR w.y <> 12))"
     " SELECT id, max(steps) AS steps, bool_or(x = 12 AND y = 12) AS reached FROM w GROUP BY 1"
 )
@@ -169,7 +169,7 @@ def greedy_path(spark, tables):
         F.struct(F.when(s["x"] != 12, s["x"] + F.signum(12 - s["x"]).cast("int")).otherwise(s["x"]).alias("x"), F.when(s["x"] != 12, s["y"]).otherwise(s["y"] + F.signum(12 - s["y"]).cast("int")).alias("y"), (s["steps"] + 1).alias("steps"))
     )
     end = F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)
-    return tables("supplier").where(k < 60).withColumn("e", end).select(k.alias("id"), F.col("e.steps").alias("steps"), ((F.col("e.x") == 12) & (F.col("e.y") == 12)).alias("reached"))
+    return tables("supplier").withColumn("e", end).select(k.alias("id"), F.col("e.steps").alias("steps"), ((F.col("e.x") == 12) & (F.col("e.y") == 12)).alias("reached"))
 
 
 @query(

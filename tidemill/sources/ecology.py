@@ -62,6 +62,12 @@ class Settings:
         if self.signal_delivery not in ("normal", "blocked", "corrupted"):
             raise ValueError("unknown signal delivery")
 
+    def calibrated(self) -> Settings:
+        """These settings, if a turn costs one energy and a rest gives it back: labels at the energy boundary hold only then."""
+        if (self.move_cost, self.metabolism, self.rest_gain) != (0, 1, 1):
+            raise ValueError("energy scenes need move_cost 0, metabolism 1 and rest_gain 1")
+        return self
+
 
 #: Starting genes, and for each the step of a mutation and its bounds.
 GENES = {"reproduction_threshold": 16, "share_threshold": 12, "curiosity": 0.35, "sociality": 0.25, "fecundity": 0.20}

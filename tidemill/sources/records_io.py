@@ -81,6 +81,21 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
+def repository_state(folder: str = ".") -> dict[str, str | None]:
+    """Commit of a folder's repository and whether it has changes; none outside a repository."""
+    import subprocess
+
+    def git(*args):
+        try:
+            done = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, timeout=30)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    changes = git("status", "--porcelain")
+    return {"git_commit": git("rev-parse", "HEAD"), "git_dirty": None if changes is None else str(bool(changes)).lower()}
+
+
 def manifest(spark: SparkSession, corpus: str, train: int, test: int, prompt: str, **more) -> DataFrame:
     """Lineage of a training run: one row per corpus file with its digest, split sizes, versions and prompt hash."""
     import platform
