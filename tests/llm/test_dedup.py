@@ -93,3 +93,28 @@ def test_leftmost_minimum_depends_on_content_only(data, width):
     for p in range(0, len(whole), 7):
         own = leftmost_minimum(np.frombuffer(data[p : p + n], np.uint8), width)
         assert own[0] == whole[p] - p
+
+
+def test_suffix_dedup_equals_merged_transforms(spark):
+    """op1's operator against repeated intervals from merging the transforms of shards, byte by byte."""
+    import pyarrow as pa
+
+    from tidemill.llm.interleave import repeated, shard
+    from tidemill.llm.textvec import text_buffer
+
+    rng = np.random.default_rng(4)
+    passages = ["".join(rng.choice(list("abcdé "), 90)) for _ in range(4)]
+    texts = ["".join(rng.choice(list("abcdé "), int(rng.integers(0, 200)))) + passages[k % 4] * (k % 3) + "".join(rng.choice(list("ab"), 60)) for k in range(60)] + ["", None, "x" * 300]
+    for depth in (40, 100):
+        parts = [texts[:20], texts[20:45], texts[45:]]
+        buffers = [text_buffer(pa.array(p, pa.string())) for p in parts]
+        found, _ = repeated([shard(b, o, depth) for b, o in buffers], [np.repeat(o[1:], np.diff(o)) - np.arange(len(b)) for b, o in buffers], depth)
+        removed = []
+        for (buf, offs), starts in zip(buffers, found, strict=True):
+            drop = np.zeros(len(buf) + 1, np.int64)
+            np.add.at(drop, starts, 1)
+            np.add.at(drop, starts + depth, -1)
+            gone = np.r_[0, np.cumsum(np.cumsum(drop[:-1]) > 0)]
+            removed += (gone[offs[1:]] - gone[offs[:-1]]).tolist()
+        got = suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_bytes=depth).select("row.doc_id", "n_removed").collect()
+        assert sum(removed) > 0 and {r.doc_id: r.n_removed for r in got} == dict(enumerate(removed))
