@@ -11,7 +11,9 @@ Texts are cut first where no piece can reach across: between a character and a f
 and around characters that no piece holds.  Such units repeat, so each worker keeps a bounded cache.
 
 Defined results: a null text is empty; an empty text has the end id only (if asked for); very long
-texts and units need memory in proportion to their own length only.
+texts and units need memory in proportion to their own length only; among ties the library's own order of
+merges counts; repeated rows are encoded each for itself; an empty table gives an empty one; input columns
+travel in ``row`` and cannot clash.
 """
 
 from __future__ import annotations

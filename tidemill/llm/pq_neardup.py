@@ -19,7 +19,9 @@ from their centroids the bounds exclude little, and comparisons grow with the sq
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing
 and stay alone; vectors of different lengths never link, and each length is searched by itself; a
-null vec_id has component null unless it links to others; other input columns travel in ``row``.
+null vec_id has component null unless it links to others; ties and repeated rows count each for itself
+and link with each other; an empty table gives an empty one; other input columns travel in ``row``
+and cannot clash.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm import cells as C
 from tidemill.llm.cells import save
@@ -111,8 +114,8 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """From distinct valid vectors (node, weight, vector): link counts (node, n) and spanning edges (a, b)."""
+def near_links(classes: DataFrame, threshold: float, kind: str = "<f8") -> tuple[DataFrame, DataFrame]:
+    """From distinct valid vectors (node, weight, vector): link counts (node, n) and spanning edges (a, b).  Components travel as ``kind``, which holds them exactly."""
     spark = classes.sparkSession
     sample = unit(_matrix(classes.orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).select("vector").toArrow().column("vector")))
     n = classes.count()
@@ -145,7 +148,7 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     parts = int(part) + 1
     covers = (first[:, None] <= np.arange(parts)) & (np.arange(parts) < (first + cuts)[:, None])  # lists by parts
     dims = sample.shape[1]
-    record = np.dtype([("part", "<i4"), ("home", "<i4"), ("node", "<i8"), ("weight", "<i8"), ("error", "<f8"), ("x", "<f8", (dims,)), ("codes", "u1", (len(shared.value.parts),))])
+    record = np.dtype([("part", "<i4"), ("home", "<i4"), ("node", "<i8"), ("weight", "<i8"), ("error", "<f8"), ("x", kind, (dims,)), ("codes", "u1", (len(shared.value.parts),))])
 
     def members(batches):
         q = shared.value
@@ -154,7 +157,8 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
             for start in range(0, whole.num_rows, step):
                 b = whole.slice(start, step)
                 made = np.zeros(b.num_rows, record)
-                x = made["x"] = unit(_matrix(b.column(2)))
+                made["x"] = _matrix(b.column(2))
+                x = unit(made["x"])
                 made["node"], made["weight"] = b.column(0).to_numpy(), b.column(1).to_numpy()
                 home, _ = q.home(x)
                 made["home"], (made["codes"], made["error"]) = home, q.encode(x, home)
@@ -169,6 +173,7 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         a = C.unpacked(t.column("cell"), record)
         ask, data = a[a["part"] == i], a[a["part"] == j]
         data = data[np.lexsort((data["node"], data["home"]))]
+        units = unit(data["x"])
         cut = np.flatnonzero(np.r_[True, data["home"][1:] != data["home"][:-1], True]) if len(data) else np.zeros(1, np.int64)
         which = data["home"][cut[:-1]]
         names = np.unique(a["node"])
@@ -176,7 +181,7 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         at_ask, at_data = np.searchsorted(names, ask["node"]), np.searchsorted(names, data["node"])
         left, right = [], []
         for start in range(0, len(ask), BLOCK):
-            x, home = ask["x"][start : start + BLOCK], ask["home"][start : start + BLOCK]
+            x, home = unit(ask["x"][start : start + BLOCK]), ask["home"][start : start + BLOCK]
             near = q_.within(x, home, which, least, threshold)
             for k, (u, v) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                 rows = np.flatnonzero(near[:, k])
@@ -184,7 +189,7 @@ def near_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
                 q, d = rows[q], d + u
                 e, f = at_ask[start:][q], at_data[d]
                 hit = np.flatnonzero(e != f)
-                hit = hit[np.concatenate([np.einsum("ij,ij->i", x[q[h]], data["x"][d[h]]) for h in np.array_split(hit, len(hit) // 65536 + 1)]) >= threshold]
+                hit = hit[np.concatenate([np.einsum("ij,ij->i", x[q[h]], units[d[h]]) for h in np.array_split(hit, len(hit) // 65536 + 1)]) >= threshold]
                 if not len(hit):
                     continue
                 q, d, e, f = q[hit], d[hit], e[hit], f[hit]
@@ -214,7 +219,8 @@ def pq_neardup(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     sizes = classes.groupBy(F.size("vector").alias("k")).count().orderBy("k").collect()  # one row for each length of vectors
     if not sizes:
         return given.select("row", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    found = [near_links(classes.where(F.size("vector") == r.k), threshold) for r in sizes if r["count"] > 1]
+    kind = "<f4" if rows.schema[vector_col].dataType == T.ArrayType(T.FloatType(), rows.schema[vector_col].dataType.containsNull) else "<f8"
+    found = [near_links(classes.where(F.size("vector") == r.k), threshold, kind) for r in sizes if r["count"] > 1]
     counts, edges = classes.select("node", F.lit(0).cast("long").alias("n")).limit(0), classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for c, e in found:
         counts, edges = counts.union(c), edges.union(e)

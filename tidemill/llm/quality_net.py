@@ -11,7 +11,8 @@ on a bounded sample of labelled rows; its temperature is fit on rows left out of
 shares of all labelled rows that may be learned from.
 
 Defined results: a null text is empty and has features zero; without labelled rows of both kinds
-every score is the share of label 1 (a half without labels); input columns travel in ``row``.
+every score is the share of label 1 (a half without labels); a long text counts whole; equal texts, and
+repeated rows, get equal scores; an empty table gives an empty one; input columns travel in ``row`` and cannot clash.
 """
 
 from __future__ import annotations

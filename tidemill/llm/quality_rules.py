@@ -8,7 +8,8 @@ Scoring runs in Arrow batches; a text is kept if no rule fails and its probabili
 threshold.
 
 Defined results: a null text has no words and fails the rules; without labelled rows of both kinds
-the rules alone decide (probability null); input columns travel in the struct ``row``.
+the rules alone decide (probability null); a long text counts whole; equal texts, and repeated rows, get
+equal results; an empty table gives an empty one; input columns travel in the struct ``row`` and cannot clash.
 """
 
 from __future__ import annotations

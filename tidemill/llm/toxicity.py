@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 Grades are ordered: 0 is clean; rows labelled toxic get 1, 2 or 3 by how much marked text they hold (thirds
-of the training rows).  The model shares one weight vector over all thresholds:
+of the training rows), since labels know only 0 and 1.  The model shares one weight vector over all thresholds:
 P(grade >= k) = sigmoid(x w - c_k) with c_1 < c_2 < c_3, and a text's severity is its expected grade,
 the sum of these probabilities.
 
@@ -11,7 +11,8 @@ on the executors, and those far more frequent in toxic rows are kept, at most MA
 model is small.  A feature enters as log(1 + count) over the whole text.
 
 Defined results: a null or empty text has no features; without labelled rows of both kinds nothing is
-rejected and severity is 0; input columns travel in the struct ``row``.
+rejected and severity is 0; a long text counts whole; equal texts, and repeated rows, get equal results;
+an empty table gives an empty one; input columns travel in the struct ``row`` and cannot clash.
 """
 
 from __future__ import annotations
