@@ -2,6 +2,9 @@
 
 Every stage works on all that its predecessor kept, which is written as Parquet in between.  All but
 the last return the columns of documents.
+
+Defined results of every stage: whole texts count, however long; ties are settled by the operators' own
+rules; extra columns of any name come through unchanged; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,29 +34,36 @@ def _as_documents(done: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose likelihood of severity 1 or more stays under a half."""
+    """Documents whose likelihood of severity 1 or more stays under a half.  A null or empty text is clean; repeated rows stay."""
     return _as_documents(toxicity(docs, _labels(spark, sf_dir)).where(~F.col("toxic")), docs)
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network scores at a half or more."""
+    """Documents that the quality network scores at a half or more.  A null text scores as an empty one; repeated rows share a score."""
     return _as_documents(quality_net(docs, _labels(spark, sf_dir)).where("score >= 0.5"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles agree to 0.8 or more."""
+    """One document of each group of texts whose five-word shingles agree to 0.8 or more: the longest, then the least row hash.
+
+    Null and wordless texts are one group; of rows equal in all columns one stays.
+    """
     return similar_groups(docs, size=5, similarity=0.8).where("first").select("row.*")
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur twice or more; a character that is cut in part goes, and so does a document left without words."""
+    """Texts without passages that occur twice or more; a character that is cut in part goes, and so does a document left without words.
+
+    A null text counts as empty and stays, as "", since nothing is cut from it; a repeated row of
+    PASSAGE_BYTES bytes or more repeats wholly and goes.
+    """
     done = suffix_dedup(docs, min_bytes=PASSAGE_BYTES, decoded=True)
     kept = _as_documents(done.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'"), docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and place in it."""
+    """Pieces of token ids with their sequence and place in it.  A null or empty text is one piece with the end id; repeated rows are packed each."""
     done = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return done.select(F.col("row.doc_id").alias("doc_id"), "piece", "start", "length", "ids", "sequence_id", "offset")
 
