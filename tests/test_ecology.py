@@ -90,3 +90,31 @@ def test_experiments(spark, sf):
     assert rescue["normal"].share_rate == rescue["normal"].forage_rate == 1 and rescue["blocked"].forage_rate == rescue["unsafe"].share_rate == 0
     assert rescue["blocked"].wait_rate == rescue["blocked"].survival_rate == 1 and rescue["normal"].boundary_moves == 0
     assert QUERIES["rescue_effects"](spark, sf).first().forage_effect == 1.0
+
+
+def test_rescue_metrics_against_a_recount(spark):
+    """Every count of a rescue run against a plain loop over its events."""
+    import json
+    from collections import Counter
+
+    from tidemill.plans.experiments import rescue_events, rescue_results, rescue_scene
+
+    seeds = range(900, 903)
+    runs = {(r.seed, r.condition): r for r in rescue_results(spark, seeds).collect()}
+    events = {}
+    for e in rescue_events(spark, seeds).orderBy("seed", "condition", "seq").collect():
+        events.setdefault((e.seed, e.condition), []).append((e.tick, e.kind, e.actor_id, json.loads(e.data)))
+    assert events.keys() == runs.keys()
+    for key, rows in events.items():
+        scene, r = rescue_scene(key[0]), runs[key]
+        made = [(a, d) for _, k, a, d in rows if k == "decision" and a in (scene["child_id"], scene["donor_id"])]
+        assert r.model_decisions == len(made) and r.valid_model_decisions == sum(d["valid"] and "policy_error" not in d for _, d in made)
+        for role in ("child", "donor"):
+            assert r[f"{role}_actions"] == Counter(d["action"]["action"] for a, d in made if a == scene[f"{role}_id"])
+        given = [1 for _, k, a, d in rows if k == "share" and a == scene["donor_id"] and d["target"] == scene["child_id"]]
+        assert r.shares == len(given) and r.repeated_shares == max(0, len(given) - 1) and r.unsafe_shares == (len(given) if key[1] == "unsafe" else 0)
+        food = [scene["target_x"], scene["target_y"]]
+        own = [d["observation"]["self"] for a, d in made if a == scene["child_id"]]
+        assert r.child_reached_food == (any(x["position"] == food for x in own) or [r.child_final_x, r.child_final_y] == food)
+        left = [d["observation"]["self"]["energy"] for a, d in made if a == scene["donor_id"]]
+        assert r.least_donor_energy == min([r.donor_final_energy, *left])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.actions import parse_strict
+from tidemill.functions.actions import KINDS, parse_strict
 from tidemill.functions.rates import rate
 
 WORLD = ["seed", "condition"]
@@ -116,16 +116,32 @@ def rescue_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
     energy = get("observation.self.energy", "int")
     distance = F.abs(get("observation.self.position[0]", "int") - F.col("target_x")) + F.abs(get("observation.self.position[1]", "int") - F.col("target_y"))
     did = get("action.action")
+    own, failed, valid = child | donor, get("policy_error").isNotNull(), get("valid", "boolean")
+    counted = lambda who: F.map_filter(F.create_map(*[x for k in sorted(KINDS) for x in (F.lit(k), F.count_if(who & (did == k)))]), lambda _, n: n > 0)
+    withheld = donor & (did == "rest") & (F.col("said") == "share")
+    s = s.withColumns({"strict": parse_strict(F.when(own, get("raw_output")))["action"].isNotNull(), "said": F.get_json_object(get("raw_output"), "$.action")})
     runs = s.groupBy(*WORLD).agg(
+        F.count_if(own).alias("model_decisions"), F.count_if(own & valid & ~failed).alias("valid_model_decisions"), F.count_if("strict").alias("strict_model_outputs"), F.count_if(own & failed).alias("model_policy_errors"),
+        counted(child).alias("child_actions"), counted(donor).alias("donor_actions"), F.count_if(withheld).alias("blocked_share_attempts"), F.coalesce(F.bool_or(child & (distance == 0)), F.lit(False)).alias("seen_at_food"), F.max("target_x").alias("target_x"), F.max("target_y").alias("target_y"),
         F.count_if(gave).alias("shares"), F.count_if((kind == "forage") & (actor == F.col("child_id"))).alias("child_forages"), F.count_if(child & (did == "move") & (energy <= distance)).alias("boundary_moves"), F.count_if(child & (did == "rest") & (energy == 1)).alias("energy_one_waits"),
         F.min(F.when(gave, tick)).alias("first_share_tick"), F.min(F.when(donor, energy)).alias("least_observed_donor_energy"), F.from_json(F.max(F.when(kind == "end", get("organisms"))), _BEINGS).alias("o"), F.max("donor_id").alias("donor_id"), F.max("child_id").alias("child_id"), (~F.coalesce(F.bool_or((kind == "death") & (actor == F.col("child_id"))), F.lit(False))).alias("child_survived"),
     )
     runs = with_final(with_final(runs, "donor", F.col("o"), F.col("donor_id")), "child", F.col("o"), F.col("child_id"))
-    return runs.withColumn("least_donor_energy", F.least("least_observed_donor_energy", "donor_final_energy")).drop("o", "donor_id", "child_id")
+    at_food = (F.col("child_final_x") == F.col("target_x")) & (F.col("child_final_y") == F.col("target_y"))
+    more = {
+        "least_donor_energy": F.least("least_observed_donor_energy", "donor_final_energy"), "repeated_shares": F.greatest(F.col("shares") - 1, F.lit(0)),
+        "unsafe_shares": F.when(F.col("condition") == "unsafe", F.col("shares")).otherwise(0), "child_reached_food": F.col("seen_at_food") | F.coalesce(at_food, F.lit(False)),
+    }
+    return runs.withColumns(more).drop("o", "donor_id", "child_id", "seen_at_food", "target_x", "target_y")
 
 
 def rescue_conditions(runs: DataFrame) -> DataFrame:
+    """By condition: ratios of sums for decisions, shares of runs for outcomes, totals, and means to three places."""
+    per_decision = lambda c: rate(F.sum(c), F.sum("model_decisions"))
+    mean = lambda c: F.coalesce(F.bround(F.avg(c), 3), F.lit(0.0))
     return runs.groupBy("condition").agg(
+        F.sum("model_decisions").alias("model_decisions"), per_decision("valid_model_decisions").alias("valid_rate"), per_decision("strict_model_outputs").alias("strict_rate"), per_decision("model_policy_errors").alias("policy_error_rate"),
+        F.sum("repeated_shares").alias("repeated_shares"), F.sum("unsafe_shares").alias("unsafe_shares"), mean("least_donor_energy").alias("mean_least_donor_energy"), mean("donor_final_energy").alias("mean_donor_final_energy"),
         F.count("*").alias("runs"), rate(F.count_if(F.col("shares") > 0), F.count("*")).alias("share_rate"), rate(F.count_if(F.col("child_forages") > 0), F.count("*")).alias("forage_rate"), rate(F.count_if("child_survived"), F.count("*")).alias("survival_rate"),
         rate(F.count_if(F.col("energy_one_waits") > 0), F.count("*")).alias("wait_rate"), F.sum("boundary_moves").alias("boundary_moves"),
     )
