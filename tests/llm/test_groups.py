@@ -131,6 +131,22 @@ def test_hub_of_far_copies(spark):
     assert check_groups(spark, texts) < 5
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_recall_of_isolated_long_pairs(spark, n):
+    """Pairs at 0.8 to 0.85 of longer texts, with no other to help: at least 97 of 100 are found, and nothing else."""
+    rng = np.random.default_rng(n)
+    texts = []
+    while len(texts) < 240:
+        w = [f"w{x}" for x in rng.integers(0, 10**7, n)]
+        v = " ".join(edited(w, {int(i): "x" for i in rng.choice(n, max(1, n // 50), False)}).split())
+        a, b = shingle_set(" ".join(w)), shingle_set(v)
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            texts += [" ".join(w), v]
+    root = {r.doc_id: r.root for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", "root").collect()}
+    assert np.mean([root[i] == root[i + 1] for i in range(0, 240, 2)]) >= 0.97
+    assert len(set(root.values())) >= 120
+
+
 def test_open_groups_in_blocks(spark, monkeypatch):
     """The same where a group is asked about in many blocks, and tables of sets are cut."""
     from tidemill.llm import simhash_mih
