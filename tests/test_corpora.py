@@ -110,3 +110,17 @@ def test_evaluation(spark):
     roll = loose["rollup"].first()
     assert roll.n_strict == 0 and 0 < roll.n_parsed < roll.records
     assert loose["macro"].first().macro_accuracy == pytest.approx(loose["recall"].agg(F.avg("recall")).first()[0], abs=1e-4)
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    """A file over the limit is streamed, with the same digest."""
+    import hashlib
+
+    from tidemill.sources.records_io import file_digests
+
+    texts = {f"f{i}.bin": bytes(range(256)) * (i + 1) for i in range(4)}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    want = {name: hashlib.sha256(data).hexdigest().upper() for name, data in texts.items()}
+    for whole in (1 << 20, 600, 1):
+        assert {r.path.split("/")[-1]: r.sha256 for r in file_digests(spark, str(tmp_path), whole).collect()} == want

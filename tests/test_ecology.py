@@ -33,7 +33,7 @@ def test_forage_and_reproduce_energy():
     assert w.forage(b, {}) == (True, "gained 4 energy") and b.energy == 9 and not w.food
     b.energy = 20
     assert w.reproduce(b, {"target": [3, 4]})[0] and b.energy == 12
-    child = w.beings["organism-00001"]
+    child = w.beings["organism-00002"]
     assert (child.parent, child.generation, child.lineage) == (b.id, 1, "a")
 
 
@@ -44,7 +44,7 @@ def test_perception_is_local():
     w.settle((5, 5), "c")
     w.food.update({(1, 1): 1, (6, 6): 1})
     view = w.view(b)
-    assert [a["id"] for a in view["visible_agents"]] == ["organism-00001"]
+    assert [a["id"] for a in view["visible_agents"]] == ["organism-00002"]
     assert view["visible_food"] == [{"position": [1, 1], "amount": 1}]
     assert view["open_neighbors"] == [[1, 0], [0, 1]]
 
@@ -118,3 +118,33 @@ def test_rescue_metrics_against_a_recount(spark):
         assert r.child_reached_food == (any(x["position"] == food for x in own) or [r.child_final_x, r.child_final_y] == food)
         left = [d["observation"]["self"]["energy"] for a, d in made if a == scene["donor_id"]]
         assert r.least_donor_energy == min([r.donor_final_energy, *left])
+
+
+def test_policies_compared(spark):
+    """The comparison against a plain loop over the worlds, random choice included; ids count from 1."""
+    import json
+
+    from tidemill.sources.ecology import Ecology, Uniform
+
+    rows = {r.condition: r for r in QUERIES["policy_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == {"heuristic", "demonstration", "random"}
+    settings = Settings(initial_food=55, food_regrowth=3, max_food=80, founders=4, max_population=12)
+    decided = living = 0
+    for seed in range(7, 11):
+        world = Ecology(settings, seed)
+        assert sorted(world.beings) == [f"organism-{i:05d}" for i in range(1, 5)] and {b.lineage for b in world.beings.values()} == {f"lineage-{i:02d}" for i in range(1, 5)}
+        world.run(Uniform(seed), 40)
+        log = [(kind, json.loads(data)) for _, _, kind, _, data in world.rows()]
+        decided += sum(k == "decision" for k, _ in log)
+        living += sum(b.alive for b in world.beings.values())
+        assert all(list(d) == sorted(d) for _, d in log)
+    assert (rows["random"].decisions, rows["random"].living) == (decided, living)
+
+
+def test_names_tell_no_role():
+    from tidemill.plans.experiments import communication_scene, rescue_scene
+
+    scenes = [communication_scene(s) for s in range(100, 140)]
+    first = [s["sender_id"] < s["recipient_id"] for s in scenes]
+    assert 8 < sum(first) < 32 and len({s["sender_id"] for s in scenes}) == 40
+    assert len({tuple(sorted(("child_id", "donor_id", "bystander_id"), key=rescue_scene(s).get)) for s in range(900, 960)}) == 6

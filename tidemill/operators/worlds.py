@@ -61,7 +61,7 @@ def communication_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
     Decisions of bystanders, and the sender's after the world's first tick, are forced and not the model's.
     """
     first = events.groupBy(*WORLD).agg(F.min("tick").alias("first_tick"))
-    s = events.join(F.broadcast(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y")), "seed").join(first, WORLD)
+    s = events.join(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y"), "seed").join(first, WORLD)
     kind, actor, tick = F.col("kind"), F.col("actor_id"), F.col("tick")
     by_sender, by_recipient = actor == F.col("sender_id"), actor == F.col("recipient_id")
     decision, sent = kind == "decision", (kind == "signal") & by_sender
@@ -80,7 +80,7 @@ def communication_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(at_target), F.lit(False)).alias("seen_at_target"), F.min(F.when(at_target, tick)).alias("first_target_tick"), F.count_if(ate).alias("recipient_forages"), F.min(F.when(ate, tick)).alias("first_forage_tick"),
         F.coalesce(F.sum(F.when(kind == "signal", get("cost", "int"))), F.lit(0)).alias("signal_cost"), F.from_json(F.max(F.when(kind == "end", get("organisms"))), _BEINGS).alias("o"),
     )
-    runs = runs.join(F.broadcast(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y")), "seed")
+    runs = runs.join(scenes.select("seed", "sender_id", "recipient_id", "target_x", "target_y"), "seed")
     runs = with_final(with_final(runs, "sender", F.col("o"), F.col("sender_id")), "recipient", F.col("o"), F.col("recipient_id"))
     distance = F.abs(F.col("recipient_final_x") - F.col("target_x")) + F.abs(F.col("recipient_final_y") - F.col("target_y"))
     return runs.withColumns({"final_distance": distance, "final_energy": F.col("recipient_final_energy"), "target_reached": F.col("seen_at_target") | (distance == 0), "foraged": F.col("recipient_forages") > 0}).drop("o", "seen_at_target")
@@ -88,7 +88,7 @@ def communication_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
 
 def role_actions(events: DataFrame, roles: DataFrame) -> DataFrame:
     """How often each role (seed, actor_id, role) took each action."""
-    return decisions(events).join(F.broadcast(roles), ["seed", "actor_id"]).groupBy(*WORLD, "role", "action").agg(F.count("*").alias("n"))
+    return decisions(events).join(roles, ["seed", "actor_id"]).groupBy(*WORLD, "role", "action").agg(F.count("*").alias("n"))
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def communication_conditions(runs: DataFrame) -> DataFrame:
 
 def rescue_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
     """One row per seed and condition.  ``scenes``: seed, donor_id, child_id, target_x, target_y."""
-    s = events.join(F.broadcast(scenes.select("seed", "donor_id", "child_id", "target_x", "target_y")), "seed")
+    s = events.join(scenes.select("seed", "donor_id", "child_id", "target_x", "target_y"), "seed")
     kind, actor, tick = F.col("kind"), F.col("actor_id"), F.col("tick")
     child, donor = (kind == "decision") & (actor == F.col("child_id")), (kind == "decision") & (actor == F.col("donor_id"))
     gave = (kind == "share") & (actor == F.col("donor_id")) & (get("target") == F.col("child_id"))

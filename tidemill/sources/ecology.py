@@ -105,12 +105,12 @@ class Ecology:
         self.food: dict[tuple[int, int], int] = {}
         self.taken: dict[tuple[int, int], str] = {}
         self.log: list[tuple[int, str, str | None, dict]] = []
-        self.tick = self.made = 0
+        self.tick, self.made = 0, 1  # beings and lineages are counted from 1
         if not empty:
             cells = [(x, y) for x in range(settings.width) for y in range(settings.height)]
             self.rng.shuffle(cells)
             for i in range(settings.founders):
-                self.settle(cells[i], f"lineage-{i:02d}")
+                self.settle(cells[i], f"lineage-{i + 1:02d}")
             self.grow(settings.initial_food)
 
     def settle(self, at, lineage: str, **given) -> Being:
@@ -271,7 +271,7 @@ class Ecology:
         """(seq, tick, kind, actor, data as JSON), the end row last."""
         end = {"ticks": self.tick, "food": sum(self.food.values()), "organisms": [{"id": b.id, "lineage": b.lineage, "energy": b.energy, "alive": b.alive, "age": b.age, "generation": b.generation, "position": list(b.at)} for b in self.beings.values()]}
         for seq, (tick, kind, actor, data) in enumerate([*self.log, (self.tick, "end", None, end)]):
-            yield seq, tick, kind, actor, json.dumps(data, ensure_ascii=False)
+            yield seq, tick, kind, actor, json.dumps(data, ensure_ascii=False, sort_keys=True)
 
 
 def corrupted(message: str, width: int, height: int) -> str:

@@ -76,9 +76,23 @@ def write_events(events: DataFrame, path: str) -> None:
     events.repartition("seed", "condition").sortWithinPartitions("seed", "condition", "seq").write.mode("overwrite").partitionBy("seed", "condition").parquet(path)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Upper-case SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.upper(F.sha2("content", 256)).alias("sha256"))
+#: Larger files are not read as one cell.
+WHOLE_FILE = 1 << 28
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """Upper-case SHA-256 of each file: files of up to ``whole`` bytes by the executors, larger ones streamed by the driver's JVM, from any store."""
+    files = spark.read.format("binaryFile").load(path)
+    digests = files.where(F.col("length") <= whole).select("path", "length", F.upper(F.sha2("content", 256)).alias("sha256"))
+    large = []
+    for r in files.where(F.col("length") > whole).select("path", "length").collect():  # names and sizes of the large files
+        at = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+        try:
+            large.append((r.path, r.length, spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream).upper()))
+        finally:
+            stream.close()
+    return digests.union(spark.createDataFrame(large, "path string, length long, sha256 string")) if large else digests
 
 
 def repository_state(folder: str = ".") -> dict[str, str | None]:
