@@ -42,6 +42,22 @@ def test_rule_counts(spark, edge_docs, no_docs, edge_labels, no_labels):
     assert quality_rules(no_docs, edge_labels).count() == 0
 
 
+def test_lines_made_to_collide_stay_apart(spark, no_labels):
+    """Long lines of two letters in an order that polynomial hashes modulo 2**64 cannot tell from its mirror image."""
+    import pyarrow as pa
+
+    from tidemill.llm.quality_rules import WORD as HASH
+    from tidemill.llm.textvec import text_buffer
+
+    line = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 12))
+    other = line.translate({97: 98, 98: 97})
+    buf, offs = text_buffer(pa.array([line + other]))
+    assert len(set(HASH.ranges(HASH.of_bytes(buf), np.array([0, 4096]), np.array([4096, 8192])).tolist())) == 1
+    texts = [f"{line}\n{other}", f"{line}\n{other}\n{line}\nx", f"{line}\n{line}"]
+    got = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), no_labels).collect()
+    assert {r.row.doc_id: r.n_dup_lines for r in got} == {0: 0, 1: 1, 2: 1}
+
+
 def test_quality_rules_tell_quality(spark):
     got = QUERIES["op9_quality_rules"](spark, SF).where("not base_failed")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -37,14 +37,27 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _seen_before(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Within each text: is an equal key earlier, and is one anywhere else."""
+def _has_twin(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Within each text: is an equal key anywhere else."""
     order = np.lexsort((key, doc))
     same = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])][: len(key)]
-    earlier, twin = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    earlier[order] = same
+    twin = np.zeros(len(key), bool)
     twin[order] = same | np.r_[same[1:], False][: len(key)]
-    return earlier, twin
+    return twin
+
+
+def repeated_lines(buf: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, texts: int) -> np.ndarray:
+    """For each text its lines that equal an earlier one.  Lines of equal hash are compared; a text in which some differ is counted by the lines themselves."""
+    order = np.lexsort((start, key, doc))
+    same = np.flatnonzero((doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]))
+    before, after = order[same], order[same + 1]
+    out = np.bincount(doc[after], minlength=texts)
+    view = memoryview(np.ascontiguousarray(buf))
+    span = lambda i: view[start[i] : end[i]]
+    for d in {int(doc[j]) for i, j in zip(before.tolist(), after.tolist(), strict=True) if span(i) != span(j)}:
+        held = [bytes(span(i)) for i in np.flatnonzero(doc == d)]
+        out[d] = len(held) - len(set(held))
+    return out
 
 
 def counts(buf: np.ndarray, offs: np.ndarray, words: Words) -> dict[str, np.ndarray]:
@@ -61,11 +74,10 @@ def counts(buf: np.ndarray, offs: np.ndarray, words: Words) -> dict[str, np.ndar
     line_doc = np.repeat(np.arange(len(offs) - 1), _per_text(buf == 0x0A, offs) + 1)
     n_before = np.searchsorted(words.start, starts)
     use = np.searchsorted(words.start, ends) > n_before
-    again, _ = _seen_before(line_doc[use], WORD.ranges(prefix, starts[use], ends[use]))
-    lines = np.bincount(line_doc[use][again], minlength=len(offs) - 1)
+    lines = repeated_lines(buf, line_doc[use], starts[use], ends[use], WORD.ranges(prefix, starts[use], ends[use]), len(offs) - 1)
     at = window_starts(words.bounds, 8)
     seq = SEQ.prefix(word)
-    _, twin = _seen_before(words.doc()[at], SEQ.ranges(seq, at, at + 8))
+    twin = _has_twin(words.doc()[at], SEQ.ranges(seq, at, at + 8))
     return {
         "n_words": words.counts.astype(np.int64),
         "word_chars": _per_text(in_words, words.bounds),
