@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemill.plans import curation, dialogue, experiments, grid, logs, pairing, scoring, walks  # noqa: F401
+from tidemill.plans import curation, dialogue, experiments, grid, logs, pairing, reports, scoring, walks  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
