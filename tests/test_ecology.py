@@ -85,7 +85,7 @@ def test_experiments(spark, sf):
     assert comm["blocked"].informed_rate == 0 and comm["normal"].informed_rate == 1
     assert comm["normal"].mean_final_distance < comm["corrupted"].mean_final_distance and comm["costly"].signal_cost == 12
     effect = QUERIES["communication_effects"](spark, sf).first()
-    assert effect.pairs == 12 and effect.forage_effect > 0.9
+    assert effect.pairs == 12 and effect.forage_effect == 1.0
     rescue = {r.condition: r for r in QUERIES["rescue_experiment"](spark, sf).collect()}
     assert rescue["normal"].share_rate == rescue["normal"].forage_rate == 1 and rescue["blocked"].forage_rate == rescue["unsafe"].share_rate == 0
     assert rescue["blocked"].wait_rate == rescue["blocked"].survival_rate == 1 and rescue["normal"].boundary_moves == 0
@@ -148,3 +148,33 @@ def test_names_tell_no_role():
     first = [s["sender_id"] < s["recipient_id"] for s in scenes]
     assert 8 < sum(first) < 32 and len({s["sender_id"] for s in scenes}) == 40
     assert len({tuple(sorted(("child_id", "donor_id", "bystander_id"), key=rescue_scene(s).get)) for s in range(900, 960)}) == 6
+
+
+def test_profiles_differ_in_cues_only():
+    from tidemill.plans.experiments import PROFILES, QUIET, communication_scene, communication_world
+
+    def views(seed, profile):
+        world, scene = communication_world(QUIET, seed, "normal", profile), communication_scene(seed, profile)
+        return [world.view(world.beings[scene[f"{role}_id"]]) for role in ("sender", "recipient")]
+
+    for seed in range(100, 130):
+        (matched, _), (clean, _) = views(seed, "matched"), views(seed, "clean")
+        assert matched["tick"] > 0 and matched["memory"] and clean["tick"] == 0 and not clean["memory"]
+        assert matched["self"]["position"] == clean["self"]["position"] and matched["visible_food"] == clean["visible_food"]
+        assert matched["self"]["id"].startswith("organism-s") and clean["self"]["id"].startswith("organism-000")
+        for profile, seen in (("v4", (1, 1)), ("v41", (3, 2))):
+            sender, recipient = views(seed, profile)
+            assert (len(sender["visible_agents"]), len(sender["visible_food"])) == seen and not recipient["visible_food"]
+            assert sender["tick"] == PROFILES[profile].first_tick(seed) >= sender["self"]["age"]
+    drawn = [communication_scene(s) for s in range(200, 212)]
+    assert len({(*s["standing"].values(), s["target_x"], s["target_y"]) for s in drawn}) > 8
+    assert drawn == [communication_scene(s) for s in range(200, 212)]
+
+
+def test_channel_effect_in_every_profile(spark, sf):
+    rows = {(r.profile, r.condition): r for r in QUERIES["communication_profiles"](spark, sf).collect()}
+    assert len(rows) == 16
+    for profile in ("matched", "clean", "v4", "v41"):
+        normal, blocked = rows[profile, "normal"], rows[profile, "blocked"]
+        assert normal.signal_rate == normal.forage_rate == normal.target_rate == 1 and blocked.forage_rate == blocked.informed_rate == 0
+        assert rows[profile, "costly"].signal_cost == 8 and normal.valid_rate == 1

@@ -5,7 +5,8 @@
     python -m tidemill.cli stratify OUT --base BASE --per-action 100 --seed 5
     python -m tidemill.cli scenes OUT --family communication --scenes 100 --seed 31 [--base BASE]
     python -m tidemill.cli audit OUT --base BASE --held-out HELD [HELD ...]
-    python -m tidemill.cli communication OUT | rescue OUT  [--seeds 200-211]
+    python -m tidemill.cli communication OUT [--seeds 200-211] [--profile v4]
+    python -m tidemill.cli rescue OUT [--seeds 900-903]
     python -m tidemill.cli evaluate OUT --base RECORDS --policy heuristic [--limit 200]
     python -m tidemill.cli doctor
 
@@ -49,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     command("audit", ("--base", str, None))
     commands.choices["audit"].add_argument("--held-out", nargs="+", default=[])
     command("communication", ("--seeds", str, "200-211"))
+    commands.choices["communication"].add_argument("--profile", choices=sorted(X.PROFILES), default="v4")
     command("rescue", ("--seeds", str, "900-903"))
     command("evaluate", ("--base", str, None), ("--policy", str, "heuristic"), ("--limit", int, 0), ("--seed", int, 1))
     command("doctor")
@@ -96,7 +98,7 @@ def main(arguments: list[str] | None = None) -> int:
     elif a.command in ("communication", "rescue"):
         seeds = seeds_of(a.seeds)
         if a.command == "communication":
-            runs, rollup = X.communication_results(spark, seeds), W.communication_conditions
+            runs, rollup = X.communication_results(spark, seeds, a.profile), W.communication_conditions
         else:
             runs, rollup = X.rescue_results(spark, seeds), W.rescue_conditions
         IO.write_report({"runs": runs, "conditions": rollup(runs)}, a.out)
