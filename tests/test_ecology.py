@@ -133,12 +133,27 @@ def test_policies_compared(spark):
     for seed in range(7, 11):
         world = Ecology(settings, seed)
         assert sorted(world.beings) == [f"organism-{i:05d}" for i in range(1, 5)] and {b.lineage for b in world.beings.values()} == {f"lineage-{i:02d}" for i in range(1, 5)}
-        world.run(Uniform(seed), 40)
+        world.run(Uniform(seed + 100), 40)
         log = [(kind, json.loads(data)) for _, _, kind, _, data in world.rows()]
         decided += sum(k == "decision" for k, _ in log)
         living += sum(b.alive for b in world.beings.values())
         assert all(list(d) == sorted(d) for _, d in log)
     assert (rows["random"].decisions, rows["random"].living) == (decided, living)
+    h = rows["heuristic"]  # the published row
+    assert (h.decisions, h.valid, h.births, h.deaths, h.living, h.surviving_lineages, h.mean_energy) == (764, 764, 11, 7, 20, 16, 7.275)
+
+
+def test_published_summaries(spark):
+    """Seed 7, four founders, 30 steps: the published rows of the heuristic and of random choice."""
+    from tidemill.operators.worlds import world_summary
+    from tidemill.plans.experiments import scenarios
+    from tidemill.sources.ecology import Heuristic, Uniform, simulate
+
+    settings = Settings(initial_food=55, food_regrowth=3, max_food=80, founders=4, max_population=12)
+    kinds = {"heuristic": Heuristic, "random": Uniform}
+    events = simulate(scenarios(spark, [7], tuple(kinds)), 30, settings, lambda seed, condition: kinds[condition](seed + 100))
+    rows = {r.condition: (r.ticks, r.born, r.died, r.living, r.mean_living_energy) for r in world_summary(events).collect()}
+    assert rows == {"heuristic": (30, 1, 1, 4, 10.5), "random": (14, 0, 4, 0, 0.0)}
 
 
 def test_names_tell_no_role():

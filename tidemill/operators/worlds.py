@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.actions import KINDS, parse_strict
-from tidemill.functions.rates import rate
+from tidemill.functions.rates import mean, rate
 
 WORLD = ["seed", "condition"]
 
@@ -40,9 +40,9 @@ def world_summary(events: DataFrame) -> DataFrame:
 
 
 def policy_comparison(events: DataFrame, policy: str = "condition") -> DataFrame:
-    """By policy (or condition): decisions, valid ones, births, deaths, living, mean energy of survivors."""
+    """By policy (or condition): decisions, valid ones, births, deaths, living, surviving lineages, mean over worlds of the survivors' mean energy."""
     d = decisions(events).groupBy(policy).agg(F.count("*").alias("decisions"), F.count_if("valid").alias("valid"), F.count_if((F.col("action") == "reproduce") & F.col("valid")).alias("offspring"))
-    s = world_summary(events).groupBy(policy).agg(F.sum("born").alias("births"), F.sum("died").alias("deaths"), F.sum("living").alias("living"), rate(F.sum(F.col("mean_living_energy") * F.col("living")), F.sum("living"), 3).alias("mean_energy"))
+    s = world_summary(events).groupBy(policy).agg(F.sum("born").alias("births"), F.sum("died").alias("deaths"), F.sum("living").alias("living"), F.sum("living_lineages").alias("surviving_lineages"), mean("mean_living_energy").alias("mean_energy"))
     return d.join(s, policy)
 
 
@@ -99,7 +99,6 @@ def messages(events: DataFrame) -> DataFrame:
 def communication_conditions(runs: DataFrame) -> DataFrame:
     """By condition: ratios of sums for decisions, shares of runs for outcomes, means to three places."""
     some = lambda c: rate(F.count_if(c), F.count("*"))
-    mean = lambda c: F.coalesce(F.bround(F.avg(c), 3), F.lit(0.0))
     return runs.groupBy("condition").agg(
         F.count("*").alias("runs"), rate(F.sum("valid_model_decisions"), F.sum("model_decisions")).alias("valid_rate"), rate(F.sum("strict_model_outputs"), F.sum("model_decisions")).alias("strict_rate"), F.sum("model_policy_errors").alias("policy_errors"),
         some(F.col("signals") > 0).alias("signal_rate"), some(F.col("informed_decisions") > 0).alias("informed_rate"), some(F.col("target_reached")).alias("target_rate"), some(F.col("foraged")).alias("forage_rate"), some(F.col("recipient_alive")).alias("survival_rate"),
@@ -138,7 +137,6 @@ def rescue_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
 def rescue_conditions(runs: DataFrame) -> DataFrame:
     """By condition: ratios of sums for decisions, shares of runs for outcomes, totals, and means to three places."""
     per_decision = lambda c: rate(F.sum(c), F.sum("model_decisions"))
-    mean = lambda c: F.coalesce(F.bround(F.avg(c), 3), F.lit(0.0))
     return runs.groupBy("condition").agg(
         F.sum("model_decisions").alias("model_decisions"), per_decision("valid_model_decisions").alias("valid_rate"), per_decision("strict_model_outputs").alias("strict_rate"), per_decision("model_policy_errors").alias("policy_error_rate"),
         F.sum("repeated_shares").alias("repeated_shares"), F.sum("unsafe_shares").alias("unsafe_shares"), mean("least_donor_energy").alias("mean_least_donor_energy"), mean("donor_final_energy").alias("mean_donor_final_energy"),

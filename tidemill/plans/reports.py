@@ -88,7 +88,7 @@ def log_summaries(spark, tables):
 
 @query(
     f"{_L}, {_SUMMARY}, d AS (SELECT condition, count(*) AS decisions, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE valid AND action = 'reproduce') AS offspring FROM l WHERE kind = 'decision' GROUP BY 1),"
-    " t AS (SELECT condition, sum(born) AS births, sum(died) AS deaths, sum(living) AS living, coalesce(round_even(sum(mean_living_energy * living) / nullif(sum(living), 0), 3), 0.0) AS mean_energy FROM s GROUP BY 1) SELECT * FROM d JOIN t USING (condition)"
+    " t AS (SELECT condition, sum(born) AS births, sum(died) AS deaths, sum(living) AS living, sum(living_lineages) AS surviving_lineages, round_even(avg(mean_living_energy), 3) AS mean_energy FROM s GROUP BY 1) SELECT * FROM d JOIN t USING (condition)"
 )
 def log_policies(spark, tables):
     """Policies side by side, with the reproductions that made offspring."""
