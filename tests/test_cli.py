@@ -19,3 +19,11 @@ def test_scenes_audit_evaluate(spark, tmp_path, capsys):
     assert main(["rescue", out, "--seeds", "900-901"]) == 0
     assert {r["condition"] for r in rows(f"{out}/conditions")} == {"normal", "blocked", "unsafe"}
     assert main(["doctor"]) == 0
+
+
+def test_smoke_repeats_the_published_world(spark, tmp_path):
+    out = str(tmp_path / "smoke")
+    assert main(["smoke", out, "--founders", "4", "--steps", "30"]) == 0
+    (summary,) = rows(f"{out}/summary")
+    assert (summary["ticks"], summary["born"], summary["died"], summary["living"], summary["mean_living_energy"]) == (30, 1, 1, 4, 10.5)
+    assert spark.read.parquet(f"{out}/events").where("kind = 'decision'").count() == 129

@@ -1,5 +1,6 @@
 """Command line: corpora, audits, experiments and evaluations.
 
+    python -m tidemill.cli smoke OUT --policy heuristic --steps 100 --seed 7 [--founders 4]
     python -m tidemill.cli natural OUT --episodes 16 --steps 60 --seed 1000
     python -m tidemill.cli balanced OUT --base BASE --episodes 32 --steps 60 --seed 2000 --minimum 100
     python -m tidemill.cli stratify OUT --base BASE --per-action 100 --seed 5
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
         for flag, kind, default in options:
             own.add_argument(flag, type=kind, default=default, **({"required": True} if default is None else {}))
 
+    command("smoke", ("--policy", str, "heuristic"), ("--steps", int, 100), ("--seed", int, 7), ("--founders", int, 0))
     sizes = (("--episodes", int, 16), ("--steps", int, 60), ("--seed", int, 1000))
     command("natural", *sizes)
     command("balanced", ("--base", str, None), *sizes, ("--minimum", int, 1000))
@@ -63,6 +66,11 @@ def settings_from(path: str | None) -> Settings:
     return settings_of(IO.load_config(path, {"world": set(as_mapping(Settings())), "run": {"seed", "steps"}, "dataset": {"episodes", "steps_per_episode", "seed"}}).get("world", {}))
 
 
+def with_founders(settings: Settings, founders: int) -> Settings:
+    """So many founders (0: as set) and at most three times as many living beings."""
+    return replace(settings, founders=founders, max_population=max(founders, min(settings.max_population, 3 * founders))) if founders else settings
+
+
 def seeds_of(text: str) -> range:
     first, _, last = text.partition("-")
     return range(int(first), int(last or first) + 1)
@@ -81,6 +89,9 @@ def main(arguments: list[str] | None = None) -> int:
     read = spark.read.parquet
     if a.command == "doctor":
         print({"spark": spark.version, "python": sys.version.split()[0], "parallelism": spark.sparkContext.defaultParallelism, "checkpoint": spark.conf.get("spark.checkpoint.dir", None)})
+    elif a.command == "smoke":
+        events = X.single_world(spark, with_founders(settings, a.founders), a.policy, a.seed, a.steps)
+        IO.write_run(events, W.world_summary(events), a.out)
     elif a.command == "natural":
         save(C.first_occurrence(P.natural(spark, settings, a.episodes, a.steps, a.seed), ["fp"], ["seed", "seq"]), a.out)
     elif a.command == "balanced":
