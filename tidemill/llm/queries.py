@@ -9,6 +9,7 @@ from tidemill.llm.config_packing import op6
 from tidemill.llm.cover_dedup import op8
 from tidemill.llm.fim_markers import OP12_SQL, op12
 from tidemill.llm.hilbert_shard import op4
+from tidemill.llm.importance import OP11_SQL, op11
 from tidemill.llm.line_dedup import OP13_SQL, op13
 from tidemill.llm.piece_codec import op2
 from tidemill.llm.pq_neardup import op3
@@ -28,6 +29,7 @@ OPERATORS = {
     "op8_cover_dedup": op8,
     "op9_quality_rules": op9,
     "op10_quality_net": op10,
+    "op11_importance_postings": op11,
     "op12_fim_markers": op12,
     "op13_line_dedup": op13,
 }
@@ -39,4 +41,4 @@ def _lean(query):
 
 QUERIES = {**{name: _lean(query) for name, query in OPERATORS.items()}, "pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op12_fim_markers": OP12_SQL, "op13_line_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op11_importance_postings": OP11_SQL, "op12_fim_markers": OP12_SQL, "op13_line_dedup": OP13_SQL}
