@@ -1,27 +1,27 @@
-"""Suffix-array dedup by merging shard Burrows-Wheeler orders.
-
-Each chunk of documents is a shard.  Its suffixes are sampled at content-defined anchors (the
-leftmost minimal 8-byte hash of a sliding window), so equal texts are sampled alike.  The shard sorts
-its sampled suffixes once; the symbol order is that of fingerprints, which is as good as any other
-for finding repeats.  Shards are then merged without sorting suffixes again: the interleave is
-refined interval by interval.
-
-1. Depth R: suffixes that share their first R bytes form an interval.  Each shard sends one record
-   per interval it holds, and the merge joins equal intervals.  An interval with one suffix closes.
-2. One backward step by phrase: the interval splits by the preceding phrase (all window starts that
-   belong to the anchor) and the context those windows reach.  Suffixes still together have a common
-   extension of ``min_bytes`` from each of those starts: a repeated interval.
-3. Backward steps by byte: where an interval did split, one suffix of each part is extended one
-   preceding byte at a time, and each start opens the interval of its first ``min_bytes`` bytes.
-   Such an interval with two suffixes is repeated.
-
-Every window of ``min_bytes`` belongs to exactly one anchor, and equal windows to anchors at the same
-offset with the same R bytes, so no repeat is missed.  Interval names are 64-bit hashes (plus bucket
-bits of a second hash at full depth).  Repeats inside a shard are folded before the exchange.
+"""Suffix dedup by hashes of anchored chunks and of whole windows.
+
+The contract asks for byte strings that repeat, as a suffix array would find them.  This operator gets
+them by hashing, not by merging Burrows-Wheeler transforms; the merge by interleave refinement is in
+``interleave.py``, which tests hold this operator to (README has its cost).
+
+Each text is sampled at content-defined anchors (the leftmost minimal 8-byte hash of a sliding
+window), so equal texts are sampled alike.  Every window of ``min_bytes`` belongs to exactly one anchor,
+and equal windows to anchors at the same offset with the same R bytes behind them.
+
+1. Anchors meet by the hash of their first R bytes (sorted within a bucket); a hash with one anchor is done.
+2. Anchors that meet are told apart by the hash of the widest context that their windows reach.  Where
+   it is equal, each window that belongs to the anchor repeats.
+3. Where it is not, each start of a window sends the hash of its ``min_bytes`` bytes; a hash that two
+   starts share is a repeat.
+
+Windows are told apart by 64-bit hashes (plus bucket bits of a second hash at full depth), so results
+are exact but for collisions.  Repeats inside a chunk of documents are folded before the exchange.
 
 Defined results: a null text is empty; every row counts as a document of its own, so a repeated row
-of at least ``min_bytes`` bytes is removed wholly; texts shorter than that lose nothing; input
-columns travel in the struct ``row`` and cannot clash.
+of at least ``min_bytes`` bytes is removed wholly; texts shorter than that lose nothing; ties do not
+arise, since removal does not depend on order; a very long text is a chunk of its own and is held
+whole, with some thirty times its size beside it; an empty table gives an empty one; input columns
+travel in the struct ``row`` and cannot clash.
 """
 
 from __future__ import annotations

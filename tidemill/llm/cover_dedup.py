@@ -15,8 +15,9 @@ the exchange, so a passage that a third of all documents share costs a record pe
 
 Defined results: a null text has no words; a null id sorts before all ids; rows with equal id and
 text are one document listed twice and get equal results; rows with one id but different texts are
-told apart by the text's hash; texts shorter than the window lose nothing; input columns travel in
-the struct ``row`` and cannot clash.
+told apart by the text's hash; texts shorter than the window lose nothing; a very long text counts
+whole, as a chunk of its own (positions are 30 bits of words); an empty table gives an empty one; input
+columns travel in the struct ``row`` and cannot clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ fingerprints share is dealt to several tasks as pairs of blocks, so each task co
 number.  Tasks send on only links that join what was apart, so links stay fewer than members.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; ids may
-repeat or be null (a component of null ids only has a null id); input columns travel in ``row``.
+repeat or be null (a component of null ids only has a null id); repeated rows share a component; a very
+long text counts whole and is held alone; ties (equal fingerprints) fold to one and all get its
+component; an empty table gives an empty one; input columns travel in ``row``.
 """
 
 from __future__ import annotations
