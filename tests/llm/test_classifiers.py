@@ -65,6 +65,25 @@ def test_quality_rules_tell_quality(spark):
     assert right > 0.95
 
 
+def test_quality_rules_do_not_depend_on_partitions(spark):
+    """The same verdicts and probabilities for any number of partitions and any order of rows."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").select(*c) for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "quality"])))
+    verdicts = lambda d: sorted((r.row.doc_id, r.kept, r.probability) for r in quality_rules(d, labels).collect())
+    want = verdicts(docs.repartition(1))
+    assert verdicts(docs.repartition(7)) == verdicts(docs.repartition(64)) == verdicts(docs.orderBy(F.rand(3)).repartition(5)) == want
+
+
+def test_sums_of_words_are_not_cut(monkeypatch):
+    """One task's sums beyond 32 bits travel whole."""
+    import pyarrow as pa
+
+    from tidemill.llm import quality_net as Q
+
+    monkeypatch.setattr(Q, "index_vectors", lambda: (np.zeros((Q.SLOTS, Q.NONZERO), np.int64), np.full((Q.SLOTS, Q.NONZERO), 2**33)))
+    made = pa.Table.from_batches(list(Q._sums(pa.table({"text": ["one one"]}).to_batches(), 3)))
+    assert max(int(np.abs(a["v"]).max()) for a in (np.frombuffer(x.as_py(), Q.SUMS) for x in made.column("cell"))) >= 2**33
+
+
 def test_quality_net_on_held_out_rows(spark):
     got = QUERIES["op10_quality_net"](spark, SF)
     rows = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()

@@ -33,7 +33,7 @@ SLOTS, SIZE, NONZERO, REACH = 1 << 13, 32, 4, 2
 #: Rows of each label that the fit may use, hidden units.
 TRAIN_ROWS, HIDDEN = 1500, 32
 FEATURES = 4 * SIZE + 2
-SUMS = np.dtype([("slot", "<u4"), ("n", "<i8"), ("v", "<i4", (SIZE,))])
+SUMS = np.dtype([("slot", "<u4"), ("n", "<i8"), ("v", "<i8", (SIZE,))])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -88,7 +88,7 @@ def _sums(batches, buckets: int):
     full = np.flatnonzero(seen)
     for part in np.array_split(full, max(1, len(full) >> 12)):
         out = np.empty(len(part), SUMS)
-        out["slot"], out["n"], out["v"] = part, seen[part], np.clip(total.reshape(SLOTS, SIZE)[part], -(2**31), 2**31 - 1)
+        out["slot"], out["n"], out["v"] = part, seen[part], total.reshape(SLOTS, SIZE)[part]
         if len(part):
             yield C.packed((part % buckets).astype(np.int32), out)
 
@@ -97,10 +97,10 @@ def _added(_, column):
     """Sums of all tasks, by slot; of one size however large the corpus is."""
     a = C.unpacked(column, SUMS)
     slot, place = np.unique(a["slot"], return_inverse=True)
-    n, v = np.zeros(len(slot), np.int64), np.zeros((len(slot), SIZE), np.float64)
+    n, v = np.zeros(len(slot), np.int64), np.zeros((len(slot), SIZE), np.int64)
     np.add.at(n, place, a["n"])
-    np.add.at(v, place, a["v"].astype(np.float64))
-    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(slot) + 1) * SIZE, pa.int32()), pa.array(v.ravel()))], ["slot", "n", "v"])
+    np.add.at(v, place, a["v"])
+    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(slot) + 1) * SIZE, pa.int32()), pa.array(v.ravel().astype(np.float64)))], ["slot", "n", "v"])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:

@@ -114,7 +114,7 @@ def score(weights: np.ndarray, found: list) -> np.ndarray:
 
 
 def _reduced(batches):
-    """Each sampled text's distinct slots and their shares, so that the driver gets no texts."""
+    """Each sampled text's distinct slots and their shares, under a hash of the text, so that the driver gets no texts."""
     for t in row_chunks(batches):
         buf, offs = text_buffer(t.column("text"))
         found = features(buf, offs, Words(buf, offs))
@@ -123,22 +123,26 @@ def _reduced(batches):
             parts = [np.unique(s[b[d] : b[d + 1]], return_counts=True) for s, b in found]
             slots.append(np.concatenate([u + k * SLOTS for k, (u, _) in enumerate(parts)]).astype(np.int32))
             share.append(np.concatenate([c / max(1, c.sum()) for _, c in parts]).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([t.column("y").combine_chunks(), pa.array([s.tolist() for s in slots], pa.list_(pa.int32())), pa.array([s.tolist() for s in share], pa.list_(pa.float32()))], ["y", "slots", "share"])
+        yield pa.RecordBatch.from_arrays([t.column("y").combine_chunks(), t.column("key").combine_chunks(), pa.array([s.tolist() for s in slots], pa.list_(pa.int32())), pa.array([s.tolist() for s in share], pa.list_(pa.float32()))], ["y", "key", "slots", "share"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> tuple | None:
-    """Weights, slope and offset; none without both labels.  A quarter of the sample is kept for the calibration."""
+    """Weights, slope and offset; none without both labels.  A quarter of the sample is kept for the calibration.
+
+    The result is a function of the rows, however they are dealt to files and tasks.
+    """
     sample = labelled(docs, labels, "quality", rows, rows, id_col=id_col, text_col=text_col)
-    got = sample.select("y", "text").mapInArrow(_reduced, "y int, slots array<int>, share array<float>").toArrow()
+    got = sample.select("y", F.xxhash64("text").alias("key"), "text").mapInArrow(_reduced, "y int, key long, slots array<int>, share array<float>").toArrow()
+    # rows come in the order of files and tasks; the fit follows their content
+    got = got.take(pa.array(np.lexsort((got.column("y").to_numpy(), got.column("key").to_numpy()))))
     y = got.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
     listed = got.column("slots").combine_chunks(), got.column("share").combine_chunks()
     n = np.diff(listed[0].offsets.to_numpy())
     slot, share = (np.asarray(x.flatten().to_numpy(zero_copy_only=False)) for x in listed)
-    order = np.argsort(mix(np.cumsum(n).astype(np.uint64)))
     held = np.zeros(len(y), bool)
-    held[order[::4]] = True
+    held[::4] = True  # rows lie by hash, so this is a random quarter
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
     row = np.repeat(np.arange(len(y)), n)
