@@ -240,7 +240,8 @@ def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """Each input row as ``row`` (without its text) with n_lines, n_dropped and the ``text`` that stays."""
     bitmaps = save(keep_bitmaps(docs, text_col, id_col, least_chars, least_docs), "line-bitmaps")
     rows = addressed(docs, id_col, text_col).withColumn("doc", F.coalesce("doc_id", F.lit(int(NULL_ID)))).select("row", "doc", "uid", F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(bitmaps, ["doc", "uid"], "left").select("row", "text", "bitmap")
+    # bitmaps are the built side, so texts pass by unsorted
+    joined = rows.join(bitmaps.hint("shuffle_hash"), ["doc", "uid"], "left").select("row", "text", "bitmap")
     schema = T.StructType([joined.schema["row"]]).add("n_lines", "long").add("n_dropped", "long").add("text", "string")
 
     def run(batches):
