@@ -1,9 +1,7 @@
-"""Event logs: bounded memory, trajectories, forensics, ancestry, opportunities."""
+"""Event logs: bounded memory, trajectories, forensics, opportunities."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +45,6 @@ def before_each(df: DataFrame, by: list[str], order: list[str], which: Column, v
     return df.withColumns({f"last_{v}": F.lag(v).over(w) for v in values}).where(which)
 
 
-def ancestry(parents: DataFrame) -> DataFrame:
-    """``id``, ``root`` and ``depth`` from (id, parent): parent null for a root.  A recursive query, one step per generation."""
-    spark_view = f"ancestry_{uuid.uuid4().hex}"  # lazy results of one session must not read each other's input
-    parents.createOrReplaceTempView(spark_view)
-    return parents.sparkSession.sql(f"""
-        WITH RECURSIVE line(id, root, depth) AS (
-          SELECT id, id, 0 FROM {spark_view} WHERE parent IS NULL
-          UNION ALL
-          SELECT c.id, l.root, l.depth + 1 FROM line l JOIN {spark_view} c ON c.parent = l.id)
-        SELECT id, root, depth FROM line""")
-
-
 def reciprocal(shares: DataFrame, world: list[str], donor: str, target: str) -> DataFrame:
     """Unordered pairs that shared both ways, with how often each way; pairs are counted before they meet."""
     n = shares.groupBy(*world, donor, target).agg(F.count("*").alias("n"))

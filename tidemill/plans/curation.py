@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import audit as U
 from tidemill.operators import corpus as C
+from tidemill.operators.acceptance import accept_groups
 from tidemill.plans.registry import query
 
 _FIRST = "SELECT doc_id, sha256(text) AS fp, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents"
@@ -78,6 +79,25 @@ def stratified_sample(spark, tables):
     return C.stratified(tables("events"), "event_type", "event_id", 20, 17).select("event_type", "event_id")
 
 
+_GROUPS = """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+g AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i, coalesce(lines, []) AS lines FROM documents
+  LEFT JOIN (SELECT doc_id, list(DISTINCT md5(line)) AS lines FROM l WHERE length(line) >= 20 GROUP BY 1) USING (doc_id)),
+r(i, doc_id, accepted, seen) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, true, (SELECT list(DISTINCT md5(text)) FROM benchmark)
+  UNION ALL
+  SELECT g.i, g.doc_id, NOT list_has_any(seen, lines), CASE WHEN list_has_any(seen, lines) THEN seen ELSE list_concat(seen, lines) END FROM r JOIN g ON g.i = r.i + 1)
+SELECT doc_id, accepted FROM r WHERE i > 0"""
+
+
+@query(_GROUPS)
+def whole_group_acceptance(spark, tables):
+    """Documents from the longest on; one that shares a line with any accepted before, or with the benchmark, is rejected whole."""
+    d = tables("documents").select("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id")).alias("place"), "text")
+    lines = d.select("doc_id", "place", F.explode_outer(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 20)).alias("line")).select("doc_id", "place", F.md5("line").alias("fp"))
+    return accept_groups(lines, "doc_id", "fp", "place", known=tables("benchmark").select(F.md5("text").alias("fp")), finish_rows=1000)
+
+
 _DAYS = "SELECT *, CAST(ts AS DATE) - DATE '2024-01-01' AS day FROM events"
 
 

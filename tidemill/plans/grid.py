@@ -9,6 +9,8 @@ from tidemill.functions import geometry as G
 from tidemill.functions.text import scene_age
 from tidemill.operators import audit as U
 from tidemill.operators import spatial as S
+from tidemill.operators.lineage import ancestry
+from tidemill.operators.reach import reachable
 from tidemill.plans.registry import query
 
 SIDE, RADIUS = 24, 3
@@ -150,12 +152,31 @@ def identity_audit(spark, tables):
 
 @query("WITH RECURSIVE line(id, root, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey < 3 UNION ALL SELECT c.c_custkey, l.root, l.depth + 1 FROM line l JOIN customer c ON c.c_custkey // 3 = l.id AND c.c_custkey >= 3) SELECT id, root, depth FROM line")
 def ancestry_depth(spark, tables):
-    from tidemill.operators.events import ancestry
-
     k = F.col("c_custkey")
     return ancestry(tables("customer").select(k.alias("id"), F.when(k >= 3, F.expr("c_custkey div 3")).alias("parent")))
 
 
+_REACH = f"""
+WITH RECURSIVE a AS ({_AGENTS}), f AS ({_FOOD}),
+o AS (SELECT (c_custkey // 576)::INT AS world, (c_custkey % 24)::INT AS x, (c_custkey // 24 % 24)::INT AS y FROM customer WHERE c_acctbal < 2000),
+w(id, world, x, y, steps, budget) AS (
+  SELECT id, world, x, y, 0, energy % 8 FROM a
+  UNION
+  SELECT w.id, w.world, x + dx, y + dy, steps + 1, budget FROM w, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) d(dx, dy)
+  WHERE steps < budget AND x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23
+    AND NOT EXISTS (SELECT 1 FROM o WHERE o.world = w.world AND o.x = w.x + dx AND o.y = w.y + dy))
+SELECT id, world, food, min(steps) AS steps FROM w JOIN f ON x = fx AND y = fy GROUP BY ALL"""
+
+
+@query(_REACH)
+def obstacle_reach(spark, tables):
+    """Food that each agent can walk to around the poor, who stand still, within its energy."""
+    starts = agents(tables).select("id", "world", "x", "y", (F.col("energy") % 8).alias("budget"))
+    poor = agents(tables).join(tables("customer").where("c_acctbal < 2000").select(F.col("c_custkey").alias("id")), "id").select("world", "x", "y")
+    targets = food(tables).select("food", F.col("fx").alias("x"), F.col("fy").alias("y"))
+    return reachable(starts, targets, poor, ["id", "world"], ["world"], SIDE, SIDE, target="food", everywhere=True)
+
+
 @query(
     "WITH RECURSIVE s AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 24)::INT AS x, (s_suppkey * 5 % 24)::INT AS y, 12 AS gx, 12 AS gy FROM supplier),"
     " w(id, x, y, steps) AS (SELECT id, x, y, 0 FROM s UNION ALL SELECT w.id, CASE WHEN w.x <> 12 THEN w.x + sign(12 - w.x)::INT ELSE w.x END, CASE WHEN w.x <> 12 THEN w.y ELSE w.y + sign(12 - w.y)::INT END, w.steps + 1 FROM w WHERE w.steps < 10 AND (w.x <> 12 OR w.y <> 12))"
