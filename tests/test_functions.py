@@ -64,8 +64,8 @@ def test_geometry(spark):
 
 
 def test_records(spark):
-    df = spark.createDataFrame([([("system", "s"), ("user", "{1}"), ("user", "b")],)], "prompt array<struct<role:string,content:string>>")
+    df = spark.createDataFrame([([("system", "s"), ("user", '{"a":1}'), ("user", "b")],)], "prompt array<struct<role:string,content:string>>")
     r = df.select(R.last_user(F.col("prompt")).alias("l"), R.first_object_user(F.col("prompt")).alias("f"), R.inject_last_user(F.col("prompt"), lambda c: F.upper(c)).alias("i"), R.with_system(F.col("prompt"), F.lit("t")).alias("w")).first()
-    assert (r.l, r.f, r.i[2].content, r.w[0].content) == ("b", "{1}", "B", "t")
+    assert (r.l, r.f, r.i[2].content, r.w[0].content) == ("b", '{"a":1}', "B", "t")
     with pytest.raises(Exception, match="system message"):
         df.select(R.with_system(F.slice("prompt", 2, 2), F.lit("t"))).collect()

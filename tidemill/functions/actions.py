@@ -1,7 +1,9 @@
 """Actions: parsing, canonical text and legality.
 
-Parsers read JSON as Python does (trailing text, duplicate keys, booleans that are no integers), which
-no native parser does, so they are Arrow-batched UDFs; legality is a column expression.
+Strict parsing is a column expression.  It takes what Python's ``json`` takes (``strict`` is that rule in
+plain Python): a text that is one value and nothing else, the last of repeated keys, booleans that are
+no integers.  Lenient parsing looks for JSON inside any text, which no native parser does, so it is an
+Arrow-batched UDF.
 """
 
 from __future__ import annotations
@@ -77,23 +79,60 @@ def lenient(text) -> dict | None:
     return None
 
 
-def _parser(parse):
-    @F.pandas_udf(ACTION)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [parse(t) or _EMPTY for t in texts]
-        frame = pd.DataFrame(found, columns=ACTION.names)
-        return frame.astype({"x": "Int32", "y": "Int32", "amount": "Int32"})
-
-    return run
+@F.pandas_udf(ACTION)
+def _lenient(texts: pd.Series) -> pd.DataFrame:
+    found = [lenient(t) or _EMPTY for t in texts]
+    return pd.DataFrame(found, columns=ACTION.names).astype({"x": "Int32", "y": "Int32", "amount": "Int32"})
+
+
+#: What Python strips as white space: the characters for which ``str.isspace`` holds.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+#: Fields of an action, each as it stands; of repeated keys the last counts, other keys are passed over.
+_FIELDS = "array<struct<action variant, target variant, amount variant, message variant>>"
+
+
+def _judged(read: Column) -> Column:
+    """The action of ``p``, which must hold one object and then the seal."""
+    found = F.get(read["p"], F.lit(0))
+    whole = (F.size(read["p"]) == 2) & (F.try_variant_get(F.get(read["p"], F.lit(1))["action"], "$", "string") == read["seal"])
+    kind = F.when(F.coalesce(whole, F.lit(False)), F.try_variant_get(found["action"], "$", "string"))
+    shape = lambda name: F.coalesce(F.schema_of_variant(found[name]), F.lit("none"))
+    cell, place = F.try_variant_get(found["target"], "$", "array<int>"), kind.isin("move", "reproduce")
+    at = lambda i: F.when(place, F.get(cell, F.lit(i)))
+    name, amount = F.try_variant_get(found["target"], "$", "string"), F.try_variant_get(found["amount"], "$", "int")
+    said = F.btrim(F.try_variant_get(found["message"], "$", "string"), F.lit(SPACES))
+    ok = (
+        F.when(place, (shape("target") == "ARRAY<BIGINT>") & (F.size(cell) == 2) & at(0).isNotNull() & at(1).isNotNull())
+        .when(kind == "share", (shape("target") == "STRING") & (name != "") & (shape("amount") == "BIGINT") & (amount >= 1))
+        .when(kind == "signal", (shape("message") == "STRING") & (said != ""))
+        .otherwise(kind.isin("forage", "rest"))
+    )
+    made = F.struct(
+        kind.alias("action"), at(0).alias("x"), at(1).alias("y"), F.when(kind == "share", name).alias("target"),
+        F.when(kind == "share", amount).alias("amount"), F.when(kind == "signal", F.substring(said, 1, MESSAGE_LIMIT)).alias("message"),
+    )
+    return F.when(F.coalesce(ok, F.lit(False)), made).otherwise(F.lit(None).cast(ACTION))
 
 
 def parse_strict(text: Column) -> Column:
-    """Struct of an action; its field ``action`` is null where the text is not one."""
-    return _parser(strict)(text)
+    """Struct of an action; its field ``action`` is null where the text is not one.
+
+    The text is read as the first item of a list that ends in a seal, a hash of the text itself, so a
+    text that holds more than one value, or closes the list, is found out.  Spark's reader keeps what it
+    could read of a broken value, so the list must also be well-formed as a whole: its length must be
+    known, or, where it holds a number that only Python writes (NaN, Infinity), its record not be corrupt.
+    """
+    strictly = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "broken"}
+    seal = F.md5(text)
+    listed = F.concat(F.lit("["), text, F.lit(',{"action":"'), seal, F.lit('"}]'))
+    odd = F.from_json(F.concat(F.lit('{"v":'), listed, F.lit("}")), f"struct<v: {_FIELDS}, broken: string>", strictly)
+    fine = F.when(F.json_array_length(listed).isNotNull(), True).when(F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity")), odd["v"].isNotNull() & odd["broken"].isNull())
+    read = F.struct(F.when(fine, F.from_json(listed, _FIELDS, strictly)).alias("p"), seal.alias("seal"))
+    return F.get(F.transform(F.array(read), _judged), F.lit(0))
 
 
 def parse_lenient(text: Column) -> Column:
-    return _parser(lenient)(text)
+    return _lenient(text)
 
 
 def action_json(action: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.actions import action_json, parse_strict
+from tidemill.functions.text import canonical_json, is_json, is_object
+
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -19,9 +22,30 @@ def last_user(prompt: Column) -> Column:
     return F.element_at(F.filter(prompt, lambda m: m["role"] == "user"), -1)["content"]
 
 
-def first_object_user(prompt: Column) -> Column:
-    """First user message that is a JSON object."""
-    return F.get(F.filter(prompt, lambda m: (m["role"] == "user") & F.ltrim(m["content"]).startswith("{")), F.lit(0))["content"]
+def first_object_user(prompt: Column, required: bool = False) -> Column:
+    """The first user message that is a JSON object, found by parsing; messages of another JSON type are passed over.
+
+    Null without one, and broken messages are passed over too; if ``required``, both are errors.
+    """
+    users = F.transform(F.filter(prompt, lambda m: m["role"] == "user"), lambda m: m["content"])
+    if not required:
+        return F.get(F.filter(users, is_object), F.lit(0))
+    kinds = F.transform(users, lambda c: F.when(is_object(c), "object").when(is_json(c), "other").otherwise("broken"))
+    at = F.array_position(kinds, "object")
+    broken = F.array_position(kinds, "broken")
+    none = F.when((broken > 0) & ((at == 0) | (broken < at)), "a user message is not JSON").otherwise("no object-valued user message")
+    return F.when((at > 0) & ((broken == 0) | (at < broken)), F.get(users, (at - 1).cast("int"))).otherwise(F.raise_error(none).cast("string"))
+
+
+def rebuilt(records: DataFrame, system: Column) -> DataFrame:
+    """Records made anew from what they hold: the system message, the observation and the action in canonical form, all other columns kept.
+
+    The observation is the first object-valued user message; a record without one, or without an action, is an error.
+    """
+    action = parse_strict(F.get("completion", F.lit(0))["content"])
+    held = records.withColumns({"_observation": first_object_user(F.col("prompt"), required=True), "_action": action})
+    answer = F.when(F.col("_action.action").isNotNull(), action_json(F.col("_action"))).otherwise(F.raise_error(F.lit("a completion has no action")).cast("string"))
+    return chat_record(held, system, canonical_json(F.col("_observation")), answer).drop("_observation", "_action")
 
 
 def with_system(prompt: Column, system: Column) -> Column:

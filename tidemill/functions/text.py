@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of the message format.
 COORDINATE = r"(?i)food at \[\s*(-?\d+)\s*,\s*(-?\d+)\s*\]"
@@ -60,3 +64,39 @@ def modular(number: Column, factor: int, shift: int = 0, modulus: int = 10_000_0
 def scene_age(seed: Column, tick: Column) -> Column:
     """An age that follows from the seed and never exceeds the tick."""
     return F.pmod(seed * 17 + 11, tick + 1)
+
+
+def _sole(text: Column, also) -> Column:
+    """Whether a text is one JSON value, for which ``also`` holds, and nothing else; null text is not.
+
+    The text is read as the first item of a list that a seal closes, so what follows the value is found out.
+    """
+    seal = F.md5(text)
+    listed = F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))
+    items = F.from_json(listed, "array<string>", {"allowSingleQuotes": "false"})
+    held = F.transform(F.array(items), lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == seal))
+    return F.coalesce(F.get(held, F.lit(0)) & F.json_array_length(listed).isNotNull() & also, F.lit(False))
+
+
+def is_json(text: Column) -> Column:
+    return _sole(text, F.lit(True))
+
+
+def is_object(text: Column) -> Column:
+    return _sole(text, F.btrim(text, F.lit(" \t\r\n")).startswith("{"))
+
+
+@F.pandas_udf(StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON with sorted keys and no spaces, other characters as they are; null where the text is none.
+
+    Native JSON functions keep no difference between 1.0 and 1, so this is an Arrow-batched UDF.
+    """
+
+    def rewritten(t):
+        try:
+            return json.dumps(json.loads(t), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return text.map(rewritten)

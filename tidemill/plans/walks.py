@@ -70,18 +70,39 @@ def positional_zip(spark, tables):
     return lists.select("conv_id", F.inline(R.zip_strict(F.col("turn"), F.col("role"), F.col("text"))))
 
 
-_OBJECT = "CASE WHEN turn % 2 = 0 THEN ' {\"turn\":' || turn || '}' WHEN turn % 3 = 0 THEN '[' || turn || ']' ELSE text END"
+#: Objects, lists, text that is no JSON, objects with text behind them, and objects that break off.
+_OBJECT = (
+    "CASE WHEN turn % 2 = 0 THEN ' {\"turn\":' || turn || '}' WHEN turn % 3 = 0 THEN '[' || turn || ']' WHEN turn % 5 = 0 THEN '{not json'"
+    " WHEN conv_id % 4 = 0 THEN '{\"turn\":' || turn || '} and more' WHEN conv_id % 4 = 1 THEN '{\"turn\":[' || turn || '}' ELSE text END"
+)
 
 
-@query(f"WITH c AS (SELECT conv_id, turn, role, {_OBJECT} AS content FROM conversations) SELECT conv_id, arg_min(content, turn) AS content FROM c WHERE role = 'user' AND starts_with(trim(content), '{{') GROUP BY 1")
+@query(
+    f"WITH c AS (SELECT conv_id, turn, role, {_OBJECT} AS content FROM conversations) SELECT conv_id, arg_min(content, turn) AS content FROM c"
+    " WHERE role = 'user' AND CASE WHEN json_valid(content) THEN json_type(content) = 'OBJECT' ELSE false END GROUP BY 1"
+)
 def first_object_message(spark, tables):
-    """The first user message that holds an object, as observations are found."""
-    n = F.col("turn").cast("string")
-    content = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(' {"turn":'), n, F.lit("}"))).when(F.col("turn") % 3 == 0, F.concat(F.lit("["), n, F.lit("]"))).otherwise(F.col("text"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content"))))
+    """The first user message that is an object, as observations are found: by parsing."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.expr(_OBJECT).alias("content"))))
     return tables("conversations").groupBy("conv_id").agg(R.first_object_user(turns).alias("content")).where("content is not null")
 
 
+@query(
+    "SELECT event_id, event_type AS curriculum, 'new rules' AS system, '{\"k\":' || json_extract_string(props, '$.k') || ',\"tick\":' || event_id || '.0,\"user\":\"' || user_id || '\"}' AS observation,"
+    " CASE event_id % 3 WHEN 0 THEN '{\"action\":\"rest\"}' WHEN 1 THEN '{\"action\":\"move\",\"target\":[' || event_id % 24 || ',2]}' ELSE '{\"action\":\"share\",\"amount\":2,\"target\":\"b\"}' END AS answer FROM events"
+)
+def record_rebuild(spark, tables):
+    """Records under another system message, with observation and action in canonical form and their metadata kept."""
+    k, n = F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    seen = F.concat(F.lit('{"user": "'), F.col("user_id").cast("string"), F.lit('", "tick": '), n, F.lit('.0,\n "k": '), k, F.lit("}"))
+    cell = F.concat(F.lit('{"target": ['), (F.col("event_id") % 24).cast("string"), F.lit(', 2], "action": "move", "why": "near"}'))
+    done = F.when(F.col("event_id") % 3 == 0, ' {"action": "rest"}').when(F.col("event_id") % 3 == 1, cell).otherwise('{"action":"share","target":"b","amount":2}')
+    prompt = F.array(R.message("system", F.lit("old rules")), R.message("user", F.lit("[1]")), R.message("user", seen))
+    records = tables("events").select("event_id", F.col("event_type").alias("curriculum"), prompt.alias("prompt"), F.array(R.message("assistant", done)).alias("completion"))
+    made = R.rebuilt(records, F.lit("new rules"))
+    return made.select("event_id", "curriculum", F.get("prompt", F.lit(0))["content"].alias("system"), R.last_user(F.col("prompt")).alias("observation"), F.get("completion", F.lit(0))["content"].alias("answer"))
+
+
 @query(
     "WITH RECURSIVE w(id, energy, age, tick, step) AS (SELECT s_suppkey, (s_suppkey % 9 + 1)::INT, (s_suppkey % 5)::INT, (s_suppkey % 50)::INT, 0 FROM supplier"
     " UNION ALL SELECT id, energy + CASE (id + step) % 4 WHEN 0 THEN 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -2 END - 1, age + 1, tick + 1, step + 1 FROM w WHERE step < 12 AND energy > 0)"
