@@ -22,12 +22,15 @@ import sys
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemill.functions.actions import KINDS
 from tidemill.operators import corpus as C
 from tidemill.operators import worlds as W
 from tidemill.plans import experiments as X
 from tidemill.sources import corpora as P
 from tidemill.sources import records_io as IO
+from tidemill.sources.committed import observed_write
 from tidemill.sources.ecology import POLICIES, Settings, as_mapping, settings_of
 from tidemill.sources.scenes import CASES
 
@@ -77,9 +80,11 @@ def seeds_of(text: str) -> range:
 
 
 def save(corpus: DataFrame, path: str) -> None:
-    corpus.write.mode("overwrite").parquet(path)
-    counts = corpus.sparkSession.read.parquet(path).groupBy("action" if "action" in corpus.columns else "case").count().orderBy("count")
-    counts.show(truncate=False)
+    """Write a corpus and show how many records each class has, counted while they are written."""
+    label, classes = ("action", KINDS) if "action" in corpus.columns else ("case", [c for cases in CASES.values() for c in cases])
+    metrics = {"records": F.count("*")} | {c: F.count_if(F.col(label) == c) for c in dict.fromkeys(classes)}
+    found = observed_write(corpus, path, metrics)
+    print({name: n for name, n in found.items() if n})
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -2,38 +2,67 @@
 
 from __future__ import annotations
 
-import json
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.actions import parse_strict
+from tidemill.functions.actions import SPACES, parse_strict
+from tidemill.operators.payload import shredded
+from tidemill.sources.committed import stream_digests, write_lines
+from tidemill.sources.staging import staged
 
 _MESSAGES = "array<struct<role:string,content:string>>"
 #: All metadata that any curriculum adds; absent keys are null.
 SFT = f"prompt {_MESSAGES}, completion {_MESSAGES}, curriculum string, communication_case string, survival_case string, energy_case string, pair_id string, scene_id string, trajectory_step int, target_food array<int>, context_agents int, visible_food_count int, target_distance int, energy_budget_required int, reachable_before_exhaustion boolean, hard_negative_source string, peers_with_target_in_view int, peers_without_target_in_view int, peers_with_any_food_in_view int, peers_without_any_food_in_view int"
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """All lines with file, ``block`` (where their split begins) and ``ord`` (rises in file order), read once and kept.
+
+    Spark splits files by bytes and gives every line to the split in which it begins, so splits inside a
+    line, a character or CRLF are its readers' business.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
+    return staged(lines, "lines")
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``line``, 1-based within its file: what the splits before it hold, and its place in its own."""
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("ord").alias("first"))  # one row a split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before + 1 - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).withColumn("line", F.col("ord") + F.col("shift")).drop("shift")
+
+
+def _blank(value) -> Column:
+    return F.btrim(value, F.lit(SPACES)) == ""
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with ``ord`` (rises in file order) and their file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
-    return lines.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+    """Non-blank lines with their file, 1-based ``line`` number (blank lines count) and ``ord`` (rises in file order)."""
+    return _numbered(_placed(spark, path)).where(~_blank("value")).select("value", "file", "line", "ord")
 
 
 def read_sft(spark: SparkSession, path: str, validate: bool = True, allow_empty: bool = False) -> DataFrame:
-    """Records of JSON lines.  A line that is no record, or (if validated) whose completion is no action, is an error that names it."""
-    parsed = read_lines(spark, path).withColumn("r", F.from_json("value", SFT))
+    """Records of JSON lines.  A line that is no record, or (if validated) whose completion is no action, is an error that names it.
+
+    The files are read once; what was read is kept in the shared folder, and line numbers are counted there
+    only if there is an error to name.
+    """
+    lines = _placed(spark, path)
+    parsed = lines.where(~_blank("value")).withColumn("r", F.from_json("value", SFT))
     content = F.get(F.col("r.completion"), F.lit(0))["content"]
     fine = F.col("r.prompt").isNotNull() & content.isNotNull()
     if validate:
         parsed = parsed.withColumn("a", parse_strict(content))
         fine = fine & F.col("a.action").isNotNull()
     checked = parsed.withColumn("fine", fine)
-    wrong = checked.where(~F.coalesce("fine", F.lit(False))).select("file", "ord", "value").orderBy("ord").limit(1).collect()
+    wrong = checked.where(~F.coalesce("fine", F.lit(False))).select("file", "block", "ord", "value").orderBy("ord").limit(1).collect()
     if wrong:
         bad = wrong[0]
-        line = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord")).where((F.col("file") == bad.file) & (F.col("ord") <= bad.ord)).count()
+        at = (F.col("block") < bad.block) | ((F.col("block") == bad.block) & (F.col("ord") <= bad.ord))
+        line = lines.where((F.col("file") == bad.file) & at).count()
         raise ValueError(f"{bad.file}, line {line}: not a valid record: {bad.value[:80]}")
     records = checked.select("ord", "r.*")
     if not allow_empty and records.isEmpty():
@@ -64,35 +93,24 @@ def load_config(path: str, sections: dict[str, set[str]]) -> dict:
     return found
 
 
-def write_corpus(records: DataFrame, path: str, summary: dict, order: str | None = None) -> None:
-    """JSON lines in ``path`` and a one-row summary in ``path``.summary."""
-    spark = records.sparkSession
-    (records.orderBy(order) if order else records).write.mode("overwrite").json(path)
-    spark.createDataFrame([(json.dumps(summary, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.summary")
-
+def write_corpus(records: DataFrame, path: str, summary: dict, order: str | None = None, count_by: tuple[str, ...] = ()) -> dict:
+    """JSON lines, their list and a summary in ``path``, which appear together or not at all; returns the summary.
 
-def write_events(events: DataFrame, path: str) -> None:
-    """One folder per seed and condition, so that a run's events can be read alone."""
-    events.repartition("seed", "condition").sortWithinPartitions("seed", "condition", "seq").write.mode("overwrite").partitionBy("seed", "condition").parquet(path)
+    The summary repeats the facts given and adds records, bytes, files and the counts of the labels, as the
+    tasks report them.
+    """
+    return write_lines(records, path, summary, count_by, order)
 
 
-#: Larger files are not read as one cell.
-WHOLE_FILE = 1 << 28
+def write_events(events: DataFrame, path: str) -> None:
+    """One folder per seed and condition, so that a run's events can be read alone; payloads as VARIANT, which Parquet keeps in typed columns."""
+    kept = shredded(events) if dict(events.dtypes)["data"] == "string" else events
+    kept.repartition("seed", "condition").sortWithinPartitions("seed", "condition", "seq").write.mode("overwrite").partitionBy("seed", "condition").parquet(path)
 
 
-def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
-    """Upper-case SHA-256 of each file: files of up to ``whole`` bytes by the executors, larger ones streamed by the driver's JVM, from any store."""
-    files = spark.read.format("binaryFile").load(path)
-    digests = files.where(F.col("length") <= whole).select("path", "length", F.upper(F.sha2("content", 256)).alias("sha256"))
-    large = []
-    for r in files.where(F.col("length") > whole).select("path", "length").collect():  # names and sizes of the large files
-        at = spark._jvm.org.apache.hadoop.fs.Path(r.path)
-        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
-        try:
-            large.append((r.path, r.length, spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream).upper()))
-        finally:
-            stream.close()
-    return digests.union(spark.createDataFrame(large, "path string, length long, sha256 string")) if large else digests
+def file_digests(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """Upper-case SHA-256 of each file, streamed by the executors in blocks: of any size, none through the driver.  Empty files have no row."""
+    return stream_digests(spark, spark.read.format("binaryFile").load(path).select("path", "length"), block)
 
 
 def repository_state(folder: str = ".") -> dict[str, str | None]:
