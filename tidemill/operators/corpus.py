@@ -15,9 +15,14 @@ def seeded(seed: int, key: Column) -> Column:
 
 
 def first_occurrence(df: DataFrame, fingerprint: list[str], order: list[str]) -> DataFrame:
-    """The first row of each fingerprint.  Found by a minimum, so equal rows fold before the exchange."""
-    first = df.groupBy(*fingerprint).agg(F.min(F.struct(*order)).alias("_first")).select(*fingerprint, *[F.col("_first").getField(o).alias(o) for o in order])
-    return df.join(first, [*fingerprint, *order], "left_semi")
+    """The first row of each fingerprint.  Found by a minimum, so equal rows fold before the exchange.
+
+    Nulls are values like others, in fingerprints and in orders, where they come first.  ``order`` should be
+    total: rows that tie at the first place all stay.
+    """
+    first = df.groupBy(*fingerprint).agg(F.min(F.struct(*order)).alias("_first")).select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(fingerprint)], *[F.col("_first").getField(o).alias(f"_at{i}") for i, o in enumerate(order)])
+    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(fingerprint)] + [F.col(o).eqNullSafe(F.col(f"_at{i}")) for i, o in enumerate(order)]
+    return df.join(first, same, "left_semi")
 
 
 def duplicate_counters(df: DataFrame, fingerprint: list[str], by: list[str] | None = None) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemill.operators import audit as U
 from tidemill.operators import corpus as C
 from tidemill.operators.acceptance import accept_groups
+from tidemill.operators.known import KnownFingerprints
 from tidemill.plans.registry import query
+from tidemill.sources.staging import shared_folder
 
 _FIRST = "SELECT doc_id, sha256(text) AS fp, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents"
 
@@ -98,6 +102,19 @@ def whole_group_acceptance(spark, tables):
     return accept_groups(lines, "doc_id", "fp", "place", known=tables("benchmark").select(F.md5("text").alias("fp")), finish_rows=1000)
 
 
+@query(
+    "WITH c AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents d WHERE source NOT IN ('src0', 'src1') AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.source IN ('src0', 'src1') AND k.text = d.text))"
+    " SELECT doc_id FROM c WHERE r = 1"
+)
+def known_index_top_up(spark, tables):
+    """Documents of the other sources that a kept index of two sources' fingerprints does not know, first occurrence each."""
+    d = fingerprinted(tables).select("doc_id", "source", "fp")
+    base = F.col("source").isin("src0", "src1")
+    index = KnownFingerprints(spark, f"{shared_folder(spark)}/tidemill-core/{spark.sparkContext.applicationId}/known-{uuid.uuid4().hex}")
+    index.add(d.where(base), "fp")
+    return index.fresh(d.where(~base), "fp", ["doc_id"]).select("doc_id")
+
+
 _DAYS = "SELECT *, CAST(ts AS DATE) - DATE '2024-01-01' AS day FROM events"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import actions as A
 from tidemill.functions import records as R
 from tidemill.functions import text as X
+from tidemill.operators.examples import examples
 from tidemill.plans.registry import query
 
 
@@ -45,6 +46,18 @@ def prompt_rewrite(spark, tables):
     return changed.select("conv_id", F.size("prompt").cast("long").alias("messages"), (first["content"] == "new rules").cast("int").alias("system_first"), R.last_user(F.col("prompt")).alias("last_user"))
 
 
+_BEFORE = "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    f"WITH m AS (SELECT conv_id, turn, role, text, list(role || ': ' || text) OVER {_BEFORE} AS held FROM conversations)"
+    " SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, len(coalesce(held, [])) AS n_context, array_to_string(coalesce(held, []), chr(10)) AS context, text AS answer FROM m WHERE role = 'assistant'"
+)
+def conversation_examples(spark, tables):
+    """One row for each answer of a conversation with the three messages before it, by a table function."""
+    return examples(tables("conversations"), 3)
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
 def json_field(spark, tables):
     return tables("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
