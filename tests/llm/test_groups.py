@@ -152,6 +152,8 @@ def test_open_groups_in_blocks(spark, monkeypatch):
     from tidemill.llm import simhash_mih
 
     monkeypatch.setattr(simhash_mih, "BLOCK", 16)
+    monkeypatch.setattr(simhash_mih, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(simhash_mih, "HELD", 40)
     monkeypatch.setattr(simhash_mih, "CELL", 3000)
     rng = np.random.default_rng(12)
     texts = []
@@ -162,6 +164,28 @@ def test_open_groups_in_blocks(spark, monkeypatch):
     check_groups(spark, texts)
 
 
+@pytest.mark.parametrize("held", [1, 37, 1 << 16])
+def test_blocks_come_in_any_batches(spark, monkeypatch, held):
+    """Members of crowded values are compared task by task, whatever the size of what a task holds."""
+    from tidemill.llm import simhash_mih
+
+    monkeypatch.setattr(simhash_mih, "HELD", held)
+    monkeypatch.setattr(simhash_mih, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 12, 300, dtype=np.int64) | 5 << 40)
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps], "node long, fp0 long")
+    met = df.select(F.lit(0).alias("seg"), (F.col("node") % 3).alias("key"), "node", "fp0", F.lit(9).alias("blocks"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        edges = simhash_mih._blocked(met, 1, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    place = {int(x): i for i, x in enumerate(fps)}
+    near = [(place[int(a)], place[int(b)]) for a in fps for b in fps if a < b and a % 3 == b % 3 and (int(a) ^ int(b)).bit_count() <= 2]
+    assert closure(len(fps), [(place[e.a], place[e.b]) for e in edges]) == closure(len(fps), near)
+
+
 def test_repeats_do_not_count(spark):
     """Equal shingle sets, one with a passage repeated, are one group; a shingle that outweighs all others makes no copies."""
     rng = np.random.default_rng(10)

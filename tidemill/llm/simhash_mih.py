@@ -32,6 +32,8 @@ from tidemill.llm.textvec import Words, mix, row_chunks, text_buffer
 
 #: Members of a segment value that one task compares with each other, or with as many others.
 BLOCK = 256
+#: Rows of such pairs of blocks that a task compares at once.
+HELD = 1 << 16
 SEED = 42
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -262,19 +264,41 @@ def _blocked(met: DataFrame, words: int, radius: int, similarity: float = 0) ->
     fp, sized = names(words), "n" in met.columns
     task = _tasks(met, ["node", *(["n"] if sized else []), *fp])
 
-    def compare(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    def edges_of(held):
         t = pa.Table.from_batches(held)
         group, node = t.column("task").to_numpy(), t.column("node").to_numpy()
         order = np.lexsort((node, group))
         group, node = group[order], node[order]
         bits = np.stack([t.column(k).to_numpy()[order].view(np.uint64) for k in fp], axis=1)
         a, b = _linked(group, node, bits, radius, t.column("n").to_numpy()[order] if sized else None, similarity)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return task.repartition(partitions(met.sparkSession), "task").mapInArrow(compare, "a long, b long")
+    def compare(batches):
+        """Rows come sorted by task: as many whole tasks at once as make HELD rows."""
+        held, rows = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                if rows + batch.num_rows < HELD:
+                    held.append(batch)
+                    rows += batch.num_rows
+                    break
+                own = batch.column(0).to_numpy()
+                last = int(np.searchsorted(own, own[-1]))  # where the batch's last task begins
+                if last == 0 and held and held[-1].column(0)[-1].as_py() != own[0]:
+                    yield edges_of(held)
+                    held, rows = [], 0
+                    continue
+                if last == 0:  # one task goes on
+                    held.append(batch)
+                    rows += batch.num_rows
+                    break
+                yield edges_of([*held, batch.slice(0, last)])
+                held, rows, batch = [], 0, batch.slice(last)
+        if held:
+            yield edges_of(held)
+
+    buckets = C.buckets_for(met.sparkSession, task.count() * (len(fp) + 3) * 8)
+    return task.repartition(buckets, "task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,8 +431,8 @@ def _set_links(t: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array(every[a], pa.int64()), "b": pa.array(every[b], pa.int64())})
 
 
-#: Cells of the tables that compare sets at once.
-CELL = 1 << 23
+#: Cells of the tables that compare sets at once, and bytes of the sets that a block holds: a group's sets travel once for each such block of it.
+CELL, BLOCK_BYTES = 1 << 23, 1 << 23
 
 
 def _open_links(failed: DataFrame, roots: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -419,13 +443,15 @@ def _open_links(failed: DataFrame, roots: DataFrame, held: DataFrame, similarity
     asked about against all its members, in blocks, by their whole sets.
     """
     groups = components(failed).select(F.col("node").alias("root"), F.col("root").alias("group"))
-    member = save(groups.join(roots, "root", "left").select("group", "root", F.coalesce("node", "root").alias("node")), "open-members")
-    parts = member.groupBy("group", "root").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    blocks = largest.select("group", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("asks"))
+    member = save(groups.join(roots, "root", "left").select("group", "root", F.coalesce("node", "root").alias("node")).join(held.withColumnRenamed("uid", "node"), "node"), "open-members")
+    size = F.octet_length("set").cast("long") + 64
+    parts = member.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    largest = parts.groupBy("group").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("bytes").alias("all"))
+    share = lambda b: F.greatest(F.lit(1), F.ceil(b / BLOCK_BYTES)).cast("int")
+    blocks = largest.select("group", F.col("top.root").alias("top"), share(F.col("all")).alias("blocks"), share(F.col("all") - F.col("top.bytes")).alias("asks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("asks")).cast("int")
-    each = member.join(blocks, "group").join(held.withColumnRenamed("uid", "node"), "node")
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("asks")).cast("int")
+    each = member.join(blocks, "group")
     data = each.select("group", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("j"), "node", "root", F.lit(False).alias("ask"), "set")
     asked = each.where("root <> top").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), "node", "root", F.lit(True).alias("ask"), "set")
     return data.union(asked).groupBy("group", "i", "j").applyInArrow(lambda t: _set_links(t, similarity), "a long, b long")
@@ -496,9 +522,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, text
     best = F.max(F.struct("size", (-F.col("uid").cast("decimal(20,0)")).alias("low"))).alias("best")
     member = save(rows.select("uid", "twin", F.coalesce("size", F.lit(0)).alias("size"), "digest").join(grouped, "digest").select("uid", "twin", "size", "root"), "groups")
     kept = member.groupBy("root").agg(best).select("root", (-F.col("best.low")).cast("long").alias("kept"))
-    chosen = member.join(kept, "root").groupBy("uid", "twin").agg(F.first("root").alias("root"), F.first(F.col("uid") == F.col("kept")).alias("first"))
-    whole = key.select("row").select(*hashes, "row").join(chosen, ["uid", "twin"])
-    return whole.groupBy("uid", "twin").agg(*[F.first(c).alias(c) for c in ("row", "root", "first")]).drop("uid", "twin")
+    chosen = save(member.join(kept, "root").groupBy("uid", "twin").agg(F.first("root").alias("root"), F.first(F.col("uid") == F.col("kept")).alias("first"), F.count("*").alias("times")), "chosen")
+    # what was chosen is the built side, so rows pass by unsorted; only rows that are listed twice are folded
+    whole = key.select("row").select(*hashes, "row").join(chosen.hint("shuffle_hash"), ["uid", "twin"])
+    once, again = whole.where("times = 1"), whole.where("times > 1")
+    folded = again.groupBy("uid", "twin").agg(*[F.first(c).alias(c) for c in ("row", "root", "first")])
+    return once.select("row", "root", "first").union(folded.select("row", "root", "first"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
