@@ -33,7 +33,10 @@ _LOG = {
     "cost": "CAST(event_id % 2 AS INT)",
     "reached": "event_id DIV 3 % 2 = 0",
     "given_to": "CASE WHEN event_id DIV 13 % 2 = 0 THEN 'organism-1' ELSE 'organism-2' END",
+    "torn": "event_id % 101 = 0 OR event_id % 103 = 0",
 }
+#: What the payload holds: unknown where it is torn off, or missing.
+_HELD = ("action", "valid", "failed", "energy", "x", "y", "told", "output", "cost", "reached", "given_to")
 _SCENE = {"target_x": "CAST(seed % 12 AS INT)", "target_y": "CAST(seed * 5 % 12 AS INT)"}
 #: Energy of the three beings at the end, and the cell of the second; a being without energy is dead.
 _END = {
@@ -44,11 +47,12 @@ _END = {
     "y1": "CAST(seed * 5 % 12 AS INT)",
 }
 _columns = lambda exprs, div: ", ".join(f"{e.replace('DIV', div)} AS {c}" for c, e in exprs.items())
-_L = f"WITH l AS (SELECT {_columns(_LOG, '//')} FROM events), z AS (SELECT DISTINCT seed, condition FROM l), w AS (SELECT *, {_columns(_SCENE | _END, '//')} FROM z)"
+_KNOWN = {c: f"CASE WHEN {_LOG['torn']} THEN NULL ELSE {e} END" if c in _HELD else e for c, e in _LOG.items()}
+_L = f"WITH l AS (SELECT {_columns(_KNOWN, '//')} FROM events), z AS (SELECT DISTINCT seed, condition FROM l), w AS (SELECT *, {_columns(_SCENE | _END, '//')} FROM z)"
 
 
 def log(tables):
-    """The events with their payload as JSON, and an end row for each world."""
+    """The events with their payload as JSON, and an end row for each world.  Some payloads break off, and some are null."""
     rows = tables("events").selectExpr(*[f"{e.replace('DIV', 'div')} AS {c}" for c, e in _LOG.items()])
     me = F.struct("energy", F.array("x", "y").alias("position"))
     memory = F.when(F.col("told"), F.array(F.lit("organism-0 signalled: food"))).otherwise(F.array().cast("array<string>"))
@@ -58,7 +62,9 @@ def log(tables):
         F.struct("action").alias("action"), "valid", F.when(F.col("failed"), "timeout").alias("policy_error"), F.col("output").alias("raw_output"),
         "cost", receivers.alias("receivers"), F.col("given_to").alias("target"), F.concat(F.lit("m"), F.col("seq").cast("string")).alias("message"),
     )
-    acts = rows.select(*W.WORLD, "seq", "tick", "kind", F.concat(F.lit("organism-"), F.col("role").cast("string")).alias("actor_id"), F.to_json(data).alias("data"))
+    whole = F.to_json(data)
+    told = F.when(F.col("seq") % 103 == 0, None).when(F.col("seq") % 101 == 0, F.substring(whole, F.lit(1), F.length(whole) - 9)).otherwise(whole)
+    acts = rows.select(*W.WORLD, "seq", "tick", "kind", F.concat(F.lit("organism-"), F.col("role").cast("string")).alias("actor_id"), told.alias("data"))
     ends = rows.select(*W.WORLD).distinct().selectExpr("*", *[f"{e} AS {c}" for c, e in _END.items()])
 
     def being(i: int, lineage: int, x, y):
@@ -102,7 +108,7 @@ def log_role_actions(spark, tables):
     return W.role_actions(log(tables), roles)
 
 
-@query(f"{_L} SELECT seed, condition, seq, tick, 'organism-' || role AS actor_id, 'm' || seq AS message, CASE WHEN reached THEN 2 ELSE 0 END AS n_receivers, cost FROM l WHERE kind = 'signal'")
+@query(f"{_L} SELECT seed, condition, seq, tick, 'organism-' || role AS actor_id, CASE WHEN NOT torn THEN 'm' || seq END AS message, CASE WHEN reached THEN 2 WHEN NOT torn THEN 0 END AS n_receivers, cost FROM l WHERE kind = 'signal'")
 def log_messages(spark, tables):
     return W.messages(log(tables)).select(*W.WORLD, "seq", "tick", "actor_id", "message", F.size("receivers").alias("n_receivers"), "cost")
 
@@ -111,7 +117,7 @@ _MINE = "kind = 'decision' AND role = 1"
 _TALK = f"""{_L}, b AS (SELECT seed, condition, min(tick) AS first_tick FROM l GROUP BY 1, 2),
  j AS (SELECT *, kind = 'decision' AND (role = 2 OR (role = 0 AND tick > first_tick)) AS forced, kind = 'decision' AND (role = 1 OR (role = 0 AND tick = first_tick)) AS own, {_MINE} AND told AS informed, {_MINE} AND x = target_x AND y = target_y AS arrived FROM l JOIN b USING (seed, condition) JOIN w USING (seed, condition)),
  r AS (SELECT seed, condition, count(*) FILTER (WHERE kind = 'decision') AS decisions, count(*) FILTER (WHERE kind = 'decision' AND valid) AS valid_decisions, count(*) FILTER (WHERE forced AND role = 0) AS forced_sender_decisions, count(*) FILTER (WHERE own) AS model_decisions,
- count(*) FILTER (WHERE own AND valid AND NOT failed) AS valid_model_decisions, count(*) FILTER (WHERE own AND seq % 4 < 2) AS strict_model_outputs, count(*) FILTER (WHERE own AND failed) AS model_policy_errors, count(*) FILTER (WHERE kind = 'signal' AND role = 0) AS signals,
+ count(*) FILTER (WHERE own AND valid AND NOT failed) AS valid_model_decisions, count(*) FILTER (WHERE own AND seq % 4 < 2 AND NOT torn) AS strict_model_outputs, count(*) FILTER (WHERE own AND failed) AS model_policy_errors, count(*) FILTER (WHERE kind = 'signal' AND role = 0) AS signals,
  count(*) FILTER (WHERE kind = 'signal' AND role = 0 AND reached) AS deliveries, count(*) FILTER (WHERE informed) AS informed_decisions, min(tick) FILTER (WHERE informed) AS first_informed_tick, min(tick) FILTER (WHERE arrived) AS first_target_tick,
  count(*) FILTER (WHERE kind = 'forage' AND role = 1) AS recipient_forages, min(tick) FILTER (WHERE kind = 'forage' AND role = 1) AS first_forage_tick, coalesce(sum(cost) FILTER (WHERE kind = 'signal'), 0) AS signal_cost, any_value(target_x) AS target_x, any_value(target_y) AS target_y,
  any_value(e0) AS sender_final_energy, any_value(e0 > 0) AS sender_alive, any_value(e1) AS final_energy, any_value(e1 > 0) AS recipient_alive, any_value(abs(x1 - target_x) + abs(y1 - target_y)) AS final_distance, bool_or(arrived) OR any_value(abs(x1 - target_x) + abs(y1 - target_y)) = 0 AS target_reached, count(*) FILTER (WHERE kind = 'forage' AND role = 1) > 0 AS foraged FROM j GROUP BY 1, 2)"""
@@ -138,7 +144,7 @@ def log_communication_conditions(spark, tables):
 
 _AWAY = "abs(x - target_x) + abs(y - target_y)"
 _SAVE = f"""{_L}, j AS (SELECT *, kind = 'decision' AND role = 1 AS child, kind = 'decision' AND role = 0 AS donor, kind = 'share' AND role = 0 AND given_to = 'organism-1' AS gave FROM l JOIN w USING (seed, condition)),
- r AS (SELECT seed, condition, count(*) FILTER (WHERE child OR donor) AS model_decisions, count(*) FILTER (WHERE (child OR donor) AND valid AND NOT failed) AS valid_model_decisions, count(*) FILTER (WHERE (child OR donor) AND seq % 4 < 2) AS strict_model_outputs, count(*) FILTER (WHERE (child OR donor) AND failed) AS model_policy_errors,
+ r AS (SELECT seed, condition, count(*) FILTER (WHERE child OR donor) AS model_decisions, count(*) FILTER (WHERE (child OR donor) AND valid AND NOT failed) AS valid_model_decisions, count(*) FILTER (WHERE (child OR donor) AND seq % 4 < 2 AND NOT torn) AS strict_model_outputs, count(*) FILTER (WHERE (child OR donor) AND failed) AS model_policy_errors,
  count(*) FILTER (WHERE child AND action = 'rest') AS child_rests, count(*) FILTER (WHERE donor AND action = 'share') AS donor_gives, count(*) FILTER (WHERE donor AND action = 'rest' AND seq % 4 = 0) AS blocked_share_attempts, count(*) FILTER (WHERE gave) AS shares, count(*) FILTER (WHERE kind = 'forage' AND role = 1) AS child_forages,
  count(*) FILTER (WHERE child AND action = 'move' AND energy <= {_AWAY}) AS boundary_moves, count(*) FILTER (WHERE child AND action = 'rest' AND energy = 1) AS energy_one_waits, min(tick) FILTER (WHERE gave) AS first_share_tick, min(energy) FILTER (WHERE donor) AS least_observed_donor_energy,
  count(*) FILTER (WHERE kind = 'death' AND role = 1) = 0 AS child_survived, any_value(e0) AS donor_final_energy, least(min(energy) FILTER (WHERE donor), any_value(e0)) AS least_donor_energy, greatest(count(*) FILTER (WHERE gave) - 1, 0) AS repeated_shares, CASE WHEN condition = 'unsafe' THEN count(*) FILTER (WHERE gave) ELSE 0 END AS unsafe_shares,
