@@ -104,7 +104,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def packed(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket that has records."""
+    """One row per bucket that has records.  A batch holds 2 GiB at most; more, which one text of some 100 MB can make, is an error and not cut off."""
+    if records.nbytes >= 1 << 31:
+        raise ValueError(f"{len(records)} records of {records.dtype.itemsize} bytes do not fit a batch: a text is too long")
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)

@@ -54,7 +54,14 @@ def _index(text: Column, mark: Column, count: Column) -> Column:
 
 
 def fill_in_middle(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, plain_from: int = PLAIN_FROM, spm_below: int = SPM_BELOW, unit: str = CODE_POINT, sentinels: tuple[str, str, str] = (PREFIX, SUFFIX, MIDDLE)
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    seed: int = SEED,
+    plain_from: int = PLAIN_FROM,
+    spm_below: int = SPM_BELOW,
+    unit: str = CODE_POINT,
+    sentinels: tuple[str, str, str] = (PREFIX, SUFFIX, MIDDLE),
 ) -> DataFrame:
     """Each input row as ``row`` (without its text) with n, form (plain, psm or spm), prefix, middle, suffix and output.
 
@@ -107,8 +114,10 @@ OP12_SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
 h AS (SELECT *, length(text) AS n, {_DRAW.format(1)} AS h1, {_DRAW.format(9)} AS h2, {_DRAW.format(17)} AS h3, {_DRAW.format(25)} AS h4 FROM t),
 f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
-  CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') OR h3 % 100 >= {PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM h),
+  CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') OR h3 % 100 >= {PLAIN_FROM} THEN 'plain'
+    WHEN h4 % 100 < {SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM h),
 c AS (SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM f)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
-  sha256(CASE form WHEN 'psm' THEN '{PREFIX}' || p || '{SUFFIX}' || s || '{MIDDLE}' || m WHEN 'spm' THEN '{SUFFIX}' || s || '{PREFIX}' || p || '{MIDDLE}' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+  sha256(CASE form WHEN 'psm' THEN '{PREFIX}' || p || '{SUFFIX}' || s || '{MIDDLE}' || m
+    WHEN 'spm' THEN '{SUFFIX}' || s || '{PREFIX}' || p || '{MIDDLE}' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
 FROM c"""

@@ -237,7 +237,17 @@ def weighted(docs: DataFrame, target: DataFrame, text_col: str = "text", target_
 
 
 def resampled(
-    docs: DataFrame, target: DataFrame, text_col: str = "text", id_col: str = "doc_id", target_col: str = "text", percent: int = PERCENT, least: int = LEAST_FEATURES, seed: int = SEED, buckets: int = BUCKETS, run: int = RUN, groups: int = GROUPS
+    docs: DataFrame,
+    target: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    target_col: str = "text",
+    percent: int = PERCENT,
+    least: int = LEAST_FEATURES,
+    seed: int = SEED,
+    buckets: int = BUCKETS,
+    run: int = RUN,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Each input row as ``row`` (without its text) with n_features, weight, score and rank (null where it was not drawn).
 
@@ -270,18 +280,23 @@ def op11(spark, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+_WORDS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+_H = f"CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)"
+
 #: CRC-32 of each distinct word, bit by bit.
 OP11_SQL = f"""
-WITH w AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
-  UNION ALL SELECT 't', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+WITH w AS (SELECT 'd' AS side, doc_id, {_WORDS} AS word FROM documents UNION ALL SELECT 't', item_id, {_WORDS} FROM benchmark),
 n AS (SELECT side, doc_id, word, count(*) AS n FROM w GROUP BY ALL),
 x AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM n)),
 b AS (SELECT word, xor(list_reduce(list_transform(range(1, length(x) + 1, 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
-  lambda c, y: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, y)), 4294967295::BIGINT), 4294967295) % {BUCKETS} AS bucket FROM x),
+  lambda c, y: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, y)),
+  4294967295::BIGINT), 4294967295) % {BUCKETS} AS bucket FROM x),
 s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0) AS t FROM n JOIN b USING (word) GROUP BY 1),
-g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM s) + {BUCKETS} AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM s) + {BUCKETS} AS DOUBLE)))) AS BIGINT) AS gain FROM s),
+a AS (SELECT CAST(sum(s) + {BUCKETS} AS DOUBLE) AS ours, CAST(sum(t) + {BUCKETS} AS DOUBLE) AS theirs FROM s),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * ours / (CAST(s + 1 AS DOUBLE) * theirs))) AS BIGINT) AS gain FROM s, a),
 d AS (SELECT doc_id, sum(n) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM n JOIN b USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY 1),
 r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(total // n_features - CASE WHEN total % n_features < 0 THEN 1 ELSE 0 END, 0) AS weight,
-  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM documents LEFT JOIN d USING (doc_id)),
-o AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= {LEAST_FEATURES} ORDER BY weight + noise DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= {LEAST_FEATURES}) OVER () AS fit FROM r)
-SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_features >= {LEAST_FEATURES} AND place <= {PERCENT} * fit // 100 THEN place END AS rank FROM o"""
+  CAST(floor(-1000 * ln(-ln(({_H} + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM documents LEFT JOIN d USING (doc_id)),
+o AS (SELECT *, weight + noise AS score, n_features >= {LEAST_FEATURES} AS fit FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, {PERCENT} * count(*) FILTER (WHERE fit) OVER () // 100 AS k FROM o)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN fit AND place <= k THEN place END AS rank FROM p"""

@@ -77,12 +77,13 @@ class _Stream:
         r = self._part(r, ~same)
         n = len(r["h"])
         zero = np.zeros(n, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(r[k]) for k in RECORD], pa.array(zero), pa.array(zero), pa.array(zero), pa.array(np.full(n, self.task, np.int32))], names=COLUMNS)
+        columns = [np.full(n, kind, np.int32), *[r[k] for k in RECORD], zero, zero, zero, np.full(n, self.task, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COLUMNS)
 
     def _report(self, h, g) -> pa.RecordBatch:
-        one = lambda v, kind: pa.array([v], kind)
-        values = [(BORDER, pa.int32()), (h, pa.int64()), (g, pa.int32()), (0, pa.int64()), (0, pa.int64()), (0, pa.int32()), (self.n, pa.int64()), (self.first, pa.int64()), (self.last, pa.int64()), (self.task, pa.int32())]
-        return pa.RecordBatch.from_arrays([one(v, kind) for v, kind in values], names=COLUMNS)
+        values = (BORDER, h, g, 0, 0, 0, self.n, self.first, self.last, self.task)
+        kinds = [np.int32 if c in ("kind", "g", "pos", "task") else np.int64 for c in COLUMNS]
+        return pa.RecordBatch.from_arrays([pa.array(np.array([v], kind)) for v, kind in zip(values, kinds, strict=True)], names=COLUMNS)
 
     def _take(self, r: dict) -> None:
         """Count further rows of the open key."""
@@ -177,7 +178,8 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     decided = save(dealt.mapInArrow(run, DECIDED), "line-decisions")
     # parts of one key, in the order of the tasks; a document on a border counts once
-    parts = decided.where(F.col("kind") == BORDER).select(*KEY, F.struct("task", "n", "first_doc", "last_doc").alias("p")).groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"))  # a part for each task at most
+    borders = decided.where(F.col("kind") == BORDER).select(*KEY, F.struct("task", "n", "first_doc", "last_doc").alias("p"))
+    parts = borders.groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"))  # a part for each task at most
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
     add = lambda s, p: F.struct((s["n"] + p["n"] - F.when(s["last"] == p["first_doc"], 1).otherwise(0)).alias("n"), p["last_doc"].alias("last"))
     totals = parts.select(*KEY, F.get("p", F.lit(0))["first_doc"].alias("top"), F.aggregate("p", start, add)["n"].alias("total"))
@@ -274,4 +276,5 @@ WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) A
 k AS (SELECT *, translate({_STRIPPED}, '{UPPER}', '{UPPER.lower()}') AS key FROM l),
 c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= {LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 j AS (SELECT k.doc_id, line, pos, top IS NOT NULL AND k.doc_id <> top AS gone FROM k LEFT JOIN c ON k.key = c.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
