@@ -64,6 +64,15 @@ def test_the_first_bad_line_is_named(spark, tmp_path, size):
         assert IO.read_sft(spark, str(path)).count() == 2
 
 
+def test_split_of_record_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join([GOOD] * 40) + "\n")
+    parts = {}
+    for size in (500, 1 << 20):  # splits don't matter
+        with splits_of(spark, size):
+            parts[size] = {r.place: r.part for r in IO.read_split(spark, str(tmp_path), 3).select("place", "part").collect()}
+    assert parts[500] == parts[1 << 20] and sorted(parts[500].values()) == ["test"] * 4 + ["train"] * 36
+
+
 def test_committed_corpus(spark, tmp_path):
     path = str(tmp_path / "corpus")
     df = spark.range(500).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "rest").otherwise("move").alias("action"), F.lit("é").alias("t")).repartition(5)

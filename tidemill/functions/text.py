@@ -34,7 +34,8 @@ def corrupt(message: Column, width: int, height: int) -> Column:
     y = F.pmod(at["y"] + max(1, height // 2), F.lit(height))
     found = F.regexp_extract(message, COORDINATE, 0)
     place = F.instr(message, found)
-    changed = F.concat(F.substring(message, F.lit(1), place - 1), F.lit("food at ["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"), F.substring(message, place + F.length(found), F.length(message)))
+    before, after = F.substring(message, F.lit(1), place - 1), F.substring(message, place + F.length(found), F.length(message))
+    changed = F.concat(before, F.lit("food at ["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"), after)
     return F.when(at.isNull(), F.concat(F.lit("corrupted: "), message)).otherwise(changed)
 
 

@@ -20,7 +20,9 @@ def first_occurrence(df: DataFrame, fingerprint: list[str], order: list[str]) ->
     Nulls are values like others, in fingerprints and in orders, where they come first.  ``order`` should be
     total: rows that tie at the first place all stay.
     """
-    first = df.groupBy(*fingerprint).agg(F.min(F.struct(*order)).alias("_first")).select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(fingerprint)], *[F.col("_first").getField(o).alias(f"_at{i}") for i, o in enumerate(order)])
+    least = df.groupBy(*fingerprint).agg(F.min(F.struct(*order)).alias("_first"))
+    keys, ats = [F.col(c).alias(f"_key{i}") for i, c in enumerate(fingerprint)], [F.col("_first").getField(o).alias(f"_at{i}") for i, o in enumerate(order)]
+    first = least.select(*keys, *ats)
     same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(fingerprint)] + [F.col(o).eqNullSafe(F.col(f"_at{i}")) for i, o in enumerate(order)]
     return df.join(first, same, "left_semi")
 

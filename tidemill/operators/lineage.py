@@ -24,7 +24,8 @@ def ancestry(parents: DataFrame, cycles: bool = False) -> DataFrame:
     parent, null first; null ids are left out.
     """
     known = parents.where(F.col("id").isNotNull()).groupBy("id").agg(F.bool_or(F.col("parent").isNull()).alias("top"), F.min("parent").alias("parent"))
-    base = staged(known.select("id", F.when(F.col("top"), F.col("id")).otherwise(F.col("parent")).alias("at"), F.when(F.col("top"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"), F.col("top").alias("done")), "lineage")
+    at = F.when(F.col("top"), F.col("id")).otherwise(F.col("parent"))
+    base = staged(known.select("id", at.alias("at"), (~F.col("top")).cast("long").alias("depth"), F.col("top").alias("done")), "lineage")
     finished = [staged(base.where("done").select("id", F.col("at").alias("root"), "depth"), "rooted")]
     left, state = staged(base.where("not done").drop("done"), "open"), base
     while True:

@@ -54,7 +54,10 @@ def pair_exact(df: DataFrame, pair: list[str], exact: Column) -> DataFrame:
 def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Verdict of each (metric, comparator, threshold) on (metric, value), and of all together; a missing metric fails."""
     value, limit = F.col("value"), F.col("threshold")
-    passed = F.when(F.col("comparator") == ">=", value >= limit).when(F.col("comparator") == "<=", value <= limit).when(F.col("comparator") == ">", value > limit).when(F.col("comparator") == "<", value < limit).otherwise(value == limit)
+    by = {">=": value >= limit, "<=": value <= limit, ">": value > limit, "<": value < limit}
+    passed = F.when(F.col("comparator").isin(*by), F.lit(False)).otherwise(value == limit)
+    for sign, holds in by.items():
+        passed = F.when(F.col("comparator") == sign, holds).otherwise(passed)
     judged = thresholds.join(metrics, "metric", "left").withColumn("passed", F.coalesce(passed, F.lit(False)))
     verdict = judged.agg(F.bool_and("passed").alias("all_passed"))
     return judged.crossJoin(F.broadcast(verdict))  # the verdict is one row

@@ -62,7 +62,10 @@ def world_summary(events: DataFrame) -> DataFrame:
 def policy_comparison(events: DataFrame, policy: str = "condition") -> DataFrame:
     """By policy (or condition): decisions, valid ones, births, deaths, living, surviving lineages, mean over worlds of the survivors' mean energy."""
     d = decisions(events).groupBy(policy).agg(F.count("*").alias("decisions"), F.count_if("valid").alias("valid"), F.count_if((F.col("action") == "reproduce") & F.col("valid")).alias("offspring"))
-    s = world_summary(events).groupBy(policy).agg(F.sum("born").alias("births"), F.sum("died").alias("deaths"), F.sum("living").alias("living"), F.sum("living_lineages").alias("surviving_lineages"), mean("mean_living_energy").alias("mean_energy"))
+    s = world_summary(events).groupBy(policy).agg(
+        F.sum("born").alias("births"), F.sum("died").alias("deaths"), F.sum("living").alias("living"),
+        F.sum("living_lineages").alias("surviving_lineages"), mean("mean_living_energy").alias("mean_energy"),
+    )
     return d.join(s, policy)
 
 
@@ -137,9 +140,12 @@ def communication_conditions(runs: DataFrame) -> DataFrame:
     """By condition: ratios of sums for decisions, shares of runs for outcomes, means to three places."""
     some = lambda c: rate(F.count_if(c), F.count("*"))
     return runs.groupBy("condition").agg(
-        F.count("*").alias("runs"), rate(F.sum("valid_model_decisions"), F.sum("model_decisions")).alias("valid_rate"), rate(F.sum("strict_model_outputs"), F.sum("model_decisions")).alias("strict_rate"), F.sum("model_policy_errors").alias("policy_errors"),
-        some(F.col("signals") > 0).alias("signal_rate"), some(F.col("informed_decisions") > 0).alias("informed_rate"), some(F.col("target_reached")).alias("target_rate"), some(F.col("foraged")).alias("forage_rate"), some(F.col("recipient_alive")).alias("survival_rate"),
-        mean("final_distance").alias("mean_final_distance"), mean("final_energy").alias("mean_final_energy"), mean("sender_final_energy").alias("mean_sender_energy"), F.sum("signals").alias("signals"), F.sum("signal_cost").alias("signal_cost"),
+        F.count("*").alias("runs"), rate(F.sum("valid_model_decisions"), F.sum("model_decisions")).alias("valid_rate"),
+        rate(F.sum("strict_model_outputs"), F.sum("model_decisions")).alias("strict_rate"), F.sum("model_policy_errors").alias("policy_errors"),
+        some(F.col("signals") > 0).alias("signal_rate"), some(F.col("informed_decisions") > 0).alias("informed_rate"),
+        some(F.col("target_reached")).alias("target_rate"), some(F.col("foraged")).alias("forage_rate"), some(F.col("recipient_alive")).alias("survival_rate"),
+        mean("final_distance").alias("mean_final_distance"), mean("final_energy").alias("mean_final_energy"), mean("sender_final_energy").alias("mean_sender_energy"),
+        F.sum("signals").alias("signals"), F.sum("signal_cost").alias("signal_cost"),
     )
 
 
@@ -183,9 +189,12 @@ def rescue_runs(events: DataFrame, scenes: DataFrame) -> DataFrame:
 def rescue_conditions(runs: DataFrame) -> DataFrame:
     """By condition: ratios of sums for decisions, shares of runs for outcomes, totals, and means to three places."""
     per_decision = lambda c: rate(F.sum(c), F.sum("model_decisions"))
+    some = lambda c: rate(F.count_if(c), F.count("*"))
     return runs.groupBy("condition").agg(
-        F.sum("model_decisions").alias("model_decisions"), per_decision("valid_model_decisions").alias("valid_rate"), per_decision("strict_model_outputs").alias("strict_rate"), per_decision("model_policy_errors").alias("policy_error_rate"),
-        F.sum("repeated_shares").alias("repeated_shares"), F.sum("unsafe_shares").alias("unsafe_shares"), mean("least_donor_energy").alias("mean_least_donor_energy"), mean("donor_final_energy").alias("mean_donor_final_energy"),
-        F.count("*").alias("runs"), rate(F.count_if(F.col("shares") > 0), F.count("*")).alias("share_rate"), rate(F.count_if(F.col("child_forages") > 0), F.count("*")).alias("forage_rate"), rate(F.count_if("child_survived"), F.count("*")).alias("survival_rate"),
-        rate(F.count_if(F.col("energy_one_waits") > 0), F.count("*")).alias("wait_rate"), F.sum("boundary_moves").alias("boundary_moves"),
+        F.sum("model_decisions").alias("model_decisions"), per_decision("valid_model_decisions").alias("valid_rate"),
+        per_decision("strict_model_outputs").alias("strict_rate"), per_decision("model_policy_errors").alias("policy_error_rate"),
+        F.sum("repeated_shares").alias("repeated_shares"), F.sum("unsafe_shares").alias("unsafe_shares"),
+        mean("least_donor_energy").alias("mean_least_donor_energy"), mean("donor_final_energy").alias("mean_donor_final_energy"),
+        F.count("*").alias("runs"), some(F.col("shares") > 0).alias("share_rate"), some(F.col("child_forages") > 0).alias("forage_rate"),
+        some(F.col("child_survived")).alias("survival_rate"), some(F.col("energy_one_waits") > 0).alias("wait_rate"), F.sum("boundary_moves").alias("boundary_moves"),
     )

@@ -93,7 +93,8 @@ class LinesWriter(DataSourceArrowWriter):
             for c, n in m.counts.items():
                 counts.setdefault(c, Counter()).update(n)
         listed = [{"name": m.name, "lines": m.lines, "bytes": m.bytes, "sha256": m.sha256} for m in done if m.lines]
-        summary = {**self.facts, "records": sum(m.lines for m in done), "bytes": sum(m.bytes for m in done), "files": len(listed), **{f"{c}_counts": dict(sorted(n.items())) for c, n in sorted(counts.items())}}
+        summary = {**self.facts, "records": sum(m.lines for m in done), "bytes": sum(m.bytes for m in done), "files": len(listed)}
+        summary |= {f"{c}_counts": dict(sorted(n.items())) for c, n in sorted(counts.items())}
         for name, body in ((FILES, listed), (SUMMARY, summary)):
             with store.open_output_stream(f"{folder}/{name}") as out:
                 out.write(json.dumps(body, ensure_ascii=False, sort_keys=True).encode())

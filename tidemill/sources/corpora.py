@@ -14,6 +14,7 @@ from tidemill.functions.text import strict_coordinate
 from tidemill.operators import audit as U
 from tidemill.operators import corpus as C
 from tidemill.operators import metrics as M
+from tidemill.operators.payload import decoded
 from tidemill.operators.worlds import demonstrations
 from tidemill.sources.ecology import Settings, simulate
 from tidemill.sources.scenes import fingerprinted, scene_records
@@ -50,24 +51,44 @@ def curriculum(spark: SparkSession, families: dict[str, int], seed: int, base: D
     return C.fresh(made, base, ["fp"], order) if base is not None else C.first_occurrence(made, ["fp"], order)
 
 
+#: What audits read of an observation.
+_SEEN = {
+    "o_energy": ("self.energy", "int"),
+    "o_threshold": ("self.drives.reproduction_threshold", "int"),
+    "o_age": ("self.age", "int"),
+    "o_id": ("self.id", "string"),
+    "o_lineage": ("self.lineage", "string"),
+    "o_x": ("self.position[0]", "int"),
+    "o_y": ("self.position[1]", "int"),
+    "o_tick": ("tick", "int"),
+    "o_food": ("current_food", "int"),
+    "o_open": ("open_neighbors", "array<array<int>>"),
+    "o_agents": ("visible_agents", _AGENTS),
+}
+
+
+def _observed(df: DataFrame) -> DataFrame:
+    """The rows with what their observation holds, from one parse."""
+    return decoded(df.withColumn("_seen", F.col("observation")), _SEEN, payload="_seen")
+
+
 def _legal(df: DataFrame) -> DataFrame:
-    o = lambda path, kind: F.from_json(F.get_json_object("observation", path), kind)
-    number = lambda path: F.get_json_object("observation", path).cast("int")
-    cells = F.transform(o("$.open_neighbors", "array<array<int>>"), lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
-    parsed = df.withColumn("a", A.parse_strict(F.col("answer")))
-    legal = A.legality(F.col("a"), number("$.self.energy"), number("$.self.drives.reproduction_threshold"), number("$.current_food"), cells, o("$.visible_agents", _AGENTS))
+    """The rows, as observed, with their action and whether it is legal."""
+    cells = F.transform("o_open", lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+    parsed = _observed(df).withColumn("a", A.parse_strict(F.col("answer")))
+    legal = A.legality(F.col("a"), F.col("o_energy"), F.col("o_threshold"), F.col("o_food"), cells, F.col("o_agents"))
     return parsed.withColumn("legal", F.col("a.action").isNotNull() & legal["legal"])
 
 
 def audit(corpus: DataFrame, held_out: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counters by dataset, overlaps by held-out file, and the verdict over all."""
     both = C.union_records(corpus.withColumn("dataset", F.lit("train")), *[d.withColumn("dataset", F.lit(n)) for n, d in held_out.items()])
-    names = F.concat(F.array(F.get_json_object("observation", "$.self.id"), F.get_json_object("observation", "$.self.lineage")), F.coalesce(F.transform(F.from_json(F.get_json_object("observation", "$.visible_agents"), _AGENTS), lambda a: a["id"]), F.array().cast("array<string>")))
-    number = lambda path: F.get_json_object("observation", path).cast("int")
-    distance = F.abs(number("$.self.position[0]") - F.col("target_x")) + F.abs(number("$.self.position[1]") - F.col("target_y"))
-    truth = U.reachable(number("$.self.energy"), distance, number("$.current_food") > 0)
+    peers = F.coalesce(F.transform("o_agents", lambda a: a["id"]), F.array().cast("array<string>"))
+    names = F.concat(F.array("o_id", "o_lineage"), peers)
+    distance = F.abs(F.col("o_x") - F.col("target_x")) + F.abs(F.col("o_y") - F.col("target_y"))
+    truth = U.reachable(F.col("o_energy"), distance, F.col("o_food") > 0)
     checks = {
-        "illegal": ~F.col("legal"), "role_shaped": U.role_shaped(names), "age_errors": number("$.self.age") > number("$.tick"),
+        "illegal": ~F.col("legal"), "role_shaped": U.role_shaped(names), "age_errors": F.col("o_age") > F.col("o_tick"),
         "reachability_errors": F.col("reachable_before_exhaustion").isNotNull() & U.label_errors(F.col("reachable_before_exhaustion"), truth),
         "budget_errors": F.col("energy_budget_required").isNotNull() & U.label_errors(F.col("energy_budget_required"), distance + 1),
     }
@@ -105,7 +126,10 @@ def scored(predictions: DataFrame) -> DataFrame:
     """Predictions with expected and predicted action, strictness, legality and exactness."""
     p = predictions.withColumns({"e": A.parse_strict(F.col("answer")), "p": A.parse_lenient(F.col("raw")), "s": A.parse_strict(F.col("raw"))})
     same = F.coalesce(A.action_json(F.col("e")) == A.action_json(F.col("p")), F.lit(False)) & F.col("p.action").isNotNull()
-    return p.select("observation", "case", "pair_id", "target_x", "target_y", F.col("e.action").alias("expected"), F.col("p.action").alias("predicted"), F.col("p.message").alias("message"), F.col("s.action").isNotNull().alias("strict"), same.alias("exact"), F.when(F.col("p.action").isNotNull(), A.action_json(F.col("p"))).alias("answer"))
+    return p.select(
+        "observation", "case", "pair_id", "target_x", "target_y", F.col("e.action").alias("expected"), F.col("p.action").alias("predicted"), F.col("p.message").alias("message"),
+        F.col("s.action").isNotNull().alias("strict"), same.alias("exact"), F.when(F.col("p.action").isNotNull(), A.action_json(F.col("p"))).alias("answer"),
+    )
 
 
 def evaluation(predictions: DataFrame) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.actions import SPACES, parse_strict
+from tidemill.operators.corpus import split
 from tidemill.operators.payload import shredded
 from tidemill.sources.committed import stream_digests, write_lines
 from tidemill.sources.staging import staged
@@ -44,13 +45,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(_placed(spark, path)).where(~_blank("value")).select("value", "file", "line", "ord")
 
 
-def read_sft(spark: SparkSession, path: str, validate: bool = True, allow_empty: bool = False) -> DataFrame:
+def read_sft(spark: SparkSession, path: str, validate: bool = True, allow_empty: bool = False, numbered: bool = False) -> DataFrame:
     """Records of JSON lines.  A line that is no record, or (if validated) whose completion is no action, is an error that names it.
 
     The files are read once; what was read is kept in the shared folder, and line numbers are counted there
-    only if there is an error to name.
+    only if there is an error to name, or if they are asked for (``numbered``: columns file and line).
     """
     lines = _placed(spark, path)
+    place = ["ord", "file", "line"] if numbered else ["ord"]
+    lines = _numbered(lines) if numbered else lines
     parsed = lines.where(~_blank("value")).withColumn("r", F.from_json("value", SFT))
     content = F.get(F.col("r.completion"), F.lit(0))["content"]
     fine = F.col("r.prompt").isNotNull() & content.isNotNull()
@@ -64,12 +67,18 @@ def read_sft(spark: SparkSession, path: str, validate: bool = True, allow_empty:
         at = (F.col("block") < bad.block) | ((F.col("block") == bad.block) & (F.col("ord") <= bad.ord))
         line = lines.where((F.col("file") == bad.file) & at).count()
         raise ValueError(f"{bad.file}, line {line}: not a valid record: {bad.value[:80]}")
-    records = checked.select("ord", "r.*")
+    records = checked.select(*place, "r.*")
     if not allow_empty and records.isEmpty():
         raise ValueError(f"{path} holds no records")
     return records
 
 
+def read_split(spark: SparkSession, path: str, seed: int, least: int = 20) -> DataFrame:
+    """Validated records of JSON lines with their ``part``: test or train, by seeded hash of file name and line."""
+    records = read_sft(spark, path, numbered=True)
+    return split(records.withColumn("place", F.concat_ws(":", F.substring_index("file", "/", -1), "line")), "place", seed, least)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Logged predictions; a missing prediction is null."""
     action = "struct<action:string,target:string,amount:int,message:string>"
