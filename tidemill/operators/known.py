@@ -27,16 +27,34 @@ def positions(fp: Column, bits: int = BITS, hashes: int = HASHES) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (a + i * b).bitwiseAND(F.lit((1 << bits) - 1)))
 
 
-def bloom(fps: DataFrame, fp: str, bits: int = BITS, hashes: int = HASHES) -> DataFrame:
-    """One row, ``words``: the filter as longs.  Null fingerprints set nothing."""
-    at = fps.where(F.col(fp).isNotNull()).select(F.explode(positions(F.col(fp), bits, hashes)).alias("at"))
+def _table(at: DataFrame, bits: int) -> DataFrame:
+    """One row, ``words``: a table of 2**bits bits as longs, with the bits ``at`` set."""
     word = F.shiftright("at", 6).cast("int").alias("word")
     full = at.select(word, F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    every = fps.sparkSession.range(1 << bits - 6).select(F.col("id").cast("int").alias("word"))
+    every = at.sparkSession.range(1 << bits - 6).select(F.col("id").cast("int").alias("word"))
     rows = every.join(full, "word", "left").select(F.struct("word", F.coalesce("bit", F.lit(0)).alias("bit")).alias("w"))
     return rows.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bit"]).alias("words"))  # of fixed size
 
 
+def _is_set(at: Column, words: Column) -> Column:
+    return F.call_function("getbit", F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def bloom(fps: DataFrame, fp: str, bits: int = BITS, hashes: int = HASHES) -> DataFrame:
+    """One row, ``words``: the filter as longs.  Null fingerprints set nothing."""
+    return _table(fps.where(F.col(fp).isNotNull()).select(F.explode(positions(F.col(fp), bits, hashes)).alias("at")), bits)
+
+
+def marks(hashes: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """As ``bloom``, for keys that are 64-bit hashes already: one bit each, which is cheaper to ask for."""
+    return _table(hashes.where(F.col(key).isNotNull()).select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at")), bits)
+
+
+def marked(key: Column, words: Column, bits: int = BITS) -> Column:
+    """False where a hash is surely not among the marks."""
+    return _is_set(key.bitwiseAND(F.lit((1 << bits) - 1)), words)
+
+
 def merged(one: DataFrame, other: DataFrame) -> DataFrame:
     """The filter of what either holds; both of one size."""
     both = one.crossJoin(F.broadcast(other.withColumnRenamed("words", "_other")))  # one row each
@@ -45,7 +63,7 @@ def merged(one: DataFrame, other: DataFrame) -> DataFrame:
 
 def maybe(fp: Column, words: Column, bits: int = BITS, hashes: int = HASHES) -> Column:
     """False where a fingerprint is surely not in the filter."""
-    return F.forall(positions(fp, bits, hashes), lambda at: F.call_function("getbit", F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return F.forall(positions(fp, bits, hashes), lambda at: _is_set(at, words))
 
 
 class KnownFingerprints:

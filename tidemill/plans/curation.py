@@ -10,6 +10,7 @@ from tidemill.operators import audit as U
 from tidemill.operators import corpus as C
 from tidemill.operators.acceptance import accept_groups
 from tidemill.operators.known import KnownFingerprints
+from tidemill.operators.passages import passages_within
 from tidemill.plans.registry import query
 from tidemill.sources.staging import shared_folder
 
@@ -38,34 +39,8 @@ def contamination_exact(spark, tables):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_passage(spark, tables):
-    """Extension: benchmark passages inside documents.
-
-    Both sides meet on six inner words of a passage (every run of six words of a document is a probe),
-    so no pair of document and passage is compared that does not share them.  Shorter passages meet on
-    all their inner words, by number of words; those of one or two words on their first characters, up to
-    four, of which every run in a document is a probe.  An empty passage is inside every document.
-    """
-    words = F.split("text", " ")
-    probe = lambda c: F.array_join(c, " ")
-    b = tables("benchmark").select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", " "))
-    size = 6
-    long_ = b.where(F.size("w") >= size + 2).select("item_id", "passage", F.xxhash64(probe(F.slice("w", 2, size))).alias("key"))
-    inner = b.where((F.size("w") < size + 2) & (F.size("w") > 2)).select("item_id", "passage", (F.size("w") - 2).alias("n"), F.xxhash64(probe(F.slice("w", F.lit(2), F.size("w") - 2))).alias("key"))
-    tiny = b.where((F.size("w") < 3) & (F.length("passage") > 0)).select("item_id", "passage", F.least(F.length("passage"), F.lit(4)).alias("n")).withColumn("key", F.xxhash64(F.expr("substring(passage, 1, n)")))
-    empty = b.where(F.length("passage") == 0).select("item_id")
-    d = tables("documents").select("doc_id", "text")
-    runs = d.withColumn("w", words).where(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(probe(F.slice("w", i, size)))))).alias("key"))
-    met = runs.join(long_, "key").select("doc_id", "item_id", "passage")
-    for r in inner.select("n").distinct().collect():  # five sizes at most
-        some = d.withColumn("w", words).where(F.size("w") >= r.n)
-        keys = some.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - r.n + 1), lambda i: F.xxhash64(probe(F.slice("w", i, r.n)))))).alias("key"))
-        met = met.union(keys.join(inner.where(F.col("n") == r.n), "key").select("doc_id", "item_id", "passage"))
-    for r in tiny.select("n").distinct().collect():  # four sizes at most
-        some = d.where(F.length("text") >= r.n)
-        keys = some.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - r.n + 1), lambda i: F.xxhash64(F.substring("text", i, F.lit(r.n)))))).alias("key"))
-        met = met.union(keys.join(tiny.where(F.col("n") == r.n), "key").select("doc_id", "item_id", "passage"))
-    found = met.join(d, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
-    return found.union(d.where("text is not null").select("doc_id").crossJoin(empty))
+    """Extension: benchmark passages inside documents."""
+    return passages_within(tables("documents"), tables("benchmark"), "doc_id", "item_id").distinct()
 
 
 @query(
