@@ -108,7 +108,9 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text_col: str =
             if sets is not None:
                 held, bounds = distinct_shingles(h, bounds)
                 h = np.concatenate([np.zeros(0, np.uint64), *held])
-                more = {"n": pa.array(np.diff(bounds)), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in held], pa.binary()), "few": pa.array([x.tobytes() if 0 < len(x) <= sets else None for x in held], pa.binary())}
+                few = [x.tobytes() if 0 < len(x) <= sets else None for x in held]
+                digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in held]
+                more = {"n": pa.array(np.diff(bounds)), "digest": pa.array(digest, pa.binary()), "few": pa.array(few, pa.binary())}
             fp = fingerprint(h, bounds, words).view(np.int64)
             yield from pa.table({"row": t.column("row"), **{k: pa.array(np.ascontiguousarray(fp[:, w])) for w, k in enumerate(names(words))}, **more}).to_batches()
 
@@ -240,15 +242,18 @@ def near_cells(distinct: DataFrame, words: int, radius: int, segments: list[tupl
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.list_(pa.int64()))], ["a", "b", "key", "fp"])
         if len(crowded):
             flat = pa.array(np.ascontiguousarray(crowded["fp"]).view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"].astype(np.int64)), pa.array(crowd_key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)], ["a", "b", "key", "fp"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(crowded) + 1) * words, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"].astype(np.int64)), pa.array(crowd_key.view(np.int64)), bits], ["a", "b", "key", "fp"])
 
-    met = save(C.gathered(distinct.select("node", (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, fp array<long>", buckets), "mih-met")
+    made = distinct.select("node", (F.col("n") if sized else F.lit(0)).cast("long").alias("n"), *fp).mapInArrow(spread, C.CELLS)
+    met = save(C.gathered(made, meet, "a long, b long, key long, fp array<long>", buckets), "mih-met")
     edges = met.where("key is null").select("a", "b")
     crowds = met.where("key is not null")
     if crowds.isEmpty():
         return edges
     size = crowds.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *([F.col("b").alias("n")] if sized else []), *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
+    carried = [F.col("b").alias("n")] if sized else []
+    members = crowds.join(size, "key").select(F.lit(0).alias("seg"), "key", F.col("a").alias("node"), *carried, *[F.col("fp")[w].alias(k) for w, k in enumerate(fp)], "blocks")
     return edges.union(_blocked(members, words, radius, similarity))
 
 
@@ -381,7 +386,8 @@ def short_links(sets: DataFrame, similarity: float, large: int = LARGE) -> DataF
         left, right = _similar(group, a["node"], a["n"], a["set"], similarity)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.binary())], ["a", "b", "key", "set"])
         if len(crowded):
-            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"]), pa.array(crowded["k"].view(np.int64)), pa.array([x.tobytes() for x in crowded["set"]], pa.binary())], ["a", "b", "key", "set"])
+            sets_ = pa.array([x.tobytes() for x in crowded["set"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(crowded["node"]), pa.array(crowded["n"]), pa.array(crowded["k"].view(np.int64)), sets_], ["a", "b", "key", "set"])
 
     met = save(C.gathered(sets.select("node", "set").mapInArrow(spread, C.CELLS), meet, "a long, b long, key long, set binary", buckets), "short-met")
     edges, crowds = met.where("key is null").select("a", "b"), met.where("key is not null")
@@ -454,7 +460,9 @@ def _open_links(failed: DataFrame, roots: DataFrame, held: DataFrame, similarity
     each = member.join(blocks, "group")
     data = each.select("group", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("j"), "node", "root", F.lit(False).alias("ask"), "set")
     asked = each.where("root <> top").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), "node", "root", F.lit(True).alias("ask"), "set")
-    return data.union(asked).groupBy("group", "i", "j").applyInArrow(lambda t: _set_links(t, similarity), "a long, b long")
+    # dealt by pair of blocks: a large group is many tasks
+    dealt = data.union(asked).repartition(partitions(held.sparkSession), "group", "i", "j")
+    return dealt.groupBy("group", "i", "j").applyInArrow(lambda t: _set_links(t, similarity), "a long, b long")
 
 
 def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
