@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.skew import lookup
-from tidemill.sources.staging import drop, staged
+from tidemill.sources.staging import staged
 
 
 def ancestry(parents: DataFrame, cycles: bool = False) -> DataFrame:
@@ -26,18 +26,15 @@ def ancestry(parents: DataFrame, cycles: bool = False) -> DataFrame:
     known = parents.where(F.col("id").isNotNull()).groupBy("id").agg(F.bool_or(F.col("parent").isNull()).alias("top"), F.min("parent").alias("parent"))
     at = F.when(F.col("top"), F.col("id")).otherwise(F.col("parent"))
     base = staged(known.select("id", at.alias("at"), (~F.col("top")).cast("long").alias("depth"), F.col("top").alias("done")), "lineage")
-    finished = [staged(base.where("done").select("id", F.col("at").alias("root"), "depth"), "rooted")]
-    left, state = staged(base.where("not done").drop("done"), "open"), base
+    named = lambda rows: rows.where("done").select("id", F.col("at").alias("root"), "depth")
+    finished, left, state = [named(base)], base.where("not done").drop("done"), base
     while True:
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_to"), F.col("depth").alias("_more"), F.col("done").alias("_done"))
         moved = staged(lookup(left, ahead, ["at"]).select("id", F.col("_to").alias("at"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_done").alias("done")), "lineage")
-        rooted = staged(moved.where("done").select("id", F.col("at").alias("root"), "depth"), "rooted")
-        drop(left)
-        left = staged(moved.where("not done").drop("done"), "open")
-        drop(moved)
-        if rooted.isEmpty():
+        left = moved.where("not done").drop("done")
+        if moved.where("done").isEmpty():
             break  # every line that ends in a root gains one in each round
-        finished.append(rooted)
+        finished.append(named(moved))
         # rows that are done answer for themselves; those still open answer with their new reach
         now = [f.select("id", F.col("root").alias("at"), "depth", F.lit(True).alias("done")) for f in finished]
         state = reduce(DataFrame.union, [*now, left.select("id", "at", "depth", F.lit(False).alias("done"))])
