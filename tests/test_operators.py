@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import corpus as C
 from tidemill.operators import events as E
 from tidemill.operators import metrics as M
-from tidemill.operators.spatial import l1_join
+from tidemill.operators.spatial import l1_join, peers
 from tidemill.sources import records_io as IO
 
 
@@ -76,3 +76,14 @@ def test_config_rejects_unknown_keys(tmp_path):
     p.write_text("[world]\nwidth = 3\nheigth = 4\n")
     with pytest.raises(ValueError, match="heigth"):
         IO.load_config(str(p), {"world": {"width", "height"}})
+
+
+def test_repeated_side_is_never_broadcast(spark):
+    """Spark's estimate of an exploded table does not count its repeats; broadcasting it cost the driver's memory."""
+    a = spark.range(1000).select("id", (F.col("id") % 24).alias("x"), (F.expr("id div 24") % 24).alias("y"), (F.col("id") % 20).alias("energy"))
+    near = peers(a, 2, "id", "x", "y", carry=("energy",))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    cells = {r.id: r for r in a.collect()}
+    got = {(r.id, r.peer): (r.energy, r.peer_energy) for r in near.collect()}
+    want = {(p.id, q.id): (p.energy, q.energy) for p in cells.values() for q in cells.values() if p.id != q.id and abs(p.x - q.x) + abs(p.y - q.y) <= 2}
+    assert got == want
