@@ -7,6 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidemill.llm import simhash_mih
+from tidemill.llm.cells import save
 from tidemill.llm.graph import components, spanning
 from tidemill.llm.pq_neardup import pq_neardup
 from tidemill.llm.simhash_mih import near_pairs, similar_groups, simhash_groups
@@ -306,3 +308,13 @@ def test_cells_find_what_pairs_find(spark, large):
 
     found = [closure(len(fp), [(e.a, e.b) for e in edges.collect()]) for edges in (near_pairs(df, 4, 56, segments), near_cells(df, 4, 56, segments, large))]
     assert found[0] == found[1] and len(set(found[0])) < 60
+
+
+def test_exploded_segments_are_not_broadcast(spark, monkeypatch):
+    """Balls around all segments make 33 rows a fingerprint and segment, which no estimate of Spark's counts."""
+    plans = []
+    monkeypatch.setattr(simhash_mih, "save", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or save(df, name))
+    distinct = spark.range(2000).select(F.col("id").alias("node"), F.xxhash64(F.col("id") % 1900).alias("fp0"))
+    edges = simhash_mih.near_pairs(distinct, 1, 3, [(0, 0, 32), (0, 32, 32)])
+    assert {(r.a, r.b) if r.a < r.b else (r.b, r.a) for r in edges.collect()} == {(i, i + 1900) for i in range(100)}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []

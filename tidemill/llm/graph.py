@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tidemill.llm.cells import discard, save
 
 
+#: Edge tables of more rows are joined by a merge: files tell little of the memory that a broadcast of them takes.
+FEW = 100_000
+
+
 def spanning(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
     """Edges of ``pairs`` (an iterable of two index arrays) that still join different groups of n items."""
     root = np.arange(n)
@@ -41,11 +45,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
     before = e.select(mark.alias("m")).first().m
     while before.n:
+        held = (lambda df: df.hint("merge")) if before.n > FEW else (lambda df: df)
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(held(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = large.join(held(least), "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         older, e = e, save(small, "edges")
         discard(e.sparkSession, older.saved_at)

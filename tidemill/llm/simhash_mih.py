@@ -152,7 +152,8 @@ def near_pairs(distinct: DataFrame, words: int, radius: int, segments: list[tupl
         all_ = all_.union(p)
     size = all_.groupBy("seg", "key").agg(F.count("*").alias("n"), F.max("table").alias("held")).where("n > 1 and held")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    met = save(all_.join(size, ["seg", "key"]).select("seg", "key", "node", *fp, blocks.alias("blocks")), "mih-members")
+    # a merge: Spark's estimate of an exploded table does not count its repeats, and it would broadcast them
+    met = save(all_.join(size.hint("merge"), ["seg", "key"]).select("seg", "key", "node", *fp, blocks.alias("blocks")), "mih-members")
     return _blocked(met, words, radius)
 
 
@@ -317,7 +318,7 @@ def simhash_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_
     roots = components(edges)
     joined = nodes.join(roots.withColumnRenamed("node", "fp0"), "fp0", "left").select("fp0", "least", F.coalesce("root", "fp0").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(joined.join(least, "root").select("fp0", "component"), "fp0").select("row", "fp0", "component")
+    return rows.hint("merge").join(joined.join(least, "root").select("fp0", "component"), "fp0").select("row", "fp0", "component")
 
 
 #: Words of the long fingerprint, its radius, and segments of 16 bits, two from each word.
