@@ -120,6 +120,7 @@ def test_crowded_cells(spark):
 
 #: Queries on crowded cells, with an expression of their plan that bounds their work.
 CROWDED = {
+    "peer_visibility": "cells",
     "reachability_label": "blocks",
     "perception_sorted": "cells",
     "perception_join": "blocks",
