@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.acceptance import accept_groups, accepted_records
 from tidemill.operators.lineage import ancestry
+from tidemill.operators import reach
 from tidemill.operators.reach import distances, reachable
 from tidemill.operators.skew import hot_keys, lookup
 
@@ -139,3 +140,21 @@ def test_lookup_is_a_join(spark, how):
     table = spark.range(0, 400, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).union(spark.createDataFrame([(7, 70), (None, 1)], "k long, v long"))
     assert {r.k for r in hot_keys(rows.where("k is not null"), ["k"]).collect()} == {7}
     assert sorted(map(str, lookup(rows, table, ["k"], how).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
+
+
+def test_reach_searches_from_targets(spark, monkeypatch):
+    """Crowds of agents and targets are no more searches; blocked starts and targets, several sources, closed rooms."""
+    rng = random.Random(4)
+    walls = {(w, rng.randrange(9), rng.randrange(7)) for w in range(2) for _ in range(22)}
+    starts = {(i, i % 2): [(rng.randrange(9), rng.randrange(7), rng.randrange(9)) for _ in range(1 + i % 3)] for i in range(40)}
+    rows = [(i, w, x, y, b) for (i, w), sources in starts.items() for x, y, b in sources]
+    goals = [(f"t{i}", *rng.choice([(6, 3), (2, 2), (0, 6), next(iter(sorted(walls)))[1:]])) for i in range(60)]
+    asked = []
+    monkeypatch.setattr(reach, "distances", lambda s, *a: asked.append(s.count()) or distances(s, *a))
+    df = spark.createDataFrame(rows, "id int, world int, x int, y int, budget int")
+    targets = spark.createDataFrame(goals + [("out", 9, 0), ("none", None, 0)], "target string, x int, y int")
+    found = reachable(df, targets, spark.createDataFrame(sorted(walls), "world int, x int, y int"), ["id", "world"], ["world"], 9, 7, everywhere=True)
+    cells = bfs(starts, walls, 9, 7)
+    want = sorted((i, t, cells[i, w, x, y]) for (i, w) in starts for t, x, y in goals if (i, w, x, y) in cells)
+    assert sorted((r.id, r.target, r.steps) for r in found.collect()) == want
+    assert asked[0] <= 2 * 4
