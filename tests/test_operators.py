@@ -134,3 +134,22 @@ CROWDED = {
 def test_crowded_queries_make_no_row_pairs_to_fold_or_filter(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert ("collect_list" in plan) == (CROWDED[name] == "blocks")
+
+
+def test_crowds_pair_few_rows_at_a_time(spark):
+    """Blocks of both sides in one chain of explodes would hold a million pairs for each row of the chain."""
+    from tidemill.operators.spatial import crowd_join
+
+    left = spark.range(2500).select((F.col("id") % 2).alias("x"), F.lit(0).alias("y"), "id", F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("k"))
+    right = spark.range(1300).select((F.col("id") % 3).alias("fx"), F.lit(0).alias("fy"), F.when(F.col("id") > 2, F.col("id")).alias("food"), F.concat(F.lit("n"), "id").alias("name"))
+    for carried in (["food"], ["name", "food"]):
+        some = right.select("fx", "fy", *carried).distinct()
+        near = crowd_join(left, some, 1, ("x", "y", "fx", "fy"))
+        total = lambda df: df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("id", "k", "x", "fx", *carried, "distance"), F.lit(1_000_003)))).first()
+        far = F.abs(F.col("x") - F.col("fx"))
+        plain = left.crossJoin(some).where(far <= 1).withColumn("distance", far.cast("int"))
+        assert total(near) == total(plain)
+        near.count()
+        lines = near._jdf.queryExecution().executedPlan().toString().splitlines()
+        ours = [("Generate" in x and "G") or ("Coalesce" in x and "C") for x in lines if "Generate" in x or "Coalesce " in x]
+        assert "".join(ours).startswith("GGCG"), ours

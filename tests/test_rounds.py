@@ -158,3 +158,29 @@ def test_reach_searches_from_targets(spark, monkeypatch):
     want = sorted((i, t, cells[i, w, x, y]) for (i, w) in starts for t, x, y in goals if (i, w, x, y) in cells)
     assert sorted((r.id, r.target, r.steps) for r in found.collect()) == want
     assert asked[0] <= 2 * 4
+
+
+@pytest.mark.parametrize("in_row", [4096, 0])
+def test_searches_in_rows_and_in_rounds_agree(spark, monkeypatch, in_row):
+    """A long way round, walls off the grid, blocked sources, and the shore: what is blocked is told a step later, and not walked."""
+    monkeypatch.setattr(reach, "IN_ROW", in_row)
+    kept = []
+    monkeypatch.setattr(reach, "staged", lambda df, name, f=reach.staged: kept.append(name) or f(df, name))
+    walls = {(0, 1, y) for y in range(4)} | {(0, 3, y) for y in range(1, 5)} | {(1, 2, 2)}
+    starts = {(1, 0): [(0, 2, 6)], (2, 1): [(2, 2, 2)], (3, 1): [(0, 0, 1), (4, 4, 3)], (4, 2): [(4, 0, 6)]}
+    df = spark.createDataFrame([(i, w, *s) for (i, w), sources in starts.items() for s in sources], "id int, world int, x int, y int, budget int")
+    blocked = spark.createDataFrame(sorted(walls) + [(1, 5, 1), (1, -1, 2), (2, 0, 5), (None, 1, 1), (2, None, 1)], "world int, x int, y int")
+    tell = lambda rows: sorted((r.id, r.world, r.x, r.y, r.steps) for r in rows.collect())
+    want = bfs(starts, walls, 5, 5)
+    assert tell(distances(df, blocked, ["id", "world"], ["world"], 5, 5)) == sorted((*k, d) for k, d in want.items())
+    assert in_row == 0 or not kept  # no table for each step
+    shore = {}
+    for (i, w, x, y), d in want.items():
+        for c in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
+            if (w, *c) in walls and d < max(b for *_, b in starts[i, w]):
+                shore[i, w, *c] = min(d + 1, shore.get((i, w, *c), 99))
+    both = {k: min(d, want.get(k, 99)) for k, d in (want | shore).items()}
+    assert tell(distances(df, blocked, ["id", "world"], ["world"], 5, 5, "budget", None, True)) == sorted((*k, d) for k, d in both.items())
+    targets = spark.createDataFrame([(f"t{x}{y}", x, y) for x in range(5) for y in range(5)], "target string, x int, y int")
+    found = reachable(df, targets, blocked, ["id", "world"], ["world"], 5, 5, everywhere=True)
+    assert sorted((r.id, r.target, r.steps) for r in found.collect()) == sorted((i, f"t{x}{y}", d) for (i, _, x, y), d in want.items())
